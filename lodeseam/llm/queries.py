@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from lodeseam.llm.neardup import op9_minhash_near_dedup
 from lodeseam.llm.substrings import op3_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_minhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
