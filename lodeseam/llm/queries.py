@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from lodeseam.llm.bpe import op5_byte_bpe
+from lodeseam.llm.chat import OP8_SQL, op8_chat_formatting
+from lodeseam.llm.exactdup import OP10_SQL, op10_exact_dedup
 from lodeseam.llm.neardup import op9_minhash_near_dedup
 from lodeseam.llm.substrings import op3_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_byte_bpe, op8_chat_formatting, op9_minhash_near_dedup, op10_exact_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op10_exact_dedup": OP10_SQL}
