@@ -5,9 +5,24 @@ from __future__ import annotations
 from lodeseam.llm.bpe import op5_byte_bpe
 from lodeseam.llm.chat import OP8_SQL, op8_chat_formatting
 from lodeseam.llm.exactdup import OP10_SQL, op10_exact_dedup
+from lodeseam.llm.fingerprints import op4_document_fingerprints
+from lodeseam.llm.mixing import OP2_SQL, op2_mix_sources
 from lodeseam.llm.neardup import op9_minhash_near_dedup
 from lodeseam.llm.substrings import op3_substring_dedup
+from lodeseam.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_byte_bpe, op8_chat_formatting, op9_minhash_near_dedup, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_mix_sources,
+        op3_substring_dedup,
+        op4_document_fingerprints,
+        op5_byte_bpe,
+        op7_toxicity,
+        op8_chat_formatting,
+        op9_minhash_near_dedup,
+        op10_exact_dedup,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op8_chat_formatting": OP8_SQL, "op10_exact_dedup": OP10_SQL}
