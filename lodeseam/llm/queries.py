@@ -8,6 +8,7 @@ from lodeseam.llm.exactdup import OP10_SQL, op10_exact_dedup
 from lodeseam.llm.fingerprints import op4_document_fingerprints
 from lodeseam.llm.mixing import OP2_SQL, op2_mix_sources
 from lodeseam.llm.neardup import op9_minhash_near_dedup
+from lodeseam.llm.secrets import op6_secret_scan
 from lodeseam.llm.substrings import op3_substring_dedup
 from lodeseam.llm.toxicity import op7_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
         op3_substring_dedup,
         op4_document_fingerprints,
         op5_byte_bpe,
+        op6_secret_scan,
         op7_toxicity,
         op8_chat_formatting,
         op9_minhash_near_dedup,
