@@ -6,6 +6,7 @@ from lodeseam.llm.bpe import op5_byte_bpe
 from lodeseam.llm.chat import OP8_SQL, op8_chat_formatting
 from lodeseam.llm.exactdup import OP10_SQL, op10_exact_dedup
 from lodeseam.llm.fingerprints import op4_document_fingerprints
+from lodeseam.llm.licenses import op1_license_scan
 from lodeseam.llm.mixing import OP2_SQL, op2_mix_sources
 from lodeseam.llm.neardup import op9_minhash_near_dedup
 from lodeseam.llm.secrets import op6_secret_scan
@@ -15,6 +16,7 @@ from lodeseam.llm.toxicity import op7_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_mix_sources,
         op3_substring_dedup,
         op4_document_fingerprints,

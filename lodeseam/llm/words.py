@@ -72,20 +72,20 @@ def pieces(offsets: np.ndarray, size: int):
         low = min(high, n)
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray):
-    """Starts and ends of all words in bytes, and each row's first word (n + 1 values)."""
+def find_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
+    """Starts and ends of all words in bytes, and each row's first word (n + 1 values); ``breaks`` says which bytes are in none."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     edge[0] = edge[n] = True
-    breaks = ~solid
+    gap = ~solid
     begin, end = solid.copy(), solid.copy()
-    begin[1:] &= breaks[:-1] | edge[1:n]
-    end[:-1] &= breaks[1:] | edge[1:n]
+    begin[1:] &= gap[:-1] | edge[1:n]
+    end[:-1] &= gap[1:] | edge[1:n]
     starts = np.flatnonzero(begin)
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
