@@ -16,8 +16,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -315,6 +316,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def score_column(model: Model, text: Column) -> Column:
+    """The score alone, as a column beside a table's own."""
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series([_score(model, find(model, t) if t else []) for t in texts], dtype="float64")
+
+    return scores(text.cast("string"))
+
+
 def held_out(doc_id):
     """The fifth of the documents that no label is learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
