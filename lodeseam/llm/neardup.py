@@ -164,7 +164,7 @@ def _check_pairs(rows: DataFrame, pairs: DataFrame, width: int, table: np.ndarra
     return frames.stored(grouped.mapInArrow(_verify(width, table, percent), "a long, b long, alike double"), "verified")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, pivots: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, pivots: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: components of the links between near copies.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct
@@ -178,8 +178,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     Classes that share a band are candidates.  All pairs within a band would be the square of
     a group, so rounds of pivots come first: in each band that still holds two components,
     all members are compared with one pivot.  What the pivots leave apart is compared pair by
-    pair, except for pairs that the sizes of the sets or the distances from a common pivot
-    (a metric) rule out: so no link between two candidates is lost that changes a component.
+    pair, except for pairs that the sizes of the sets and bitmaps of them rule out: so no link
+    between two candidates is lost that changes a component.
     """
     table = words.BYTES_LOWER if lower else words.BYTES
     bands, depth = band_settings(percent / 100)
@@ -190,34 +190,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("head"))
     heads = known.select("doc_id", "digest", "n", "bands").join(classes, "digest").where("doc_id = head").dropDuplicates(["doc_id", "digest"])
     keyed = heads.select("doc_id", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
-    members = frames.stored(keyed.join(shared, "key").select("key", "doc_id", "n"), "members")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    members = frames.stored(keyed.join(shared, "key").select("key", "doc_id", "n", "size"), "members")
 
-    labels = members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).distinct()
+    degrees = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    labels = frames.stored(degrees.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"), "degree"), "labels")
     links = distances = None
     bound = F.lit(percent / 100)
     for turn in range(pivots + 1):
-        current = members.join(labels, members.doc_id == labels.node).select("key", "doc_id", "n", F.col("root").alias("component"))
-        live = current.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("component", "doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("p")).where("c0 <> c1")
+        current = members.join(labels, members.doc_id == labels.node).select("key", "doc_id", "n", F.col("root").alias("component"), "degree")
+        # the first pivot is the member with most companions: the original, if the others are copies of it
+        choice = F.xxhash64("component", "doc_id", F.lit(turn)) if turn else -F.col("degree")
+        live = current.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("doc_id", "n", "component"), F.struct(choice, "doc_id")).alias("p")).where("c0 <> c1")
         if turn < pivots:
             pairs = current.join(live, "key").where("component <> p.component").select(F.col("p.doc_id").alias("pivot"), "doc_id", "n", F.col("p.n").alias("pn"))
+            pairs = pairs.where(F.least("n", "pn") >= bound * F.greatest("n", "pn") - 1e-9).select("pivot", "doc_id").where("pivot <> doc_id").distinct()
         else:
-            pairs = _remaining(current.join(live, "key", "left_semi"), distances, percent)
-        pairs = pairs.where(F.least("n", "pn") >= bound * F.greatest("n", "pn") - 1e-9).select("pivot", "doc_id").where("pivot <> doc_id").distinct()
+            current = frames.stored(current.join(live, "key", "left_semi").drop("degree"), "live")
+            pairs = _remaining(current, _bitmaps(rows, current.select("doc_id").distinct(), width, table), percent)
         if distances is not None:
-            pairs = pairs.join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id")), ["pivot", "doc_id"], "left_anti")
+            for a, b in (("a", "b"), ("b", "a")):
+                pairs = pairs.join(distances.select(F.col(a).alias("pivot"), F.col(b).alias("doc_id")), ["pivot", "doc_id"], "left_anti")
         pairs = frames.stored(pairs, "pairs")
         if pairs.isEmpty():
-            if turn == pivots:
-                break
             continue
         checked = _check_pairs(rows, pairs, width, table, percent)
         distances = checked if distances is None else frames.stored(distances.union(checked), "distances")
         links = distances.where(F.col("alike") >= bound).select("a", "b")
         if not links.isEmpty():
             found = components(links)
-            singles = members.select(F.col("doc_id").alias("node")).distinct()
-            labels = frames.stored(singles.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
+            labels = frames.stored(labels.drop("root").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "degree"), "labels")
 
     # a doc_id of several rows may be in several classes: their heads are linked through it
     several = known.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
@@ -231,22 +233,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _remaining(current: DataFrame, distances: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of one band in different components that the pivots' distances don't rule out."""
-    reach = 1 - percent / 100
-    left = current.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("c"), F.col("n").alias("pn"))
-    if distances is None:
-        return left.join(current, "key").where("component <> c and pivot < doc_id").select("pivot", "doc_id", "n", "pn")
-    # rings: distances from one pivot in steps of a link's length; linked documents are in the same or the next ring
-    known = distances.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), (1 - F.col("alike")).alias("gap"))
-    hubs = current.join(known, "doc_id").groupBy("key").agg(F.mode("hub", True).alias("hub"))
-    ringed = current.join(hubs, "key", "left").join(known, ["doc_id", "hub"], "left")
-    ringed = ringed.select("key", "doc_id", "n", "component", F.when(F.col("doc_id") == F.col("hub"), 0.0).otherwise(F.col("gap")).alias("gap"))
-    ringed = ringed.withColumn("ring", F.coalesce(F.floor(F.col("gap") / reach).cast("int"), F.lit(-9)))
-    near = F.when(F.col("ring") == -9, F.sequence(F.lit(-9), F.lit(int(1 / reach) + 2))).otherwise(F.array(F.lit(-9), F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))
-    left = ringed.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("c"), F.col("n").alias("pn"), F.col("gap").alias("pgap"), F.explode(near).alias("ring"))
-    both = left.join(ringed, ["key", "ring"]).where("component <> c and pivot < doc_id")
-    return both.where(F.coalesce(F.abs(F.col("gap") - F.col("pgap")) <= reach + 1e-9, F.lit(True))).select("pivot", "doc_id", "n", "pn")
+#: Bits of the bitmaps that rule pairs out, in 64-bit words.
+BITMAP = 32
+
+
+def _bitmaps(rows: DataFrame, ids: DataFrame, width: int, table: np.ndarray) -> DataFrame:
+    """(doc_id, bits): a bit for each shingle by its hash; null for a doc_id of several rows."""
+
+    def run(batches):
+        for batch in batches:
+            for low, sets, first in words.shingles(batch.column(1), width, table):
+                n = len(first) - 1
+                flags = np.zeros((n, 64 * BITMAP), np.uint8)
+                flags[np.repeat(np.arange(n), np.diff(first)), (sets % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+                packed = np.packbits(flags, axis=1).view(np.int64).reshape(-1)
+                lists = pa.ListArray.from_arrays(np.arange(0, len(packed) + 1, BITMAP, dtype=np.int32), packed)
+                yield pa.record_batch([batch.column(0).slice(low, n), lists], names=["doc_id", "bits"])
+
+    few = ids.count() <= BROADCAST_PAIRS
+    texts = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text")
+    maps = texts.mapInArrow(run, "doc_id long, bits array<long>")
+    return maps.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+
+
+def _remaining(current: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (pivot, doc_id) that share a band, lie in different components, and may be alike by their bitmaps.
+
+    A bit that one set has and the other lacks is at least one shingle that they don't
+    share, which bounds what they can have in common.  A pair comes from the first band
+    that it shares.  Documents of a band's largest component are not paired with each other.
+    """
+    enough = lambda most, n, m: most * 100 >= percent * (n + m - most)
+    bands = current.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    main = current.groupBy("key").agg(F.mode("component", True).alias("main"))
+    able = current.join(bands, "doc_id").join(bitmaps, "doc_id").join(main, "key").withColumn("in_main", F.col("component") == F.col("main"))
+    left = able.where("not in_main").select(F.col("key").alias("k"), F.col("doc_id").alias("pivot"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("keys").alias("p_keys"), F.col("bits").alias("p_bits"))
+    lacking = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda total, x: total + x)
+    common = F.least(F.col("n") - lacking("bits", "p_bits"), F.col("m") - lacking("p_bits", "bits"))
+    may = (F.col("k") == F.col("key")) & (F.col("c") != F.col("component")) & (F.col("in_main") | (F.col("pivot") < F.col("doc_id")))
+    may = may & enough(F.least("n", "m"), F.col("n"), F.col("m")) & (F.array_min(F.array_intersect("keys", "p_keys")) == F.col("k"))
+    return left.join(able, may & F.coalesce(enough(common, F.col("n"), F.col("m")), F.lit(True))).select("pivot", "doc_id").distinct()
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
