@@ -1,0 +1 @@
+"""Operators on DataFrames of chunks, results, graphs and versions."""

@@ -1,0 +1 @@
+"""The session facade, and queries over the driver tables."""

@@ -1,0 +1 @@
+"""Sources and sinks: source trees, Git snapshots, stored indexes."""

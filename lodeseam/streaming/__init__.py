@@ -1,0 +1 @@
+"""Incremental indexing of a stream of chunks."""
