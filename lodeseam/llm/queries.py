@@ -8,9 +8,9 @@ from lodeseam.llm.exactdup import OP10_SQL, op10_exact_dedup
 from lodeseam.llm.fingerprints import op4_document_fingerprints
 from lodeseam.llm.licenses import op1_license_scan
 from lodeseam.llm.mixing import OP2_SQL, op2_mix_sources
-from lodeseam.llm.neardup import op9_minhash_near_dedup
+from lodeseam.llm.neardup import OP9_SQL, op9_minhash_near_dedup
 from lodeseam.llm.secrets import op6_secret_scan
-from lodeseam.llm.substrings import op3_substring_dedup
+from lodeseam.llm.substrings import OP3_SQL, op3_substring_dedup
 from lodeseam.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -29,4 +29,11 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op8_chat_formatting": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+#: Learned scores, merges, fingerprints and automata have none: their tests have brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op8_chat_formatting": OP8_SQL,
+    "op9_minhash_near_dedup": OP9_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}
