@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.schema import not_negative
@@ -46,7 +46,7 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame
     names = [r.query_id for r in asked]
     matrix = np.array([r.vector for r in asked], float).reshape(len(names), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    kind = dict(queries.dtypes)["query_id"]
+    kind, arrow = dict(queries.dtypes)["query_id"], to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches):
         for batch in batches:
@@ -61,7 +61,7 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame
             k = min(top_k, len(ids))
             edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
             q, c = np.nonzero(scores >= edge)  # ties at the edge stay; the window decides
-            yield pa.record_batch([pa.array([names[i] for i in q]), pa.array(ids[c].tolist()), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+            yield pa.record_batch([pa.array([names[i] for i in q], arrow), pa.array(ids[c].tolist()), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
 
     schema = f"query_id {kind}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
     best = vectors.select("chunk_id", "vector").mapInArrow(run, schema)
@@ -72,23 +72,26 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame
 def embed(texts: DataFrame, id_col: str, text: Column, dimension: int = 256) -> DataFrame:
     """(id, vector): signed feature hashing of the tokens, at unit length.  Any function with this signature can stand in."""
 
-    @F.pandas_udf("array<double>")
-    def hashed(tokens: pd.Series) -> pd.Series:
+    def run(batches):
         memo: dict[str, tuple[int, int]] = {}
-        out = []
-        for row in tokens:
-            v = np.zeros(dimension)
-            for t in row:
-                if t not in memo:
-                    d = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
-                    memo[t] = (d % dimension, 1 if d >> 63 else -1)
-                v[memo[t][0]] += memo[t][1]
-            if not v.any():
-                v[0] = 1.0
-            out.append((v / np.linalg.norm(v)).tolist())
-        return pd.Series(out)
-
-    return texts.select(id_col, hashed(tokenize(text)).alias("vector"))
+        for batch in batches:
+            out = np.zeros((len(batch), dimension))
+            for v, row in zip(out, batch.column(1).to_pylist()):
+                for t in row:
+                    if t not in memo:
+                        d = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
+                        memo[t] = (d % dimension, 1 if d >> 63 else -1)
+                    v[memo[t][0]] += memo[t][1]
+                if not v.any():
+                    v[0] = 1.0
+            out /= np.linalg.norm(out, axis=1, keepdims=True)
+            offsets = np.arange(0, out.size + 1, dimension, dtype=np.int32)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, out.reshape(-1))], names=[id_col, "vector"])
+            if len(memo) > 500_000:
+                memo.clear()
+
+    kind = dict(texts.dtypes)[id_col]
+    return texts.select(id_col, tokenize(text).alias("tokens")).mapInArrow(run, f"{id_col} {kind}, vector array<double>")
 
 
 def build(chunks: DataFrame, embedder=embed) -> DataFrame:
