@@ -59,7 +59,7 @@ class Vocabulary:
         key = a * self._size + b
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) >= 600_000:
+            if len(self._fits) >= 150_000:
                 self._fits.clear()
             found = self._fits[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return found
@@ -125,7 +125,7 @@ class PrefixTable:
 class _Pieces(dict):
     """Encodings (32-bit ids as bytes) of the pieces met most recently."""
 
-    LIMIT = 400_000
+    LIMIT = 80_000
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -161,7 +161,7 @@ def _encode(path: str, pattern: str):
         split, cached = regex.compile(pattern).findall, _pieces(path)
         for batch in batches:
             _, offsets = words.utf8(batch.column(1))
-            for low, high in words.pieces(offsets, 4 << 20):
+            for low, high in words.pieces(offsets, 2 << 20):
                 rows = batch.slice(low, high - low)
                 found = [b"".join(map(cached.__getitem__, split(text))) if text else b"" for text in rows.column(1).to_pylist()]
                 at = np.cumsum([0, *map(len, found)]) // 4
@@ -189,8 +189,8 @@ def _decode(path: str):
         ends = np.cumsum([0, *map(len, tokens)])
         for batch in batches:
             lists = batch.column(1)
-            for low in range(0, len(batch), 500):
-                rows = batch.slice(low, 500)
+            for low in range(0, len(batch), 250):
+                rows = batch.slice(low, 250)
                 lists = rows.column(1)
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = ends[ids + 1] - ends[ids]

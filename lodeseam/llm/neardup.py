@@ -104,14 +104,13 @@ def _verify(width: int, table: np.ndarray, percent: int):
     def run(batches):
         pivot = part = None
         own: list[np.ndarray] = []
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            sizes, sets = np.frombuffer(b"".join(x[:8] for x in batch.column(4).to_pylist()), np.int64), batch.column(4).to_pylist()
+        for batch in (whole.slice(low, 1000) for whole in batches for low in range(0, len(whole), 1000)):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
             a, b, alike = [], [], []
-            for p, s, member, doc, _, raw in zip(*columns, sizes, sets):
+            for p, s, member, doc, raw in zip(*columns):
                 if (p, s) != (pivot, part):
                     pivot, part, own = p, s, []
-                have = np.frombuffer(raw, np.uint64, offset=8)
+                have = np.frombuffer(raw, np.uint64)
                 if not member:
                     own.append(have)
                     continue
@@ -133,13 +132,13 @@ def _verify(width: int, table: np.ndarray, percent: int):
 
 
 def _sets(width: int, table: np.ndarray):
-    """Batches of (pivot, part, is_member, doc_id, text) with the set (its size, then its hashes) for the text."""
+    """Batches of (pivot, part, is_member, doc_id, text) with the set's hashes for the text."""
 
     def run(batches):
         for batch in batches:
             for low, sets, first in words.shingles(batch.column(4), width, table):
                 n, raw = len(first) - 1, sets.tobytes()
-                blobs = [int(b - a).to_bytes(8, "little") + raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                blobs = [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.record_batch([*(batch.column(i).slice(low, n) for i in range(4)), pa.array(blobs, pa.binary())], names=["pivot", "part", "is_member", "doc_id", "elements"])
 
     return run

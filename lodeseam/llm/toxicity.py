@@ -16,11 +16,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseam.llm import words
+
 WORD = re.compile(r"[^\W\d_]+")
 STEM_LENGTHS = range(3, 8)
 #: A misspelling counts as this share of its term.
@@ -123,28 +124,29 @@ class Automaton:
 
 @dataclass(frozen=True)
 class Model:
-    """The lexicon with its weights, words near a term that are clean, and the logistic model of a document."""
+    """The lexicon with its weights, words near a term that are clean, terms that count as written only, and the logistic model."""
 
     terms: tuple[tuple[str, float], ...]
     clean: frozenset[str] = frozenset()
+    literal: frozenset[str] = frozenset()
     coefficients: tuple[float, ...] = (-2.0, 1.0, 0.5, 0.0)
 
 
 class _Matches(dict):
     """What words match, for the words met most recently."""
 
-    LIMIT = 500_000
+    LIMIT = 60_000
 
     def __init__(self, model: Model):
         super().__init__()
-        self.automaton, self.clean, self.older = Automaton(t for t, _ in model.terms), model.clean, {}
+        self.automaton, self.model, self.older = Automaton(t for t, _ in model.terms), model, {}
 
     def __missing__(self, word: str):
         if word in self.older:
             found = self.older[word]
         else:
             found = self.automaton.match(word)
-            if found and found[1] and word in self.clean:
+            if found and found[1] and (word in self.model.clean or found[0] in self.model.literal):
                 found = None
         if len(self) >= self.LIMIT:
             self.older = dict(self)
@@ -190,6 +192,13 @@ def _score(model: Model, matches) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _slices(batch, column: int, size: int = 2 << 20):
+    """A batch in slices of about ``size`` bytes of text, so that few texts are Python strings at a time."""
+    _, offsets = words.utf8(batch.column(column))
+    for low, high in words.pieces(offsets, size):
+        yield batch.slice(low, high - low)
+
+
 def _count_features(batches):
     """Partial counts (feature, toxic, total) over documents: words, and beginnings of words."""
     total, toxic = Counter(), Counter()
@@ -200,25 +209,25 @@ def _count_features(batches):
         total.clear()
         toxic.clear()
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole, 0)):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = set(WORD.findall((text or "").lower()))
             found |= {w[:k] + "*" for w in found for k in STEM_LENGTHS if k < len(w)}
             total.update(found)
             if label:
                 toxic.update(found)
-            if len(total) > 300_000:
+            if len(total) > 150_000:
                 yield from flush()
     yield from flush()
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int, least: int = 8, size: int = 500) -> tuple[tuple[str, float], ...]:
+def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int, least: int = 5, size: int = 500) -> tuple[tuple[str, float], ...]:
     """The lexicon from (feature, toxic, total): precise features, the most frequent first, none that another covers.
 
     Of features that are as frequent the longest goes first, so that a beginning is no shorter
     than its occurrences in toxic documents justify; a word goes before its own beginning.
     """
-    support = max(least, toxic_docs // 250)
+    support = max(least, toxic_docs // 400)
     rated = [((t + 0.5) / (n + 1), t, n, f) for f, t, n in counts if t >= support]
     best = max((p for p, *_ in rated), default=0.0)
     rated = sorted((x for x in rated if x[0] >= 0.9 * best and x[0] > 2 * toxic_docs / max(docs, 1)), key=lambda x: (-x[1], -len(x[3].rstrip("*")), x[3].endswith("*"), x[3]))
@@ -275,25 +284,31 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     toxic_docs, seen = (int(x or 0) for x in rows.select("label").agg(F.sum(F.col("label").cast("int")), F.count("*")).first())
     if not toxic_docs:
         return Model(())
-    support = max(8, toxic_docs // 250)
+    support = max(5, toxic_docs // 400)
     counts = rows.mapInArrow(_count_features, "feature string, toxic long, total long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
     precise = counts.where((F.col("toxic") >= support) & (F.col("toxic") * 2 > F.col("total"))).orderBy(F.desc("toxic"), "feature").limit(50_000)
     terms = choose_terms([tuple(r) for r in precise.collect()], toxic_docs, seen)
     model = Model(terms)
 
     def near(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 0)):
             found = [find(model, t or "") for t in batch.column(0).to_pylist()]
-            misspelt = [sorted({t.lower()[m[0] : m[1]] for m in ms if m[3]}) for t, ms in zip(batch.column(0).to_pylist(), found)]
+            # only where nothing is spelled out does a misspelling show by itself what it is worth
+            misspelt = [sorted({f"{t.lower()[m[0] : m[1]]} {m[2]}" for m in ms}) if all(m[3] for m in ms) else [] for t, ms in zip(batch.column(0).to_pylist(), found)]
             xs = [_inputs([m for m in ms if not m[3]]) for ms in found]
             yield pa.record_batch([batch.column(1), pa.array(xs, pa.list_(pa.float64())), pa.array(misspelt, pa.list_(pa.string()))], names=["label", "x", "near"])
 
     fitted = rows.mapInArrow(near, "label boolean, x array<double>, near array<string>").collect()
-    there = Counter(w for r in fitted for w in r.near)
-    bad = Counter(w for r in fitted if r.label for w in r.near)
-    clean = frozenset(w for w, n in there.items() if bad[w] < 0.5 * n)
+    worth: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for r in fitted:
+        for name in {n for pair in r.near for n in pair.split()}:
+            worth[name][0] += r.label
+            worth[name][1] += 1
+    clean = frozenset(n for n, (bad, there) in worth.items() if bad < 0.5 * there) - {t for t, _ in terms}
+    around = Counter(t for t in {tuple(pair.split()) for r in fitted for pair in r.near} if t[0] in clean for t in [t[1]])
+    literal = frozenset(t for t, n in around.items() if n >= 3 and worth[t][0] < 0.5 * worth[t][1])
     x = np.array([r.x for r in fitted], float)
-    return Model(terms, clean, fit_logistic(x, np.array([r.label for r in fitted], float)))
+    return Model(terms, clean, literal, fit_logistic(x, np.array([r.label for r in fitted], float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,7 +321,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         kinds = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("weight", pa.float64())]))
         names = ("first", "last", "term", "edits", "quoted", "weight")
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             found = [find(model, t) if t else [] for t in batch.column(1).to_pylist()]
             scores = [_score(model, ms) for ms in found]
             rows = [[dict(zip(names, m)) for m in ms] for ms in found]
@@ -316,14 +331,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def score_column(model: Model, text: Column) -> Column:
-    """The score alone, as a column beside a table's own."""
+def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``least``."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([_score(model, find(model, t) if t else []) for t in texts], dtype="float64")
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, at):
+                scores = [_score(model, find(model, t) if t else []) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([s < least for s in scores], pa.bool_()))
 
-    return scores(text.cast("string"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id):
