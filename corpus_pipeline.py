@@ -16,7 +16,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of the labels outside the held-out fifth does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    return docs.where(toxicity.score_column(model, F.col("text")) < 0.5)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
