@@ -167,6 +167,10 @@ def _encode(path: str, pattern: str):
                 at = np.cumsum([0, *map(len, found)]) // 4
                 ids = pa.ListArray.from_arrays(at.astype(np.int32), np.frombuffer(b"".join(found), np.int32))
                 yield pa.record_batch([rows.column(0), ids], names=["doc_id", "ids"])
+        # a worker outlives its task: what later stages need is memory
+        cached.clear()
+        cached.older = {}
+        pa.default_memory_pool().release_unused()
 
     return run
 
