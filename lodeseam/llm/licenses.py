@@ -1,4 +1,7 @@
-"""License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them."""
+"""License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
+
+One-line wordings, too short for shingles, are looked up word by word; see scan().
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm import words
+from lodeseam.llm import notices, words
 
 #: The standard notices of common licenses, by SPDX identifier (":" tells notices of one license apart).
 TEMPLATES = {
@@ -70,16 +73,16 @@ class Templates:
     def __init__(self, texts: dict[str, str], containment: float, bands: int = BANDS, miss: float = 1e-5):
         self.containment = containment
         self.names = sorted(texts)
-        self.sets, self.by_half = {}, {}
+        self.sets, self.by_half, self.places = {}, {}, {}
         for name in self.names:
             ((_, hashes, _),) = split_words(pa.array([texts[name]]))
-            rolled = np.unique(words.roll(hashes, min(WIDTH, len(hashes))))
+            rolled, place = np.unique(words.roll(hashes, min(WIDTH, len(hashes))), return_index=True)
             if len(hashes) < WIDTH:
                 raise ValueError(f"{name}: a template has at least {WIDTH} words")
             half = 2 ** math.ceil(math.log2(max(1, math.ceil((len(hashes) - WIDTH + 1) / 2))))
             if (1 - window_similarity(len(rolled), half, containment)) ** bands > miss:
                 raise ValueError(f"{name}: {bands} bands may miss it with more than {miss}")
-            self.sets[name] = rolled
+            self.sets[name], self.places[name] = rolled, (place, len(hashes) - WIDTH + 1)
             signature = (rolled[None, :] * _FACTORS[:bands, None]).min(axis=1)
             self.by_half.setdefault(half, []).append((name, signature))
 
@@ -89,7 +92,103 @@ def _compiled(items: tuple, containment: float) -> Templates:
     return Templates(dict(items), containment)
 
 
-def scan_batch(column, templates: Templates) -> list[list[tuple]]:
+def _grams(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The hash of ``width`` words from each of the places ``at``, which must lie inside."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    return words.roll(hashes[at[:, None] + np.arange(width)].reshape(-1), width)[::width]
+
+
+def _phrases(spoken) -> dict[int, dict[int, str]]:
+    """{number of words: {hash: phrase}}"""
+    spoken, out = list(spoken), {}
+    at = 0
+    for _, hashes, first in split_words(pa.array(spoken)):
+        for low, high in zip(first[:-1], first[1:]):
+            out.setdefault(int(high - low), {})[int(words.roll(hashes[low:high], int(high - low))[0])] = spoken[at]
+            at += 1
+    return out
+
+
+class Wordings:
+    """One-line grants, a lead and a license's name word by word, and the words that decide between sibling templates."""
+
+    def __init__(self, leads, articles, names: dict[str, str], deciding: dict[str, tuple[str, ...]]):
+        self.leads, self.articles, self.names, self.spdx = _phrases(leads), _phrases(articles), _phrases(names), names
+        self.versioned = {n for n in names if n[-1].isdigit()}
+        self.numbers = set(_phrases(str(n) for n in range(100))[1])
+        self.deciding = {name: [(w, h) for phrase in phrases for w, hs in _phrases([phrase]).items() for h in hs] for name, phrases in deciding.items()}
+        # a lead is looked for where its first word is
+        self.begins = np.unique(np.concatenate([hashes[first[:-1]] for _, hashes, first in split_words(pa.array(list(leads)))]))
+
+    def decided(self, name: str, span: np.ndarray) -> bool:
+        """Do the words of ``span`` hold all that tells ``name`` from its siblings?"""
+        return all(h in words.roll(span, w) for w, h in self.deciding.get(name, ()))
+
+    def find(self, hashes: np.ndarray, first: np.ndarray) -> list[list[tuple]]:
+        """For each row (identifier, number of words, first, last) of the longest wordings from each place."""
+        out: list[list[tuple]] = [[] for _ in range(len(first) - 1)]
+        begins = np.flatnonzero(np.isin(hashes, self.begins))
+        if not len(begins):
+            return out
+        row = np.searchsorted(first, begins, "right") - 1
+        end = first[1:][row]
+        after: set[tuple[int, int, int]] = set()
+        for width, known in self.leads.items():
+            there = np.flatnonzero(begins + width <= end)
+            led = there[np.isin(_grams(hashes, begins[there], width), np.array(list(known), np.uint64))]
+            after.update(zip(begins[led].tolist(), (begins[led] + width).tolist(), row[led].tolist()))
+        if not after:
+            return out
+        starts, at, row = (np.array(x) for x in zip(*sorted(after)))
+        # with and without an article
+        end = first[1:][row]
+        article = np.flatnonzero((at < end) & np.isin(_grams(hashes, np.minimum(at, len(hashes) - 1), 1), np.array(list(self.articles[1]), np.uint64)))
+        starts, at, row, end = (np.concatenate([x, x[article] + add]) for x, add in ((starts, 0), (at, 1), (row, 0), (end, 0)))
+        best: dict[tuple[int, int], tuple[int, str]] = {}
+        for width, known in self.names.items():
+            there = np.flatnonzero(at + width <= end)
+            grams = _grams(hashes, at[there], width)
+            named = np.flatnonzero(np.isin(grams, np.array(list(known), np.uint64)))
+            for k, gram in zip(there[named].tolist(), grams[named].tolist()):
+                name, last = known[gram], int(at[k]) + width
+                if name in self.versioned and last < end[k] and int(_grams(hashes, np.array([last]), 1)[0]) in self.numbers:
+                    continue  # the version goes on: another one
+                place = (int(row[k]), int(starts[k]))
+                best[place] = max(best.get(place, (0, "")), (last, name))
+        for (d, low), (last, name) in best.items():
+            out[d].append((self.spdx[name], last - low, low - int(first[d]), last - int(first[d])))
+        return out
+
+
+@lru_cache(1)
+def covered() -> tuple[dict[str, str], Wordings]:
+    """What op1_license_scan looks for."""
+    texts, deciding = notices.notices()
+    return texts, Wordings(notices.LEADS, notices.ARTICLES, notices.names(), deciding)
+
+
+def _one(inside: np.ndarray, there: np.ndarray, wanted: np.ndarray, place: np.ndarray, length: int, least: float) -> np.ndarray:
+    """Of the places of a template's shingles those of one copy, by how far each is from its place in the template, if the copy holds enough."""
+    ahead = inside - place[np.searchsorted(wanted, there[inside])]
+    order = np.sort(ahead)
+    counts = np.searchsorted(order, order + length // 2, "right") - np.arange(len(order))
+    low = order[int(np.argmax(counts))]
+    one = inside[(ahead >= low) & (ahead <= low + length // 2)]
+    return one if len(np.unique(there[one])) >= least * len(wanted) else inside
+
+
+def _resolved(found: list[tuple], lines: list[tuple]) -> list[tuple]:
+    """Of matches (name, share, first, last, number of shingles) and wordings that overlap the one that most words speak for."""
+    ranked = [(n + WIDTH - 1, share, name, low, high) for name, share, low, high, n in set(found)] + [(n, 1.0, name, low, high) for name, n, low, high in lines]
+    out: list[tuple] = []
+    for _, share, name, low, high in sorted(ranked, key=lambda m: (-m[0], -m[1], m[3], m[2])):
+        if all(high <= m[2] or low >= m[3] for m in out):
+            out.append((name, share, low, high))
+    return sorted(out, key=lambda m: (m[2], m[0]))
+
+
+def scan_batch(column, templates: Templates, wordings: Wordings | None = None) -> list[list[tuple]]:
     """For each row (name, containment, first, last) of the matches, in words; see scan()."""
     out: list[list[tuple]] = []
     for _, hashes, first in split_words(column):
@@ -99,20 +198,26 @@ def scan_batch(column, templates: Templates) -> list[list[tuple]]:
         good = words.inside(first, WIDTH)
         shingle[~good] = _LAST  # a shingle over a border of documents
         at_most = first[1:] - WIDTH + 1
-        grids = []
-        for half, wanted in templates.by_half.items():
+        grids, before = [], None
+        for half, wanted in sorted(templates.by_half.items()):
             # steps of ``half`` shingles that do not cross documents; a window is three in a row
             counts = np.maximum(0, -(-(at_most - first[:-1]) // half))
             owner = np.repeat(np.arange(n), counts)
             if len(owner):
-                step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                offset = np.cumsum(counts) - counts
+                step = np.arange(len(owner)) - offset[owner]
                 apart = [np.flatnonzero(owner[k:] != owner[: len(owner) - k]) for k in (1, 2)]
-                grids.append((half, wanted, owner, first[:-1][owner] + step * half, apart, np.zeros((len(wanted), len(owner)), bool)))
+                begin = first[:-1][owner] + step * half
+                # the least of a step is that of the smaller steps in it
+                source = begin if before is None else before[1][owner] + step * (half // before[0])
+                grids.append((wanted, owner, begin, source, apart, half, np.zeros((len(wanted), len(owner)), bool)))
+                before = (half, offset)
         for b, factor in enumerate(_FACTORS):
             values = shingle * factor
             values[~good] = _LAST
-            for half, wanted, owner, begin, apart, hits in grids:
-                least = np.minimum.reduceat(values, begin)
+            least = values
+            for wanted, owner, _, source, apart, _, hits in grids:
+                least = np.minimum.reduceat(least, source)
                 window = least.copy()
                 for k in (1, 2):
                     after = least[k:].copy()
@@ -120,15 +225,23 @@ def scan_batch(column, templates: Templates) -> list[list[tuple]]:
                     np.minimum(window[: len(owner) - k], after, out=window[: len(owner) - k])
                 for t, (_, signature) in enumerate(wanted):
                     hits[t] |= window == signature[b]
-        for half, wanted, owner, begin, _, hits in grids:
+        for wanted, owner, begin, _, _, half, hits in grids:
             for t, w in zip(*np.nonzero(hits)):
                 name, d, low = wanted[t][0], int(owner[w]), int(begin[w])
                 there = shingle[low : min(low + 3 * half, int(at_most[d]))]
                 inside = np.flatnonzero(np.isin(there, templates.sets[name]))
                 share = len(np.unique(there[inside])) / len(templates.sets[name])
                 if share >= templates.containment:
-                    found[d].append((name, share, low + int(inside[0]) - int(first[d]), low + int(inside[-1]) + WIDTH - int(first[d])))
-        out += map(_merged, found)
+                    if wordings:
+                        inside = _one(inside, there, templates.sets[name], *templates.places[name], templates.containment)
+                        n_held = len(np.unique(there[inside]))
+                        share = n_held / len(templates.sets[name])
+                    a, z = low + int(inside[0]), low + int(inside[-1]) + WIDTH
+                    if not wordings:
+                        found[d].append((name, share, a - int(first[d]), z - int(first[d])))
+                    elif wordings.decided(name, hashes[a:z]):
+                        found[d].append((name, share, a - int(first[d]), z - int(first[d]), n_held))
+        out += map(_resolved, found, wordings.find(hashes, first)) if wordings else map(_merged, found)
     return out
 
 
@@ -143,7 +256,7 @@ def _merged(found: list[tuple]) -> list[tuple]:
     return sorted(out, key=lambda m: (m[2], m[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text", resolve: bool = False) -> DataFrame:
     """(doc_id, matches) of every row: array<struct<name, containment, first, last>> in words, last exclusive.
 
     A window matches if it holds ``containment`` of a template's distinct five-word shingles;
@@ -151,15 +264,21 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     of letters and digits, A-Z in lower case.  Null, empty and short texts have no matches;
     repeated rows and rows without a doc_id are scanned alike; other columns are ignored.
     The templates go to every task: they are the caller's, and do not grow with the data.
+
+    With ``resolve`` the templates are those of covered(), of matches that overlap only the
+    one with most words stays, a template's deciding words (its version, say) must be there
+    as they are, and one-line wordings are matches too, named by license alone.
     """
+    if resolve:
+        templates = covered()[0]
     items = tuple(sorted(templates.items()))
     _compiled(items, containment)  # complains here, not in tasks
     kinds = pa.list_(pa.struct([("name", pa.string()), ("containment", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches):
-        compiled = _compiled(items, containment)
+        compiled, wordings = _compiled(items, containment), covered()[1] if resolve else None
         for batch in batches:
-            found = [[dict(zip(("name", "containment", "first", "last"), m)) for m in ms] for ms in scan_batch(batch.column(1), compiled)]
+            found = [[dict(zip(("name", "containment", "first", "last"), m)) for m in ms] for ms in scan_batch(batch.column(1), compiled, wordings)]
             yield pa.record_batch([batch.column(0), pa.array(found, kinds)], names=["doc_id", "matches"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, matches array<struct<name:string,containment:double,first:long,last:long>>")
@@ -167,7 +286,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     """All documents with the licenses whose notices they hold."""
-    out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), resolve=True)
     said = lambda m: F.concat_ws(":", m["name"], m["first"].cast("string"), m["last"].cast("string"))
     licenses = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.substring_index(m["name"], ":", 1))))
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(licenses, ",").alias("licenses"), F.array_join(F.transform("matches", said), ",").alias("spans"), F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)), 6).alias("containment"))

@@ -69,3 +69,38 @@ def test_unfit_templates_and_empty_table(spark):
             n = len(np.unique(licenses.Templates(licenses.TEMPLATES, 0.8).sets[name]))
             assert (1 - licenses.window_similarity(n, half, 0.8)) ** licenses.BANDS < 1e-5
     assert licenses.scan_batch(pa.array(["a b"]), licenses.Templates(licenses.TEMPLATES, 0.8)) == [[]]
+
+
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+SAID = {
+    "licensed under the MIT License": "MIT",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "Licensed under Apache License 2.0": "Apache-2.0",
+    "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "released under the terms of the GPLv3 or later": "GPL-3.0",
+    "Licensed under the GNU General Public License, version 7.": "GPL",
+    "Licensed under the GPL, version 3.5 of 2040.": "GPL",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+    "distributed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+    "Licensed under CC BY-NC 3.0.": "CC-BY-NC-3.0",
+    "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+    GPL.format("General ", "2"): "GPL-2.0",
+    GPL.format("General ", "3"): "GPL-3.0",
+    GPL.format("Lesser General ", "2.1"): "LGPL-2.1",
+    GPL.format("Affero General ", "3"): "AGPL-3.0",
+    GPL.format("General ", "2") + " " + GPL.format("Lesser General ", "3"): "GPL-2.0,LGPL-3.0",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
+    "a license to wander, under the apache of the gnu": "",
+}
+
+
+def test_wordings_that_are_no_templates(spark, tmp_path):
+    bsd = licenses.covered()[0]["BSD-3-Clause:text"]
+    rows = dict(SAID) | {bsd: "BSD-3-Clause", bsd.replace("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ", ""): "BSD-2-Clause"}
+    full = licenses.covered()[0]["GPL-2.0:text"]
+    rows |= {full: "GPL-2.0", "x " * 300 + full.replace("Activities", "Things") + " and licensed under the ISC License": "GPL-2.0,ISC"}
+    texts = list(rows)
+    spark.createDataFrame([(k, f"Word before. {t}\nand after") for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {texts[r.doc_id]: r.licenses for r in licenses.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert got == rows
