@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lodeseam.llm import words
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Words with the digits inside them: a digit for a letter is a misspelling.
+JOINED = re.compile(r"[^\W\d_]+(?:\d+[^\W\d_]+)*")
 STEM_LENGTHS = range(3, 8)
 #: A misspelling counts as this share of its term.
 MISSPELLED = 0.7
@@ -39,8 +41,15 @@ REPORTING = frozenset(
 
 
 def allowed_edits(term: str) -> int:
-    """None for beginnings of words and for short words, else one, or two from ten letters on."""
-    return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 10 else 2
+    """None for short words, else one, or two from ten letters on; one for beginnings of words from six letters on."""
+    if term.endswith("*"):
+        return int(len(term) > 6)
+    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+
+
+def _with_parts(found: set[str]) -> set[str]:
+    """``found`` with the letters between digits of those that have digits inside."""
+    return found | {part for w in found if not w.isalpha() for part in WORD.findall(w)}
 
 
 class Automaton:
@@ -48,13 +57,15 @@ class Automaton:
 
     A state is a set of (trie node, edits so far).  Reading a letter follows the node's
     child; for an edit it stays (a letter too many), takes any child (a wrong letter), or
-    has skipped one (a letter missing).  States are numbered when they are first reached.
+    has skipped one (a letter missing).  Where a beginning ends it stays for nothing; one
+    without edits ends the word.  States are numbered when they are first reached.
     """
 
     def __init__(self, terms):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[str]] = [[]]
         self.most = [0]
+        self.open = [-1]
         for term in terms:
             edits, node = allowed_edits(term), 0
             self.most[0] = max(self.most[0], edits)
@@ -64,9 +75,12 @@ class Automaton:
                     self.children.append({})
                     self.ends.append([])
                     self.most.append(0)
+                    self.open.append(-1)
                 node = self.children[node][letter]
                 self.most[node] = max(self.most[node], edits)
             self.ends[node].append(term)
+            if term.endswith("*"):
+                self.open[node] = edits
         self.states: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -89,7 +103,7 @@ class Automaton:
             self.sets.append(key)
             self.moves.append({})
             found = [(e, term) for node, e in key for term in self.ends[node] if e <= allowed_edits(term)]
-            stems = [x for x in found if x[1].endswith("*")]
+            stems = [x for x in found if x[1].endswith("*") and not x[0]]
             best = min(stems or found, default=None)
             self.accepts.append(best and (best[1], best[0]))
             self.finished.append(bool(stems))
@@ -105,7 +119,7 @@ class Automaton:
         for node, e in self.sets[state]:
             for other, child in self.children[node].items():
                 reach(child, e + (other != letter))
-            reach(node, e + 1)
+            reach(node, e + (e > self.open[node]))
         to = self.moves[state][letter] = self._state(reached)
         return to
 
@@ -164,9 +178,14 @@ def find(model: Model, text: str) -> list[tuple[int, int, str, int, bool, float]
     """(first, last, term, edits, quoted, weight) of each match; characters of the lower-cased text, last exclusive."""
     cached = _matches(model)
     text = text.lower()
-    if not any(cached[w] for w in set(WORD.findall(text))):
+    if not any(cached[w] for w in _with_parts(set(JOINED.findall(text)))):
         return []
-    spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    spans = []
+    for m in JOINED.finditer(text):
+        if m[0].isalpha() or cached[m[0]]:
+            spans.append(m.span())
+        else:  # no misspelling: words that digits part
+            spans += [(m.start() + part.start(), m.start() + part.end()) for part in WORD.finditer(m[0])]
     weights, out = dict(model.terms), []
     for k, (i, j) in enumerate(spans):
         found = cached[text[i:j]]
@@ -211,7 +230,7 @@ def _count_features(batches):
 
     for batch in (part for whole in batches for part in _slices(whole, 0)):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = set(WORD.findall((text or "").lower()))
+            found = _with_parts(set(JOINED.findall((text or "").lower())))
             found |= {w[:k] + "*" for w in found for k in STEM_LENGTHS if k < len(w)}
             total.update(found)
             if label:
@@ -221,8 +240,14 @@ def _count_features(batches):
     yield from flush()
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int, least: int = 5, size: int = 500) -> tuple[tuple[str, float], ...]:
-    """The lexicon from (feature, toxic, total): precise features, the most frequent first, none that another covers.
+#: Terms of the lexicon, at most: the most frequent ones.
+LEXICON = 1_000
+
+
+def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int, least: int = 5, size: int = LEXICON) -> tuple[tuple[str, float], ...]:
+    """The lexicon from (feature, toxic, total): precise features, the most frequent first, no beginning that another covers.
+
+    A word that a beginning covers stays, as its misspellings need not begin alike.
 
     Of features that are as frequent the longest goes first, so that a beginning is no shorter
     than its occurrences in toxic documents justify; a word goes before its own beginning.
@@ -237,12 +262,13 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int,
     base = math.log((toxic_docs + 0.5) / (docs - toxic_docs + 0.5))
     for p, t, n, feature in rated:
         body = feature.rstrip("*")
-        if any(body[:k] in stems for k in range(1, len(body) + 1)) or feature.endswith("*") and 1.2 * covered[body] >= t:
+        under = any(body[:k] in stems for k in range(1, len(body) + 1))
+        if feature.endswith("*") and (under or 1.2 * covered[body] >= t):
             continue
         chosen[feature] = round(min(10.0, math.log(p / (1 - p)) - base), 4)
         if feature.endswith("*"):
             stems.add(body)
-        for k in range(1, len(body) + 1):
+        for k in range(1, len(body) + 1 if not under else 0):
             covered[body[:k]] += t
         if len(chosen) == size:
             break
@@ -268,12 +294,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
 SAMPLE = 20_000
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", size: int = LEXICON) -> Model:
     """The model of ``labels`` (doc_id, toxic): rows without either, and without a document, are left out.
 
     Fitted on a sample of at most about ``sample`` labelled rows, whatever the size of the
     table, so that what reaches the driver and every task is bounded: features that meet
     the support, and three numbers and the near words for each row of the sample.
+    The lexicon has at most ``size`` terms.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).alias("label")).where("doc_id is not null and label is not null")
     count = known.count()
@@ -287,7 +314,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     support = max(5, toxic_docs // 400)
     counts = rows.mapInArrow(_count_features, "feature string, toxic long, total long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
     precise = counts.where((F.col("toxic") >= support) & (F.col("toxic") * 2 > F.col("total"))).orderBy(F.desc("toxic"), "feature").limit(50_000)
-    terms = choose_terms([tuple(r) for r in precise.collect()], toxic_docs, seen)
+    terms = choose_terms([tuple(r) for r in precise.collect()], toxic_docs, seen, size=size)
     model = Model(terms)
 
     def near(batches):

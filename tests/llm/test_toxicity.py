@@ -93,3 +93,26 @@ def test_no_toxic_labels_and_empty_tables(spark, labels):
     model = tx.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert tx.score(docs, model).first().predicted == 0
     assert tx.score(docs.limit(0), model).collect() == []
+
+
+def test_inflected_forms_do_not_switch_misspellings_off():
+    counts = [("idiot", 40, 40), ("idiots", 10, 10), ("idio*", 50, 50), ("idiot*", 10, 10), ("pathe*", 30, 30), ("patheti*", 30, 30), ("pathetic", 30, 30)]
+    model = tx.Model(tx.choose_terms(counts, 100, 1000))
+    terms = dict(model.terms)
+    assert {"idio*", "idiot", "idiots", "pathetic"} <= set(terms) and "idiot*" not in terms
+    assert [m[2:4] for m in tx.find(model, "you ediot, idiotic idiots")] == [("idiot", 1), ("idio*", 0), ("idio*", 0)]
+    assert len(tx.choose_terms(counts, 100, 1000, size=2)) == 2
+
+
+def test_edits_inside_a_long_beginning():
+    automaton = tx.Automaton(["patheti*", "lowei*"])
+    for word, want in {"pathetically": ("patheti*", 0), "pathwtically": ("patheti*", 1), "pahetical": ("patheti*", 1), "patttetic": None, "lowxing": None}.items():
+        assert automaton.match(word) == want, word
+
+
+def test_digits_inside_words():
+    model = tx.Model((("idiot", 5.0), ("scum", 4.0)))
+    found = lambda t: [(m[0], m[1], m[2], m[3]) for m in tx.find(model, t)]
+    assert found("an id1ot") == [(3, 8, "idiot", 1)]
+    assert found("idiot2000 4scum") == [(0, 5, "idiot", 0), (11, 15, "scum", 0)]
+    assert found("scum4scum x2idiot") == [(0, 4, "scum", 0), (5, 9, "scum", 0), (12, 17, "idiot", 0)]
