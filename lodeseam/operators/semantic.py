@@ -12,9 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.schema import not_negative
+from lodeseam.sources.tables import snapshot
 
-#: Query vectors go to every task: this many at most.
-MAX_QUERIES = 100_000
+#: Queries, and vectors, that lie in one row and are multiplied at a time.
+BLOCK = 1_000
 
 
 def norm(vector: Column) -> Column:
@@ -33,38 +34,84 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
-def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+def _in_order(ids) -> np.ndarray:
+    return np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i])), int)
+
+
+def _packed(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """(``id_col``s, dimension, block) with up to ``size`` rows in one: their vectors at unit length, by id, as the bytes of doubles."""
+    arrow = to_arrow_type(rows.schema[id_col].dataType)
+
+    def run(batches):
+        for whole in batches:
+            for low in range(0, len(whole), size):
+                batch = whole.slice(low, size)
+                ids, block = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float)
+                order = _in_order(ids)
+                block = block[order] / np.maximum(np.linalg.norm(block[order], axis=1, keepdims=True), 1e-300)
+                yield pa.record_batch([pa.array([[ids[i] for i in order]], pa.list_(arrow)), pa.array([block.shape[1]], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=[f"{id_col}s", f"{id_col}_dimension", f"{id_col}_block"])
+
+    kind = dict(rows.dtypes)[id_col]
+    return rows.select(id_col, "vector").mapInArrow(run, f"{id_col}s array<{kind}>, {id_col}_dimension int, {id_col}_block binary")
+
+
+class _Best:
+    """The best ``k`` vectors of each query of a block, of those seen so far; ties go by id."""
+
+    def __init__(self, names: list, k: int):
+        self.names, self.k = names, k
+        self.least = np.full(len(names), -np.inf)
+        self.q, self.score, self.ids = np.zeros(0, int), np.zeros(0), np.zeros(0, object)
+
+    def add(self, scores: np.ndarray, ids: list) -> None:
+        k = min(self.k, len(ids))
+        edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        q, c = np.nonzero(scores >= np.maximum(edge, self.least[:, None]))
+        if not len(q):
+            return
+        there = np.zeros(len(ids), object)
+        there[:] = ids
+        q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, scores[q, c]]), np.concatenate([self.ids, there[c]])
+        place = np.empty(len(ids), int)
+        place[_in_order(ids)] = np.arange(len(ids))
+        order = np.lexsort((place, -score, q))
+        sorted_q = q[order]
+        nth = np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q)
+        keep = order[nth < self.k]
+        self.q, self.score, self.ids = q[keep], score[keep], ids[keep]
+        full = keep[nth[nth < self.k] == self.k - 1]
+        self.least[q[full]] = score[full]
+
+
+def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, chunk_id, score) for queries (query_id, vector) against vectors (chunk_id, vector): the cosine, all pairs.
 
-    Each batch of vectors is multiplied with the matrix of queries and keeps its best
-    ``top_k`` a query; a window ranks what the batches keep.  Ties go by chunk_id.
+    Both are packed into rows of up to ``block``; every block of queries meets every block of
+    vectors by a Cartesian product in Spark, whose tasks keep the best ``top_k`` a query of what
+    they see, and a window ranks what the tasks keep.  Ties go by chunk_id.  Nothing is
+    collected: a task holds two blocks, their scores, and its queries' best.
     """
     not_negative(top_k=top_k)
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    names = [r.query_id for r in asked]
-    matrix = np.array([r.vector for r in asked], float).reshape(len(names), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    kind, arrow = dict(queries.dtypes)["query_id"], to_arrow_type(queries.schema["query_id"].dataType)
+    count = queries.count()
+    asked = snapshot(_packed(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).repartition(max(1, -(-count // block))), "query_id", block).withColumn("number", F.monotonically_increasing_id()))
+    known = snapshot(_packed(vectors, "chunk_id", block))
+    q_arrow, c_arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["chunk_id"].dataType)
 
     def run(batches):
+        found: dict[int, _Best] = {}
         for batch in batches:
-            if not len(batch) or not names or not top_k:
-                continue
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            block = np.array(batch.column(1).to_pylist(), float)
-            if block.shape[1] != matrix.shape[1]:
-                raise ValueError(f"vectors of {block.shape[1]} dimensions, queries of {matrix.shape[1]}")
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
-            scores = np.round(matrix @ block.T, 9)
-            k = min(top_k, len(ids))
-            edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            q, c = np.nonzero(scores >= edge)  # ties at the edge stay; the window decides
-            yield pa.record_batch([pa.array([names[i] for i in q], arrow), pa.array(ids[c].tolist()), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
-
-    schema = f"query_id {kind}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
-    best = vectors.select("chunk_id", "vector").mapInArrow(run, schema)
+            for i in range(len(batch) if top_k else 0):
+                names, wide, asks, number, ids, wide_c, holds = (batch.column(c)[i].as_py() for c in range(7))
+                if wide != wide_c:
+                    raise ValueError(f"vectors of {wide_c} dimensions, queries of {wide}")
+                best = found.setdefault(number, _Best(names, top_k))
+                a, b = np.frombuffer(asks).reshape(len(names), wide), np.frombuffer(holds).reshape(len(ids), wide)
+                best.add(np.round(a @ b.T, 9), ids)
+        for best in found.values():
+            yield pa.record_batch([pa.array([best.names[i] for i in best.q], q_arrow), pa.array(best.ids.tolist(), c_arrow), pa.array(best.score, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
+    best = asked.crossJoin(known.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "score")
 

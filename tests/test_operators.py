@@ -81,6 +81,24 @@ def test_bm25_scores_and_storage(spark, tmp_path):
         lexical.search(index, queries, -1)
 
 
+def test_semantic_search_in_blocks(spark):
+    r = random.Random(8)
+    base = [[float(r.randint(-3, 3)) for _ in range(4)] + [1.0] for _ in range(60)]
+    rows = [(f"c{k}", base[k % 60] if k % 3 else base[0]) for k in range(200)]  # many ties
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(k, base[k % 60]) for k in range(70)], "query_id long, vector array<double>")
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+    want = {k: [c for c, _ in sorted(((c, cosine(base[k % 60], v)) for c, v in rows), key=lambda p: (-p[1], p[0]))[:7]] for k in range(70)}
+    for block in (16, 1000):
+        got = {}
+        found = semantic.search(vectors, queries, 7, block=block)
+        for row in sorted(found.collect(), key=lambda row: row["rank"]):
+            got.setdefault(row.query_id, []).append(row.chunk_id)
+        assert got == want
+        assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    assert semantic.search(vectors, queries, 0).collect() == semantic.search(vectors, queries.limit(0)).collect() == semantic.search(vectors.limit(0), queries).collect() == []
+
+
 def test_semantic_search(spark, tmp_path):
     rows = [(f"c{k}", [float(k == j) for j in range(3)]) for k in range(3)] + [("t", [1.0, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
