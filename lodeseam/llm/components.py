@@ -36,14 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (two columns of longs): root is the smallest node that it reaches.
 
     Each round, every task contracts its own edges by union-find; nodes to which two tasks
-    gave different roots make the edges of the next round.  What a task holds is its share
-    of the edges, and the rounds are logarithmic in the longest path.
+    gave different roots make the edges of the next round.  Edges are dealt by both ends, so
+    that a node with many of them is not in one task: what a task holds is its share of the
+    edges, and the rounds are logarithmic in the longest path.
     """
     a, b = edges.columns
     current = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     levels = []
     while True:
-        local = frames.stored(current.repartition("a").mapInArrow(_forests, "node long, root long"), "forest")
+        local = frames.stored(current.repartition("a", "b").mapInArrow(_forests, "node long, root long"), "forest")
         best = local.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
         levels.append(best.select("node", "root"))
         clashes = best.where("root <> other").select("node", F.col("root").alias("best"))

@@ -107,3 +107,24 @@ def test_band_settings_meet_their_bound():
     for threshold in (0.5, 0.8, 0.85, 0.95, 1.0):
         bands, rows = neardup.band_settings(threshold)
         assert (1 - threshold**rows) ** bands <= 1e-6
+
+
+def test_links_of_one_node_are_dealt_to_many_tasks(spark, monkeypatch):
+    from lodeseam.llm import components as module
+
+    whole, n = module._forests, 4000
+
+    def limited(batches):
+        held = list(batches)
+        if sum(map(len, held)) > n // 2:
+            raise ValueError("half of the links in one task")
+        return whole(iter(held))
+
+    monkeypatch.setattr(module, "_forests", limited)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.createDataFrame([(n, k) for k in range(n)], "x long, y long")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert len(got) == n + 1 and {r.root for r in got} == {0}
