@@ -12,7 +12,7 @@ row as the longest token has bytes.
 from __future__ import annotations
 
 import base64
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -24,8 +24,46 @@ from pyspark.sql import functions as F
 from lodeseam.llm import words
 
 
+class _Lookup:
+    """Integers by integer keys, for arrays of keys at a time: open addressing."""
+
+    def __init__(self, found: dict[int, int]):
+        keys, values = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        self._bits = max(4, (4 * len(keys)).bit_length())
+        self._keys, self._values = np.full(1 << self._bits, -1, np.int64), np.full(1 << self._bits, -1, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self._keys[at[left]] < 0]
+            self._keys[at[free]] = keys[free]  # of those that want one slot, one is in
+            placed = self._keys[at[left]] == keys[left]
+            self._values[at[left[placed]]] = values[left[placed]]
+            left = left[~placed]
+            at[left] = (at[left] + 1) & ((1 << self._bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        at = self._slot(keys)
+        there = self._keys[at]
+        out = np.where(there == keys, self._values[at], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self._bits) - 1)
+            there, want = self._keys[at[left]], keys[left]
+            hit = there == want
+            out[left[hit]] = self._values[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
 class Vocabulary:
-    """Tokens by bytes, their order of merging (the rank is the id), and which neighbours fit."""
+    """Tokens by bytes, their order of merging (the rank is the id), and which neighbours fit.
+
+    A merged token must rank after the two tokens that it is merged from, as it does in every
+    vocabulary that was trained by merging.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -35,19 +73,30 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self._size = size
-        self._fits: dict[int, bool] = {}
+        #: The rank at which a token is merged (-1 for a byte), and the two tokens that it is merged from.
+        self.made, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         #: The tokens that are the encoding of their own bytes; no other is ever the last of a prefix.
-        self.whole = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
+        self.whole: dict[bytes, int] = {}
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+            if len(token) > 1:
+                halves = self.merged(token, 2)
+                if len(halves) > 2:
+                    continue
+                a, b = halves
+                if max(self.made[a], self.made[b]) > rank:
+                    raise ValueError(f"token {rank} ranks before a token that it is merged from")
+                self.made[rank], self.left[rank], self.right[rank] = rank, a, b
+            self.whole[token] = rank
         #: Finds all of them that end at a byte, in text that has a character for each byte.
         self.ending = ahocorasick.Automaton()
         for token, rank in self.whole.items():
             self.ending.add_word(token.decode("latin-1"), (len(token), rank))
         self.ending.make_automaton()
 
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by its definition: merge the neighbours of least rank, the leftmost first, while there are any."""
+    def merged(self, data: bytes, least: int = 1) -> list[int]:
+        """The encoding by its definition: merge the neighbours of least rank, the leftmost first, while there are any (and more than ``least`` parts)."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], self._size), i) for i in range(len(parts) - 1))
             if rank == self._size:
                 break
@@ -55,14 +104,114 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     def fits(self, a: int, b: int) -> bool:
-        """Is [a, b] the encoding of its bytes?"""
-        key = a * self._size + b
-        found = self._fits.get(key)
-        if found is None:
-            if len(self._fits) >= 150_000:
-                self._fits.clear()
-            found = self._fits[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
-        return found
+        """Is [a, b] the encoding of its bytes?
+
+        If not, some merge reaches over the border between the two.  Undoing the merges of both
+        from the last to the first gives each pair that ever meets there; such a pair merges if
+        its own rank is less than that of the merge that was undone last (the same rank goes
+        to the leftmost).
+        """
+        ranks, tokens, made, limit = self.ranks, self.tokens, self.made, self._size
+        while True:
+            if ranks.get(tokens[a] + tokens[b], self._size) < limit:
+                return False
+            if made[a] > made[b]:
+                limit, a = made[a], self.right[a]
+            elif made[b] >= 0:
+                limit, b = made[b] + 1, self.left[b]
+            else:
+                return True
+
+    @cached_property
+    def arrays(self) -> _Arrays:
+        return _Arrays(self)
+
+
+class _Arrays:
+    """The vocabulary as arrays, to fill the prefix tables of many pieces at a time."""
+
+    def __init__(self, v: Vocabulary):
+        self._size = v._size
+        self.made, self.left, self.right = (np.array(x, np.int32) for x in (v.made, v.left, v.right))
+        self.lengths = np.array([len(t) for t in v.tokens], np.int32)
+        steps: dict[int, int] = {}
+        ends = [-1]
+        merges: dict[int, int] = {}
+        for token, rank in v.whole.items():
+            node = 0
+            for byte in token:
+                node = steps.setdefault(node << 8 | byte, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = rank
+        for token, rank in v.ranks.items():  # any two neighbours merge that make a token end to end
+            for k in range(1, len(token)):
+                a, b = v.whole.get(token[:k]), v.whole.get(token[k:])
+                if a is not None and b is not None:
+                    merges[a * v._size + b] = rank
+        self.steps, self.ends, self.merges = _Lookup(steps), np.array(ends, np.int32), _Lookup(merges)
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Vocabulary.fits() of each pair."""
+        out, live = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), self._size, np.int32)
+        while len(live):
+            rank = self.merges(a.astype(np.int64) * self._size + b)
+            merged = (rank >= 0) & (rank < limit)
+            out[live[merged]] = False
+            made_a, made_b = self.made[a], self.made[b]
+            undo_a = made_a > made_b
+            limit = np.where(undo_a, made_a, made_b + 1)
+            a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
+            more = ~merged & (np.maximum(made_a, made_b) >= 0)
+            live, limit, a, b = live[more], limit[more], a[more], b[more]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces end to end, and where each piece's begin (one more)."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        borders = np.cumsum([0, *map(len, pieces)])
+        begin = np.repeat(borders[:-1], np.diff(borders))
+        # the tokens at each byte, of all lengths at a time
+        starts, node, last_start, found = np.arange(len(data)), np.zeros(len(data), np.int64), np.repeat(borders[1:], np.diff(borders)), []
+        for step in range(len(data)):
+            node = self.steps(node << 8 | data[starts + step]).astype(np.int64)
+            going = node >= 0
+            starts, node, last_start = starts[going], node[going], last_start[going]
+            token = self.ends[node]
+            hit = token >= 0
+            found.append((starts[hit], starts[hit] + step, token[hit]))
+            going = starts + step + 1 < last_start
+            starts, node, last_start = starts[going], node[going], last_start[going]
+            if not len(starts):
+                break
+        start, end, token = (np.concatenate(x) for x in zip(*found))
+        # the one valid last token of each prefix, of all pieces at a time
+        within = (end - begin[end]).astype(np.int32)
+        order = np.argsort(within, kind="stable")
+        start, end, token = start[order], end[order], token[order]
+        last = np.full(len(data), -1, np.int32)
+        counts = np.cumsum([0, *np.bincount(within)])
+        for low, high in zip(counts[:-1].tolist(), counts[1:].tolist()):
+            s, e, t = start[low:high], end[low:high], token[low:high]
+            inner = np.flatnonzero(s > begin[e])
+            good = np.ones(high - low, bool)
+            good[inner] = self.fits(last[s[inner] - 1], t[inner])
+            last[e[good]] = t[good]
+        if (last < 0).any():
+            raise ValueError("the vocabulary lacks a byte of the text")
+        # from the end backwards
+        at, piece, out = borders[1:].copy(), np.arange(len(pieces)), []
+        at, piece = at[at > borders[:-1]], piece[at > borders[:-1]]
+        while len(at):
+            t = last[at - 1]
+            out.append((piece, t))
+            at = at - self.lengths[t]
+            going = at > borders[piece]
+            at, piece = at[going], piece[going]
+        owner, ids = (np.concatenate([x[i] for x in out[::-1]]) if out else np.zeros(0, np.int32) for i in (0, 1))
+        order = np.argsort(owner, kind="stable")
+        return ids[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pieces)))])
 
 
 class PrefixTable:
@@ -75,16 +224,13 @@ class PrefixTable:
     def _extend(self, high: int, agree=None) -> int:
         """Fill the table up to ``high`` positions, or until agree() of a new position says so; where it ends."""
         last, v, done = self.last, self.vocabulary, len(self.last)
-        known, size, base = v._fits.get, v._size, max(0, len(self.last) - v.longest)
+        base = max(0, len(self.last) - v.longest)
         for end, (length, token) in v.ending.iter(self.data[base:high].decode("latin-1")):
             end += base
             if end < done:
                 continue
-            if length <= end:
-                before = last[end - length]
-                fit = known(before * size + token)
-                if not (v.fits(before, token) if fit is None else fit):
-                    continue
+            if length <= end and not v.fits(last[end - length], token):
+                continue
             last.append(token)
             done += 1
             if agree is not None and agree(end):
@@ -126,22 +272,43 @@ class _Pieces(dict):
     """Encodings (32-bit ids as bytes) of the pieces met most recently."""
 
     LIMIT = 80_000
+    #: Longer pieces have a table each; of shorter ones, so many bytes are encoded at a time.
+    SHORT, AT_ONCE = 64, 1 << 18
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            data = piece.encode()
-            rank = self.vocabulary.ranks.get(data)  # a piece that is a token is not merged
-            found = np.array([rank] if rank is not None else PrefixTable(self.vocabulary, data).ids(), np.int32).tobytes()
+        self.learn({piece})
+        return self[piece]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode those of the pieces that are not known."""
         if len(self) >= self.LIMIT:
             self.older = dict(self)
             self.clear()
-        self[piece] = found
-        return found
+        ranks, some, size = self.vocabulary.ranks, [], 0
+        for piece in sorted(pieces.difference(self), key=len):  # alike lengths together
+            if (known := self.older.get(piece)) is not None:
+                self[piece] = known
+            elif (rank := ranks.get(piece.encode())) is not None:  # a piece that is a token is not merged
+                self[piece] = np.int32(rank).tobytes()
+            elif len(piece) > self.SHORT:
+                self[piece] = np.array(PrefixTable(self.vocabulary, piece.encode()).ids(), np.int32).tobytes()
+            else:
+                some.append(piece)
+                size += len(piece)
+                if size > self.AT_ONCE:
+                    self._together(some)
+                    some, size = [], 0
+        if some:
+            self._together(some)
+
+    def _together(self, pieces: list[str]) -> None:
+        ids, at = self.vocabulary.arrays.encode([p.encode() for p in pieces])
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        self.update((p, raw[i:j]) for p, i, j in zip(pieces, at, at[1:]))
 
 
 @cache
@@ -163,7 +330,9 @@ def _encode(path: str, pattern: str):
             _, offsets = words.utf8(batch.column(1))
             for low, high in words.pieces(offsets, 2 << 20):
                 rows = batch.slice(low, high - low)
-                found = [b"".join(map(cached.__getitem__, split(text))) if text else b"" for text in rows.column(1).to_pylist()]
+                parts = [split(text) if text else [] for text in rows.column(1).to_pylist()]
+                cached.learn(set().union(*parts))
+                found = [b"".join(map(cached.__getitem__, p)) for p in parts]
                 at = np.cumsum([0, *map(len, found)]) // 4
                 ids = pa.ListArray.from_arrays(at.astype(np.int32), np.frombuffer(b"".join(found), np.int32))
                 yield pa.record_batch([rows.column(0), ids], names=["doc_id", "ids"])
