@@ -255,7 +255,8 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int,
     support = max(least, toxic_docs // 400)
     rated = [((t + 0.5) / (n + 1), t, n, f) for f, t, n in counts if t >= support]
     best = max((p for p, *_ in rated), default=0.0)
-    rated = sorted((x for x in rated if x[0] >= 0.9 * best and x[0] > 2 * toxic_docs / max(docs, 1)), key=lambda x: (-x[1], -len(x[3].rstrip("*")), x[3].endswith("*"), x[3]))
+    share = toxic_docs / max(docs, 1)
+    rated = sorted((x for x in rated if x[0] >= 0.9 * best and x[0] > min(2 * share, (1 + share) / 2)), key=lambda x: (-x[1], -len(x[3].rstrip("*")), x[3].endswith("*"), x[3]))
     chosen: dict[str, float] = {}
     stems: set[str] = set()
     covered: dict[str, int] = defaultdict(int)
@@ -294,6 +295,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
 SAMPLE = 20_000
 
 
+#: A document without matches is never called toxic, however many of the labels are: the intercept is at most this.
+NO_MATCH = -0.01
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", size: int = LEXICON) -> Model:
     """The model of ``labels`` (doc_id, toxic): rows without either, and without a document, are left out.
 
@@ -334,8 +339,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     clean = frozenset(n for n, (bad, there) in worth.items() if bad < 0.5 * there) - {t for t, _ in terms}
     around = Counter(t for t in {tuple(pair.split()) for r in fitted for pair in r.near} if t[0] in clean for t in [t[1]])
     literal = frozenset(t for t, n in around.items() if n >= 3 and worth[t][0] < 0.5 * worth[t][1])
+    if not terms:
+        return Model(())
     x = np.array([r.x for r in fitted], float)
-    return Model(terms, clean, literal, fit_logistic(x, np.array([r.label for r in fitted], float)))
+    none, *some = fit_logistic(x, np.array([r.label for r in fitted], float))
+    return Model(terms, clean, literal, (min(none, NO_MATCH), *some))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
