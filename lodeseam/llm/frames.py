@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (local tests), one in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+    """The folder that the cluster names in spark.checkpoint.dir; on a local master where it is unset (tests), one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
@@ -21,6 +24,41 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys are broadcast up to this many; beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 400_000
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _keyed(df: DataFrame, row, keys: DataFrame, how: str) -> DataFrame:
+    keys = stored(keys, "keys")
+    names = [unused(df, f"key_{k}") for k in range(len(row))]
+    keys = keys.toDF(*names)
+    match = F.lit(True)
+    for value, name in zip(row, names):
+        match = match & value.eqNullSafe(F.col(name))
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, match, how)
+
+
+def without(df: DataFrame, row, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose values ``row`` (columns) are not among ``keys``; nulls are equal.
+
+    Keys are counted first: up to ``BROADCAST_KEYS`` go to all tasks and ``df`` stays where it is.
+    """
+    return _keyed(df, row, keys, "left_anti")
+
+
+def only(df: DataFrame, row, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose values ``row`` (columns) are among ``keys``; nulls are equal."""
+    return _keyed(df, row, keys, "left_semi")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, for choosing numbers of buckets."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
