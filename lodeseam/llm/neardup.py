@@ -22,6 +22,7 @@ from lodeseam.llm.components import components
 
 _EMPTY = np.uint64(2**64 - 1)
 _REPLAYED = 8  # steps whose permutation is traced back rather than stored
+_SLICE = 1 << 15  # elements whose permutations are stored at a time
 
 
 def band_settings(threshold: float, miss: float = 1e-6, values: int = 280) -> tuple[int, int]:
@@ -35,11 +36,23 @@ def band_settings(threshold: float, miss: float = 1e-6, values: int = 280) -> tu
 
 
 def super_minhash(elements: np.ndarray, first: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
-    """The signatures (a row of m values each) of the sets elements[first[d]:first[d + 1]]."""
+    """The signatures (a row of m values each) of the sets elements[first[d]:first[d + 1]].
+
+    Elements go in slices, however long a set is: each position keeps the least value of all.
+    """
     n = len(first) - 1
     out = np.full((n, m), _EMPTY, np.uint64)
-    flat = out.reshape(-1)
     owner = np.repeat(np.arange(n), np.diff(first))
+    for low in range(0, len(elements), _SLICE):
+        part = owner[low : low + _SLICE]
+        a, b = part[0], part[-1] + 1
+        np.minimum(out[a:b], _signatures(elements[low : low + _SLICE], part - a, b - a, m, seed), out=out[a:b])
+    return out
+
+
+def _signatures(elements: np.ndarray, owner: np.ndarray, n: int, m: int, seed: int) -> np.ndarray:
+    out = np.full((n, m), _EMPTY, np.uint64)
+    flat = out.reshape(-1)
     picks: list[np.ndarray] = []
     deal = None
     for step in range(m):
@@ -61,8 +74,7 @@ def super_minhash(elements: np.ndarray, first: np.ndarray, m: int, seed: int = 1
             deal[each, pick] = deal[:, step]
         value = np.uint64(step << 32) | random >> np.uint64(32)
         np.minimum.at(flat, owner * m + place, value)
-        open_rows = (out == _EMPTY).any(axis=1)
-        keep = open_rows[owner]
+        keep = (out == _EMPTY).any(axis=1)[owner]
         if not keep.any():
             break
         if not keep.all():
