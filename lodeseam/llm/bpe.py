@@ -361,7 +361,6 @@ def _decode(path: str):
         data = np.frombuffer(b"".join(tokens), np.uint8)
         ends = np.cumsum([0, *map(len, tokens)])
         for batch in batches:
-            lists = batch.column(1)
             for low in range(0, len(batch), 250):
                 rows = batch.slice(low, 250)
                 lists = rows.column(1)
@@ -382,12 +381,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path), f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass of one Python worker a task: (doc_id, ids, decoded)."""
+    encoder, decoder = _encode(path, pattern), _decode(path)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, decoded binary")
+
+
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """The contract's digests: encode all documents, then decode the ids."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN), path)
+    out = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

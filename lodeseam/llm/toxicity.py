@@ -81,6 +81,10 @@ class Automaton:
             self.ends[node].append(term)
             if term.endswith("*"):
                 self.open[node] = edits
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all states but the first."""
         self.states: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -150,15 +154,25 @@ class _Matches(dict):
     """What words match, for the words met most recently."""
 
     LIMIT = 60_000
+    #: States of the automaton; beyond them it starts anew, with those that words then need.
+    STATES = 20_000
 
     def __init__(self, model: Model):
         super().__init__()
         self.automaton, self.model, self.older = Automaton(t for t, _ in model.terms), model, {}
 
+    def forget(self) -> None:
+        """Leave the trie alone: a worker outlives its task, and what later stages need is memory."""
+        self.clear()
+        self.older = {}
+        self.automaton.reset()
+
     def __missing__(self, word: str):
         if word in self.older:
             found = self.older[word]
         else:
+            if len(self.automaton.sets) > self.STATES:
+                self.automaton.reset()
             found = self.automaton.match(word)
             if found and found[1] and (word in self.model.clean or found[0] in self.model.literal):
                 found = None
@@ -329,6 +343,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             misspelt = [sorted({f"{t.lower()[m[0] : m[1]]} {m[2]}" for m in ms}) if all(m[3] for m in ms) else [] for t, ms in zip(batch.column(0).to_pylist(), found)]
             xs = [_inputs([m for m in ms if not m[3]]) for ms in found]
             yield pa.record_batch([batch.column(1), pa.array(xs, pa.list_(pa.float64())), pa.array(misspelt, pa.list_(pa.string()))], names=["label", "x", "near"])
+        _matches(model).forget()
 
     fitted = rows.mapInArrow(near, "label boolean, x array<double>, near array<string>").collect()
     worth: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -361,13 +376,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = [_score(model, ms) for ms in found]
             rows = [[dict(zip(names, m)) for m in ms] for ms in found]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(rows, kinds)], names=["doc_id", "score", "predicted", "matches"])
+        _matches(model).forget()
 
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int, matches array<struct<first:long,last:long,term:string,edits:int,quoted:boolean,weight:double>>"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``least``."""
+    """The rows of ``docs``, with all their columns, that score below ``least``.
+
+    A null or empty text has no matches and stays, as the model's score for none is below one
+    half.  Repeated rows and rows without an id are judged like any other; an empty table
+    stays empty, and other columns may have any name.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -375,6 +396,7 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
             for part in _slices(batch, at):
                 scores = [_score(model, find(model, t) if t else []) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([s < least for s in scores], pa.bool_()))
+        _matches(model).forget()
 
     return docs.mapInArrow(run, docs.schema)
 
