@@ -67,7 +67,7 @@ def tokenize(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     has no ids.  An empty table gives an empty result; other columns are ignored.
     """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    out = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
