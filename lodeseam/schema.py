@@ -35,10 +35,12 @@ LANGUAGES = {
     ".hxx": "C++",
 }
 IGNORED_FOLDERS = (
-    ".git .hg .svn .idea .vscode node_modules __pycache__ .venv venv env build dist target coverage .next .nuxt vendor out"
-).split()
+    ".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "__pycache__", ".venv", "venv", "env",
+    "build", "dist", "target", "coverage", ".next", ".nuxt", "vendor", "out",
+)
 MAX_FILE_BYTES = 1_000_000
 
+# What callers may ask for.
 LIMITS = {
     "query": (1, 4000),
     "top_k": (1, 100),

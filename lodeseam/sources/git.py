@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import subprocess
 import tarfile
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.schema import CHUNK
-from lodeseam.sources.tree import chunk_files, eligible, language_of, repository_id
+from lodeseam.sources.tree import chunk_files, is_eligible, language_of, repository_id
 
 
 def _git(repository: str, *arguments: str) -> bytes:
@@ -21,11 +21,16 @@ def _git(repository: str, *arguments: str) -> bytes:
         raise ValueError(e.stderr.decode(errors="replace").strip() or "git failed") from e
 
 
+def root_of(repository: str) -> str:
+    """The top folder of the work tree that ``repository`` is in."""
+    return _git(repository, "rev-parse", "--show-toplevel").decode().rstrip("\n")
+
+
 def resolve_commit(repository: str, revision: str) -> tuple[str, list[str]]:
     """(commit, parents) of a revision; an empty one and one that looks like an option raise ValueError."""
     if not revision.strip() or revision.startswith("-"):
         raise ValueError("not a revision")
-    commit = _git(repository, "rev-parse", "--verify", f"{revision}^{{commit}}").decode().strip()
+    commit = _git(repository, "rev-parse", "--verify", "--end-of-options", f"{revision}^{{commit}}").decode().split()[-1]
     return commit, _git(repository, "rev-list", "--parents", "-n", "1", commit).decode().split()[1:]
 
 
@@ -33,37 +38,37 @@ def changed_paths(repository: str, commit: str, parents: list[str]) -> tuple[lis
     """(paths, renames from old to new) against the first parent; none for a root."""
     if not parents:
         return [], {}
-    changed, renames = set(), {}
-    for line in _git(repository, "diff", "--find-renames", "--name-status", parents[0], commit).decode().splitlines():
-        status, *paths = line.split("\t")
-        changed.update(paths)
-        if status.startswith("R"):
-            renames[paths[0]] = paths[1]
-    return sorted(changed), renames
+    # fields end in NUL, so that no path is quoted: a status, then one path, or two of what has moved
+    fields = iter(_git(repository, "diff", "--find-renames", "--name-status", "-z", parents[0], commit).decode(errors="replace").split("\0")[:-1])
+    moves = [(status[0], next(fields), next(fields) if status[0] in "RC" else None) for status in fields]
+    return sorted({p for _, *paths in moves for p in paths if p is not None}), {old: new for status, old, new in moves if status == "R"}
 
 
 def files_at(spark: SparkSession, repository: str, commits: DataFrame) -> DataFrame:
     """(version_id, file_path, language, text) of the eligible files of each commit: a task reads the archives of its commits.
 
-    The repository has to be there on the executors.
+    An archive is streamed, and a file is read only if its name and size qualify.  The
+    repository has to be there on the executors.
     """
 
+    def texts(commit: str):
+        with subprocess.Popen(["git", "-C", repository, "archive", "--format=tar", commit], stdout=subprocess.PIPE) as archiver:
+            with tarfile.open(fileobj=archiver.stdout, mode="r|") as archive:
+                for member in archive:
+                    safe = not member.name.startswith("/") and ".." not in member.name.split("/")
+                    if member.isfile() and safe and is_eligible(member.name, member.size):
+                        yield member.name, archive.extractfile(member).read()
+        if archiver.returncode:
+            raise ValueError(f"git archive of {commit} failed")
+
     def run(parts):
-        for part in parts:
-            for commit in part["version_id"]:
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(_git(repository, "archive", "--format=tar", commit))) as archive:
-                    for member in archive:
-                        if member.isfile() and not member.name.startswith("/") and ".." not in member.name.split("/"):
-                            try:
-                                text = archive.extractfile(member).read().decode()
-                            except UnicodeDecodeError:
-                                text = None
-                            rows.append((commit, member.name, member.size, text))
-                yield pd.DataFrame(rows, columns=["version_id", "file_path", "size", "text"])
-
-    files = commits.select("version_id").repartition("version_id").mapInPandas(run, "version_id string, file_path string, size long, text string")
-    return files.where(eligible(F.col("file_path"), F.col("size"))).select("version_id", "file_path", language_of(F.col("file_path")).alias("language"), "text")
+        for commit in (c for part in parts for c in part["version_id"]):
+            found = texts(commit)
+            while rows := list(islice(found, 200)):
+                yield pd.DataFrame({"version_id": commit, "file_path": [name for name, _ in rows], "content": [raw for _, raw in rows]})
+
+    files = commits.select("version_id").repartition("version_id").mapInPandas(run, "version_id string, file_path string, content binary")
+    return files.select("version_id", "file_path", language_of(F.col("file_path")).alias("language"), F.try_validate_utf8("content").alias("text"))
 
 
 def index_versions(spark: SparkSession, repository: str, revisions: dict[str, str]) -> tuple[DataFrame, DataFrame]:
