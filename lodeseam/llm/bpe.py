@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm import words
+from lodeseam.llm import frames, words
 
 
 class _Lookup:
@@ -352,7 +352,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     other columns are ignored.  ``path`` is read by the tasks, so it has to be there on the
     executors.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode(path, pattern), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
+    return frames.in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), _encode(path, pattern), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def _decode(path: str):
@@ -378,14 +378,14 @@ def _decode(path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of rows (doc_id, ids): the bytes of each row's tokens, end to end; none for null."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(path), f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<int>, decoded binary")
+    return frames.in_arrow(encoded.select("doc_id", "ids"), _decode(path), f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<int>, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """decode(encode(docs)) in one pass of one Python worker a task: (doc_id, ids, decoded)."""
     encoder, decoder = _encode(path, pattern), _decode(path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, decoded binary")
+    return frames.in_arrow(rows, lambda batches: decoder(encoder(batches)), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, decoded binary")
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

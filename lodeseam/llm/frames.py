@@ -24,6 +24,19 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What an Arrow batch holds, unless the session has set it: the JVM keeps each batch twice outside its heap, whatever a row weighs.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow() over batches of a few megabytes instead of 10,000 rows of any size."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH).rstrip("b") == "67108864":  # Spark's own default
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 #: Keys are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 400_000
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm import notices, words
+from lodeseam.llm import frames, notices, words
 
 #: The standard notices of common licenses, by SPDX identifier (":" tells notices of one license apart).
 TEMPLATES = {
@@ -281,7 +281,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
             found = [[dict(zip(("name", "containment", "first", "last"), m)) for m in ms] for ms in scan_batch(batch.column(1), compiled, wordings)]
             yield pa.record_batch([batch.column(0), pa.array(found, kinds)], names=["doc_id", "matches"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, matches array<struct<name:string,containment:double,first:long,last:long>>")
+    return frames.in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, matches array<struct<name:string,containment:double,first:long,last:long>>")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -170,9 +170,9 @@ def _check_pairs(rows: DataFrame, pairs: DataFrame, width: int, table: np.ndarra
     wanted = frames.stored(dealt.union(heads), "wanted")
     few = wanted.count() <= BROADCAST_PAIRS
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("pivot", "part", "is_member", "doc_id", "text")
-    sets = texts.mapInArrow(_sets(width, table), "pivot long, part int, is_member boolean, doc_id long, elements binary")
+    sets = frames.in_arrow(texts, _sets(width, table), "pivot long, part int, is_member boolean, doc_id long, elements binary")
     grouped = sets.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "is_member")
-    return frames.stored(grouped.mapInArrow(_verify(width, table, percent), "a long, b long, alike double"), "verified")
+    return frames.stored(frames.in_arrow(grouped, _verify(width, table, percent), "a long, b long, alike double"), "verified")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, pivots: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     table = words.BYTES_LOWER if lower else words.BYTES
     bands, depth = band_settings(percent / 100)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = frames.stored(rows.mapInArrow(_features(width, table, bands, depth), "doc_id long, n long, digest binary, bands array<long>"), "features")
+    features = frames.stored(frames.in_arrow(rows, _features(width, table, bands, depth), "doc_id long, n long, digest binary, bands array<long>"), "features")
 
     known = features.where("doc_id is not null and digest is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("head"))
@@ -263,7 +263,7 @@ def _bitmaps(rows: DataFrame, ids: DataFrame, width: int, table: np.ndarray) ->
 
     few = ids.count() <= BROADCAST_PAIRS
     texts = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text")
-    maps = texts.mapInArrow(run, "doc_id long, bits array<long>")
+    maps = frames.in_arrow(texts, run, "doc_id long, bits array<long>")
     return maps.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
 
 

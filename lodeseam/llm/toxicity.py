@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm import words
+from lodeseam.llm import frames, words
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words with the digits inside them: a digit for a letter is a misspelling.
@@ -331,7 +331,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     if not toxic_docs:
         return Model(())
     support = max(5, toxic_docs // 400)
-    counts = rows.mapInArrow(_count_features, "feature string, toxic long, total long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
+    counts = frames.in_arrow(rows, _count_features, "feature string, toxic long, total long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
     precise = counts.where((F.col("toxic") >= support) & (F.col("toxic") * 2 > F.col("total"))).orderBy(F.desc("toxic"), "feature").limit(50_000)
     terms = choose_terms([tuple(r) for r in precise.collect()], toxic_docs, seen, size=size)
     model = Model(terms)
@@ -345,7 +345,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.record_batch([batch.column(1), pa.array(xs, pa.list_(pa.float64())), pa.array(misspelt, pa.list_(pa.string()))], names=["label", "x", "near"])
         _matches(model).forget()
 
-    fitted = rows.mapInArrow(near, "label boolean, x array<double>, near array<string>").collect()
+    fitted = frames.in_arrow(rows, near, "label boolean, x array<double>, near array<string>").collect()
     worth: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for r in fitted:
         for name in {n for pair in r.near for n in pair.split()}:
@@ -379,7 +379,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         _matches(model).forget()
 
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int, matches array<struct<first:long,last:long,term:string,edits:int,quoted:boolean,weight:double>>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return frames.in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -398,7 +398,7 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
                 yield part.filter(pa.array([s < least for s in scores], pa.bool_()))
         _matches(model).forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return frames.in_arrow(docs, run, docs.schema)
 
 
 def held_out(doc_id):
