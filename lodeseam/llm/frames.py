@@ -5,16 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; on a local master where it is unset (tests), one in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+from lodeseam.sources.steps import shared_folder
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:

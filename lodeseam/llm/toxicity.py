@@ -83,6 +83,9 @@ class Automaton:
                 self.open[node] = edits
         self.reset()
 
+    #: States that are numbered; beyond them a word is walked without.
+    LIMIT = 60_000
+
     def reset(self) -> None:
         """Forget all states but the first."""
         self.states: dict[frozenset, int] = {}
@@ -90,10 +93,10 @@ class Automaton:
         self.sets: list[frozenset] = []
         self.accepts: list[tuple[str, int] | None] = []
         self.finished: list[bool] = []
-        self.dead = self._state({})
-        self.start = self._state({0: 0})
+        self.dead = self._number(frozenset())
+        self.start = self._number(self._closed({0: 0}))
 
-    def _state(self, edits: dict[int, int]) -> int:
+    def _closed(self, edits: dict[int, int]) -> frozenset:
         queue = list(edits.items())
         while queue:  # missing letters
             node, e = queue.pop()
@@ -101,44 +104,65 @@ class Automaton:
                 if e < self.most[child] and edits.get(child, 99) > e + 1:
                     edits[child] = e + 1
                     queue.append((child, e + 1))
-        key = frozenset(edits.items())
-        if key not in self.states:
-            self.states[key] = len(self.sets)
-            self.sets.append(key)
-            self.moves.append({})
-            found = [(e, term) for node, e in key for term in self.ends[node] if e <= allowed_edits(term)]
-            stems = [x for x in found if x[1].endswith("*") and not x[0]]
-            best = min(stems or found, default=None)
-            self.accepts.append(best and (best[1], best[0]))
-            self.finished.append(bool(stems))
-        return self.states[key]
-
-    def _move(self, state: int, letter: str) -> int:
+        return frozenset(edits.items())
+
+    def _step(self, pairs: frozenset, letter: str) -> frozenset:
         reached: dict[int, int] = {}
 
         def reach(node: int, e: int) -> None:
             if e <= self.most[node] and reached.get(node, 99) > e:
                 reached[node] = e
 
-        for node, e in self.sets[state]:
+        for node, e in pairs:
             for other, child in self.children[node].items():
                 reach(child, e + (other != letter))
             reach(node, e + (e > self.open[node]))
-        to = self.moves[state][letter] = self._state(reached)
-        return to
+        return self._closed(reached)
+
+    def _accepts(self, pairs: frozenset) -> tuple[tuple[str, int] | None, bool]:
+        """The nearest term that ends here, and whether the word's end doesn't matter."""
+        found = [(e, term) for node, e in pairs for term in self.ends[node] if e <= allowed_edits(term)]
+        stems = [x for x in found if x[1].endswith("*") and not x[0]]
+        best = min(stems or found, default=None)
+        return best and (best[1], best[0]), bool(stems)
+
+    def _number(self, pairs: frozenset) -> int:
+        if pairs not in self.states:
+            self.states[pairs] = len(self.sets)
+            self.sets.append(pairs)
+            self.moves.append({})
+            accepts, finished = self._accepts(pairs)
+            self.accepts.append(accepts)
+            self.finished.append(finished)
+        return self.states[pairs]
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term, or None."""
         state, moves = self.start, self.moves
-        for letter in word:
+        for i, letter in enumerate(word):
             to = moves[state].get(letter)
-            state = self._move(state, letter) if to is None else to
+            if to is None:
+                pairs = self._step(self.sets[state], letter)
+                if pairs not in self.states and len(self.sets) >= self.LIMIT:
+                    return self._walk(pairs, word[i + 1 :])
+                to = moves[state][letter] = self._number(pairs)
+            state = to
             if state == self.dead:
                 return None
             if self.finished[state]:
                 break
         return self.accepts[state]
 
+    def _walk(self, pairs: frozenset, rest: str) -> tuple[str, int] | None:
+        """match() from a state that has no number, through others that get none."""
+        accepts, finished = self._accepts(pairs)
+        for letter in rest:
+            if not pairs or finished:
+                break
+            pairs = self._step(pairs, letter)
+            accepts, finished = self._accepts(pairs)
+        return accepts
+
 
 @dataclass(frozen=True)
 class Model:
@@ -154,25 +178,19 @@ class _Matches(dict):
     """What words match, for the words met most recently."""
 
     LIMIT = 60_000
-    #: States of the automaton; beyond them it starts anew, with those that words then need.
-    STATES = 20_000
-
     def __init__(self, model: Model):
         super().__init__()
         self.automaton, self.model, self.older = Automaton(t for t, _ in model.terms), model, {}
 
     def forget(self) -> None:
-        """Leave the trie alone: a worker outlives its task, and what later stages need is memory."""
+        """Leave the automaton alone: a worker outlives its task, and what later stages need is memory."""
         self.clear()
         self.older = {}
-        self.automaton.reset()
 
     def __missing__(self, word: str):
         if word in self.older:
             found = self.older[word]
         else:
-            if len(self.automaton.sets) > self.STATES:
-                self.automaton.reset()
             found = self.automaton.match(word)
             if found and found[1] and (word in self.model.clean or found[0] in self.model.literal):
                 found = None
@@ -183,7 +201,7 @@ class _Matches(dict):
         return found
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _matches(model: Model) -> _Matches:
     return _Matches(model)
 
