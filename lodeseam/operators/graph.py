@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseam.schema import not_negative
-from lodeseam.sources.tables import snapshot
+from lodeseam.sources.steps import snapshot
 from lodeseam.sources.tree import signature
 
 # Relations in the order in which an edge lists them, and what they are called backwards.
@@ -68,6 +68,12 @@ def contains(chunks: DataFrame) -> DataFrame:
     return inner.select(source.alias("source"), symbol_node(F.col("chunk_id")).alias("target"))
 
 
+def unresolved(chunks: DataFrame) -> DataFrame:
+    """(warning): the chunks whose parent symbol names nothing, or more than one thing."""
+    inner = resolve(chunks.where("parent_symbol is not null").select("chunk_id", "file_path", "symbol_name", F.col("parent_symbol").alias("name")), chunks)
+    return inner.where("target is null").select(F.concat("file_path", F.lit(": parent "), "name", F.lit(" of "), "symbol_name", F.lit(" can't be resolved")).alias("warning"))
+
+
 def _links(named: DataFrame, chunks: DataFrame, class_only: bool = False) -> DataFrame:
     found = resolve(named.distinct(), chunks, class_only).where("target is not null")
     return found.select(symbol_node(F.col("chunk_id")).alias("source"), symbol_node(F.col("target")).alias("target")).distinct()

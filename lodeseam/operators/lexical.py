@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.schema import not_negative
+from lodeseam.sources.steps import snapshot
 
 
 def ranked(results: DataFrame, k: int, score: str = "score", by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -38,11 +39,13 @@ class LexicalIndex:
 
 
 def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> LexicalIndex:
-    """The index of ``chunks``; each table is its own aggregation of the tokens."""
-    tokens = chunks.select("chunk_id", "file_path", "start_line", tokenize(searchable_text()).alias("tokens"))
-    postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    doc_stats = tokens.select("chunk_id", F.size("tokens").alias("dl"), "file_path", "start_line")
-    term_stats = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """The index of ``chunks``.  Texts are tokenized once: postings are stored, and all other tables come from them."""
+    words = chunks.select("chunk_id", F.explode(tokenize(searchable_text())).alias("term"))
+    postings = snapshot(words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")))
+    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("sum"))
+    places = chunks.select("chunk_id", "file_path", "start_line").join(lengths, "chunk_id", "left")
+    doc_stats = places.select("chunk_id", F.coalesce("sum", F.lit(0)).cast("int").alias("dl"), "file_path", "start_line")
+    term_stats = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus_stats = doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     return LexicalIndex(postings, doc_stats, term_stats, corpus_stats, k1, b)
 

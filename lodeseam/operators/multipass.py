@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.operators import fusion, graph, lexical, rerank, semantic
-from lodeseam.sources.tables import snapshot
+from lodeseam.sources.steps import snapshot
 
 #: With a graph, the graph's feature counts as well.
 WEIGHTS = rerank.Weights(graph=0.10)

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.schema import not_negative
-from lodeseam.sources.tables import snapshot
+from lodeseam.sources.steps import snapshot
 
 #: Queries, and vectors, that lie in one row and are multiplied at a time.
 BLOCK = 1_000
@@ -39,20 +39,30 @@ def _in_order(ids) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(``id_col``s, dimension, block) with up to ``size`` rows in one: their vectors at unit length, by id, as the bytes of doubles."""
+    """(``id_col``s, dimension, block, part) with up to ``size`` rows of one part in one: their vectors at unit length, by id, as the bytes of doubles.
+
+    ``rows`` are (``id_col``, vector, part), a part's rows side by side.
+    """
     arrow = to_arrow_type(rows.schema[id_col].dataType)
 
+    def cuts(parts: list):
+        low = 0
+        for at in range(1, len(parts) + 1):
+            if at == len(parts) or at - low == size or parts[at] != parts[low]:
+                yield low, at
+                low = at
+
     def run(batches):
         for whole in batches:
-            for low in range(0, len(whole), size):
-                batch = whole.slice(low, size)
+            for low, high in cuts(whole.column(2).to_pylist()):
+                batch = whole.slice(low, high - low)
                 ids, block = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float)
                 order = _in_order(ids)
                 block = block[order] / np.maximum(np.linalg.norm(block[order], axis=1, keepdims=True), 1e-300)
-                yield pa.record_batch([pa.array([[ids[i] for i in order]], pa.list_(arrow)), pa.array([block.shape[1]], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=[f"{id_col}s", f"{id_col}_dimension", f"{id_col}_block"])
+                yield pa.record_batch([pa.array([[ids[i] for i in order]], pa.list_(arrow)), pa.array([block.shape[1]], pa.int32()), pa.array([block.tobytes()], pa.binary()), batch.column(2).slice(0, 1)], names=[f"{id_col}s", f"{id_col}_dimension", f"{id_col}_block", f"{id_col}_part"])
 
     kind = dict(rows.dtypes)[id_col]
-    return rows.select(id_col, "vector").mapInArrow(run, f"{id_col}s array<{kind}>, {id_col}_dimension int, {id_col}_block binary")
+    return rows.select(id_col, "vector", F.col("part").cast("string")).mapInArrow(run, f"{id_col}s array<{kind}>, {id_col}_dimension int, {id_col}_block binary, {id_col}_part string")
 
 
 class _Best:
@@ -83,37 +93,40 @@ class _Best:
         self.least[q[full]] = score[full]
 
 
-def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score) for queries (query_id, vector) against vectors (chunk_id, vector): the cosine, all pairs.
 
     Both are packed into rows of up to ``block``; every block of queries meets every block of
     vectors by a Cartesian product in Spark, whose tasks keep the best ``top_k`` a query of what
     they see, and a window ranks what the tasks keep.  Ties go by chunk_id.  Nothing is
-    collected: a task holds two blocks, their scores, and its queries' best.
+    collected: a task holds two blocks, their scores, and its queries' best.  With ``within``, a
+    column of strings of ``vectors``, each of its values has a ranking of its own, and the result that column.
     """
     not_negative(top_k=top_k)
     count = queries.count()
-    asked = snapshot(_packed(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).repartition(max(1, -(-count // block))), "query_id", block).withColumn("number", F.monotonically_increasing_id()))
-    known = snapshot(_packed(vectors, "chunk_id", block))
+    asked = snapshot(_packed(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(None).alias("part")).repartition(max(1, -(-count // block))), "query_id", block).drop("query_id_part").withColumn("number", F.monotonically_increasing_id()))
+    parted = vectors.select("chunk_id", "vector", F.lit(None).alias("part") if within is None else F.col(within).alias("part"))
+    known = snapshot(_packed(parted if within is None else parted.sortWithinPartitions("part"), "chunk_id", block))
     q_arrow, c_arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["chunk_id"].dataType)
 
     def run(batches):
-        found: dict[int, _Best] = {}
+        found: dict[tuple, _Best] = {}
         for batch in batches:
             for i in range(len(batch) if top_k else 0):
-                names, wide, asks, number, ids, wide_c, holds = (batch.column(c)[i].as_py() for c in range(7))
+                names, wide, asks, number, ids, wide_c, holds, part = (batch.column(c)[i].as_py() for c in range(8))
                 if wide != wide_c:
                     raise ValueError(f"vectors of {wide_c} dimensions, queries of {wide}")
-                best = found.setdefault(number, _Best(names, top_k))
+                best = found.setdefault((number, part), _Best(names, top_k))
                 a, b = np.frombuffer(asks).reshape(len(names), wide), np.frombuffer(holds).reshape(len(ids), wide)
                 best.add(np.round(a @ b.T, 9), ids)
-        for best in found.values():
-            yield pa.record_batch([pa.array([best.names[i] for i in best.q], q_arrow), pa.array(best.ids.tolist(), c_arrow), pa.array(best.score, pa.float64())], names=["query_id", "chunk_id", "score"])
+        for (_, part), best in found.items():
+            yield pa.record_batch([pa.array([best.names[i] for i in best.q], q_arrow), pa.array(best.ids.tolist(), c_arrow), pa.array(best.score, pa.float64()), pa.array([part] * len(best.q), pa.string())], names=["query_id", "chunk_id", "score", "part"])
 
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double, part string"
     best = asked.crossJoin(known.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "score")
+    order = Window.partitionBy("query_id", *([] if within is None else ["part"])).orderBy(F.desc("score"), "chunk_id")
+    ranks = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return ranks.select("query_id", "rank", "chunk_id", "score", *([] if within is None else [F.col("part").alias(within)]))
 
 
 def embed(texts: DataFrame, id_col: str, text: Column, dimension: int = 256) -> DataFrame:

@@ -13,8 +13,9 @@ from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.operators.fusion import minmax
 from lodeseam.operators.lexical import query_terms, term_weight
 from lodeseam.operators.semantic import dot, norm
+from lodeseam.operators.semantic import search as search_vectors
 from lodeseam.schema import not_negative
-from lodeseam.sources.tables import snapshot
+from lodeseam.sources.steps import snapshot
 from lodeseam.sources.tree import signature
 
 
@@ -70,26 +71,54 @@ def search(chunks: DataFrame, queries: DataFrame, candidate_k: int = 50, top_k:
     themselves, and versions then rank together.  Without ``top_k`` all candidates stay.
     """
     not_negative(candidate_k=candidate_k, top_k=top_k or 0)
-    tokens = chunks.select("version_id", "version_label", "chunk_id", "file_path", "start_line", tokenize(searchable_text()).alias("tokens"))
-    docs = tokens.select("version_id", "version_label", "chunk_id", "file_path", "start_line", F.size("tokens").alias("dl"))
-    postings = tokens.select("version_id", "chunk_id", F.explode("tokens").alias("term")).groupBy("version_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    return across(_lexical(chunks, queries, k1, b), candidate_k, top_k)
+
+
+_PLACE = ["version_id", "version_label", "chunk_id", "file_path", "start_line"]
+
+
+def _lexical(chunks: DataFrame, queries: DataFrame, k1: float, b: float) -> DataFrame:
+    """All BM25 scores above zero: (query_id, version_id, version_label, chunk_id, file_path, start_line, score)."""
+    words = chunks.select("version_id", "chunk_id", F.explode(tokenize(searchable_text())).alias("term"))
+    postings = snapshot(words.groupBy("version_id", "chunk_id", "term").agg(F.count("*").alias("tf")))
+    docs = chunks.select(*_PLACE).join(postings.groupBy("version_id", "chunk_id").agg(F.sum("tf").alias("dl")), ["version_id", "chunk_id"])
     dfs = postings.groupBy("version_id", "term").agg(F.count("*").alias("df"))
     totals = docs.groupBy("version_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     found = query_terms(queries).join(dfs, "term").join(postings, ["version_id", "term"]).join(totals, "version_id").join(docs, ["version_id", "chunk_id"])
     length = 1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("qtf") * term_weight(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * length)
-    names = ["version_id", "version_label", "chunk_id", "file_path", "start_line"]
-    scored = found.groupBy("query_id", *names).agg(F.sum(part).alias("score"))
-    return across(scored, candidate_k, top_k)
+    return found.groupBy("query_id", *_PLACE).agg(F.sum(part).alias("score"))
+
+
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, candidate_k: int = 50, top_k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """search() by both channels: relevance is the fused score of a version's best ``candidate_k`` of each.
+
+    ``vectors`` are (version_id, chunk_id, vector), queries (query_id, query, vector).  Each
+    channel is normalised within its version; a channel that lacks a candidate counts 0.
+    """
+    not_negative(candidate_k=candidate_k, top_k=top_k or 0)
+    side = lambda df, name: df.select("query_id", "version_id", "chunk_id", F.col("score").alias(f"{name}_score"), minmax(F.col("score"), ("query_id", "version_id")).alias(name))
+    lexical = side(_best(_lexical(chunks, queries, k1, b), candidate_k), "lexical")
+    semantic = side(search_vectors(vectors, queries, candidate_k, within="version_id"), "semantic")
+    both = lexical.join(semantic, ["query_id", "version_id", "chunk_id"], "full_outer").na.fill(0.0, ["lexical", "semantic"])
+    scored = both.withColumn("score", (F.col("lexical") + F.col("semantic")) / 2).join(chunks.select(*_PLACE), ["version_id", "chunk_id"])
+    return _together(scored.withColumn("relevance", F.round("score", 9)), top_k)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    inside = Window.partitionBy("query_id", "version_id").orderBy(F.desc(F.round("score", 9)), F.lower("file_path"), "start_line", "chunk_id")
+    return scored.withColumn("nth", F.row_number().over(inside)).where(F.col("nth") <= k).drop("nth")
 
 
 def across(scored: DataFrame, candidate_k: int, top_k: int | None) -> DataFrame:
     """Ranks versions' results (query_id, version_id, version_label, chunk_id, file_path, start_line, score) together."""
-    inside = Window.partitionBy("query_id", "version_id").orderBy(F.desc(F.round("score", 9)), F.lower("file_path"), "start_line", "chunk_id")
-    best = scored.withColumn("nth", F.row_number().over(inside)).where(F.col("nth") <= candidate_k)
-    best = best.withColumn("relevance", F.round(minmax(F.col("score"), ("query_id", "version_id")), 9))
+    best = _best(scored, candidate_k)
+    return _together(best.withColumn("relevance", F.round(minmax(F.col("score"), ("query_id", "version_id")), 9)), top_k)
+
+
+def _together(rated: DataFrame, top_k: int | None) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "version_label", F.lower("file_path"), "start_line", "chunk_id", "version_id")
-    out = best.withColumn("rank", F.row_number().over(order)).drop("nth")
+    out = rated.withColumn("rank", F.row_number().over(order))
     return out if top_k is None else out.where(F.col("rank") <= top_k)
 
 
@@ -98,27 +127,36 @@ def signed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"tokens": F.array_distinct(tokenize(searchable_text())), "symbol_tokens": F.array_distinct(tokenize(F.col("symbol_name"))), "signature": signature("code", "calls", "symbol_type")})
 
 
-def compare(sources: DataFrame, targets: DataFrame, versions: DataFrame, weights: MatchWeights = MatchWeights(), matches_per_chunk: int = 3, min_similarity: float = 0.0, candidate_pool_size: int = 50, vectors: DataFrame | None = None) -> DataFrame:
+#: Of the sources of a pair of versions, about so many lie in one task, where they meet all targets.
+SPLIT = 500
+
+
+def compare(sources: DataFrame, targets: DataFrame, versions: DataFrame, weights: MatchWeights = MatchWeights(), matches_per_chunk: int = 3, min_similarity: float = 0.0, candidate_pool_size: int = 50, vectors: DataFrame | None = None, split: int = SPLIT) -> DataFrame:
     """Matches between chunks of two versions: ids, symbols, paths, similarity, components and the change.
 
     ``sources`` and ``targets`` are signed chunks; each source version meets the versions of
     which it is named in ``pairs``-like columns (pair_id on both sides).  A cheap score keeps
-    ``candidate_pool_size`` targets of each source for the weighted similarity.
+    ``candidate_pool_size`` targets of each source for the weighted similarity.  About
+    ``split`` sources of a pair lie in one task, so that large versions meet in many, and code
+    is joined to the matches alone.  ``vectors`` are (version_id, chunk_id, vector).
     """
     not_negative(matches_per_chunk=matches_per_chunk, candidate_pool_size=candidate_pool_size)
-    columns = ["pair_id", "repository_id", "version_id", "version_label", "chunk_id", "file_path", "symbol_name", "symbol_type", "code", "tokens", "symbol_tokens", "signature"]
-    side = lambda df, p: df.select(F.col("pair_id"), *(F.col(c).alias(f"{p}_{c}") for c in columns[1:]))
+    columns = ["pair_id", "repository_id", "version_id", "version_label", "chunk_id", "file_path", "symbol_name", "symbol_type", "tokens", "symbol_tokens"]
+    side = lambda df, p: df.select(F.col("pair_id"), *(F.col(c).alias(f"{p}_{c}") for c in columns[1:]), *(F.col(f"signature.{c}").alias(f"{p}_{c}") for c in ("shape", "arity", "n_calls")))
     about = lambda p: versions.select(F.col("version_id").alias(f"{p}_version_id"), F.col("parents").alias(f"{p}_parents"), F.col("renames").alias(f"{p}_renames"))
-    pairs = side(sources, "s").join(side(targets, "t"), "pair_id").join(about("s"), "s_version_id").join(about("t"), "t_version_id")
+    deals = sources.groupBy("pair_id").agg(F.ceil(F.count("*") / split).alias("deals"))
+    dealt = side(sources, "s").join(deals, "pair_id").withColumn("deal", F.pmod(F.xxhash64("s_chunk_id"), "deals")).drop("deals")
+    each_deal = side(targets, "t").join(deals, "pair_id").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+    pairs = dealt.join(each_deal, ["pair_id", "deal"]).drop("deal").join(about("s"), "s_version_id").join(about("t"), "t_version_id")
     down = F.array_contains("t_parents", F.col("s_version_id"))
     up = F.array_contains("s_parents", F.col("t_version_id"))
     renamed = (down & (F.element_at("t_renames", F.col("s_file_path")) == F.col("t_file_path"))) | (up & (F.element_at("s_renames", F.col("t_file_path")) == F.col("s_file_path")))
-    shape = counter_jaccard(F.col("s_signature.shape"), F.col("t_signature.shape"))
+    shape = counter_jaccard(F.col("s_shape"), F.col("t_shape"))
     parts = pairs.withColumns(
         {
             "file_path": path_similarity("s_file_path", "t_file_path"),
             "symbol": jaccard(F.col("s_symbol_tokens"), F.col("t_symbol_tokens")),
-            "structure": structure(F.col("s_symbol_type"), F.col("t_symbol_type"), shape, F.col("s_signature.arity"), F.col("t_signature.arity"), F.col("s_signature.n_calls"), F.col("t_signature.n_calls")),
+            "structure": structure(F.col("s_symbol_type"), F.col("t_symbol_type"), shape, F.col("s_arity"), F.col("t_arity"), F.col("s_n_calls"), F.col("t_n_calls")),
             "git": git_likeness(F.col("s_repository_id") == F.col("t_repository_id"), down | up, F.coalesce(renamed, F.lit(False)), F.col("s_file_path") == F.col("t_file_path")),
             "overlap": jaccard(F.col("s_tokens"), F.col("t_tokens")),
         }
@@ -129,13 +167,15 @@ def compare(sources: DataFrame, targets: DataFrame, versions: DataFrame, weights
     if vectors is None:
         short = short.withColumn("semantic", F.lit(0.0))
     else:
-        v = lambda p: vectors.select(F.col("chunk_id").alias(f"{p}_chunk_id"), F.col("vector").alias(f"{p}_vector"))
+        v = lambda p: vectors.select(F.col("version_id").alias(f"{p}_version_id"), F.col("chunk_id").alias(f"{p}_chunk_id"), F.col("vector").alias(f"{p}_vector"))
         sizes = norm(F.col("s_vector")) * norm(F.col("t_vector"))
         cosine = F.when(sizes > 0, dot(F.col("s_vector"), F.col("t_vector")) / sizes).otherwise(0.0)
-        short = short.join(v("s"), "s_chunk_id").join(v("t"), "t_chunk_id").withColumn("semantic", unit_cosine(cosine))
+        short = short.join(v("s"), ["s_version_id", "s_chunk_id"]).join(v("t"), ["t_version_id", "t_chunk_id"]).withColumn("semantic", unit_cosine(cosine))
     w = asdict(weights)
     similarity = sum((F.lit(x) * F.col(n) for n, x in w.items()), F.lit(0.0)) / sum(w.values())
     best = short.withColumn("similarity", similarity).where(F.col("similarity") >= min_similarity).withColumn("keep", each(F.col("similarity"), matches_per_chunk)).where("keep")
+    code = lambda df, p: df.select("pair_id", F.col("version_id").alias(f"{p}_version_id"), F.col("chunk_id").alias(f"{p}_chunk_id"), F.col("code").alias(f"{p}_code"))
+    best = best.join(code(sources, "s"), ["pair_id", "s_version_id", "s_chunk_id"]).join(code(targets, "t"), ["pair_id", "t_version_id", "t_chunk_id"])
     change = change_label(F.col("s_code"), F.col("t_code"), F.col("s_symbol_name") == F.col("t_symbol_name"), F.col("s_file_path") == F.col("t_file_path"))
     out = ["pair_id", *(f"{p}_{c}" for p in "st" for c in ("version_id", "version_label", "chunk_id", "symbol_name", "file_path"))]
     return best.select(*out, "similarity", F.create_map(*(x for n in w for x in (F.lit(n), F.col(n)))).alias("components"), change.alias("change"))
@@ -159,46 +199,51 @@ def greedy_match(pairs: DataFrame, by: str = "pair_id", score: str = "similarity
 
 
 def tracks(hits: DataFrame, links: DataFrame, max_tracks: int = 50) -> DataFrame:
-    """(track, items): paths of ``links`` through ``hits``, most relevant first.
+    """(query_id, track, items, relevance): paths of ``links`` through the ``hits`` of each query, most relevant first.
 
-    ``hits`` are (key, place, version_label, file_path, relevance), ``links`` (source, target,
-    target_version, target_chunk, similarity, change).  Paths start at hits without a link to
-    them, in order of place, and branch by (similarity descending, version, chunk); the first
-    ``max_tracks`` in depth-first order stay, and are then sorted by their best relevance.
+    ``hits`` are (query_id, key, place, version_label, file_path, relevance), ``links`` (query_id,
+    source, target, target_version, target_chunk, similarity, change).  Paths start at hits without
+    a link to them, in order of place, and branch by (similarity descending, version, chunk);
+    the first ``max_tracks`` in depth-first order stay, and are then sorted by their best relevance.
     """
-    starts = hits.join(links.select(F.col("target").alias("key")), "key", "left_anti")
+    starts = hits.join(links.select("query_id", F.col("target").alias("key")), ["query_id", "key"], "left_anti")
     step = F.struct((-F.col("similarity")).alias("less"), F.col("target_version").alias("version"), F.col("target_chunk").alias("chunk"))
     kinds = "array<struct<less:double,version:string,chunk:string>>"
     first = F.struct(F.col("key"), F.lit("first_observed").alias("change"), F.lit(None).cast("double").alias("similarity"))
-    walks = snapshot(starts.select("place", F.col("key").alias("at"), F.array().cast(kinds).alias("order"), F.array(first).alias("items")))
+    walks = snapshot(starts.select("query_id", "place", F.col("key").alias("at"), F.array().cast(kinds).alias("order"), F.array(first).alias("items")))
     done = []
-    moves = links.select(F.col("source").alias("at"), step.alias("step"), F.struct(F.col("target").alias("key"), "change", "similarity").alias("item"))
+    moves = links.select("query_id", F.col("source").alias("at"), step.alias("step"), F.struct(F.col("target").alias("key"), "change", "similarity").alias("item"))
     while not walks.isEmpty():
-        done.append(walks.join(moves.select("at").distinct(), "at", "left_anti"))
-        walks = walks.join(moves, "at").where(~F.exists("items", lambda i: i["key"] == F.col("item.key")))
-        walks = snapshot(walks.select("place", F.col("item.key").alias("at"), F.concat("order", F.array("step")).alias("order"), F.concat("items", F.array("item")).alias("items")))
+        done.append(walks.join(moves.select("query_id", "at").distinct(), ["query_id", "at"], "left_anti"))
+        walks = walks.join(moves, ["query_id", "at"]).where(~F.exists("items", lambda i: i["key"] == F.col("item.key")))
+        walks = snapshot(walks.select("query_id", "place", F.col("item.key").alias("at"), F.concat("order", F.array("step")).alias("order"), F.concat("items", F.array("item")).alias("items")))
     if not done:
-        return hits.limit(0).select(F.lit(0).alias("track"), F.array(first).alias("items"))
-    found = reduce(DataFrame.unionByName, done).orderBy("place", "order").limit(max_tracks)
-    best = found.select("place", "order", "items", F.posexplode("items").alias("i", "item")).join(hits.select(F.col("key").alias("k"), "version_label", "file_path", "relevance"), F.col("item.key") == F.col("k"))
-    rated = best.groupBy("place", "order", "items").agg(F.max("relevance").alias("most"), F.min_by(F.struct("version_label", "file_path"), "i").alias("head"))
-    return rated.select(F.row_number().over(Window.orderBy(F.desc("most"), "head", "place", "order")).alias("track"), "items", F.col("most").alias("relevance"))
+        return hits.limit(0).select("query_id", F.lit(0).alias("track"), F.array(first).alias("items"), "relevance")
+    in_order = Window.partitionBy("query_id").orderBy("place", "order")
+    found = reduce(DataFrame.unionByName, done).withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= max_tracks)
+    known = hits.select("query_id", F.col("key").alias("k"), "version_label", "file_path", "relevance")
+    best = found.select("query_id", "nth", "items", F.posexplode("items").alias("i", "item")).withColumn("k", F.col("item.key")).join(known, ["query_id", "k"])
+    rated = best.groupBy("query_id", "nth", "items").agg(F.max("relevance").alias("relevance"), F.min_by(F.struct("version_label", "file_path"), "i").alias("head"))
+    by_relevance = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "head", "nth")
+    return rated.select("query_id", F.row_number().over(by_relevance).alias("track"), "items", "relevance")
+
 
+def evolution(chunks: DataFrame, versions: DataFrame, queries: DataFrame, per_version_top_k: int = 10, candidate_pool_size: int = 50, min_similarity: float = 0.45, max_tracks: int = 50, weights: MatchWeights = EVOLUTION_WEIGHTS, vectors: DataFrame | None = None) -> DataFrame:
+    """Tracks of what each query finds in each version, through parents and children that are both indexed.
 
-def evolution(chunks: DataFrame, versions: DataFrame, queries: DataFrame, per_version_top_k: int = 10, candidate_pool_size: int = 50, min_similarity: float = 0.45, max_tracks: int = 50, weights: MatchWeights = EVOLUTION_WEIGHTS) -> DataFrame:
-    """Tracks of what one query finds in each version, through parents and children that are both indexed."""
+    With ``vectors`` (version_id, chunk_id, vector), and a vector for each query, versions are searched by both channels.
+    """
     ordered = topological_order(versions)
-    found = search(chunks, queries, max(candidate_pool_size, per_version_top_k), None)
-    each = Window.partitionBy("version_id").orderBy("rank")
+    most = max(candidate_pool_size, per_version_top_k)
+    found = search(chunks, queries, most, None) if vectors is None else hybrid(chunks, vectors, queries, most, None)
+    each = Window.partitionBy("query_id", "version_id").orderBy("rank")
     hits = snapshot(found.withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= per_version_top_k).join(ordered.select("version_id", "layer", "position"), "version_id"))
     known = snapshot(signed(chunks.join(hits.select("version_id", "chunk_id").distinct(), ["version_id", "chunk_id"], "left_semi")))
     kin = versions.select(F.col("version_id").alias("child"), F.explode("parents").alias("parent")).join(versions.select(F.col("version_id").alias("parent")), "parent")
-    kin = kin.withColumn("pair_id", F.concat_ws(">", "parent", "child"))
-    side = lambda c: known.join(kin.select("pair_id", F.col(c).alias("version_id")), "version_id")
-    matches = greedy_match(compare(side("parent"), side("child"), versions, weights, 3, min_similarity, candidate_pool_size))
+    mine = hits.select("query_id", "version_id", "chunk_id").join(known, ["version_id", "chunk_id"])
+    side = lambda c: mine.join(kin.select("parent", "child", F.col(c).alias("version_id")), "version_id").withColumn("pair_id", F.struct("query_id", "parent", "child"))
+    matches = greedy_match(compare(side("parent"), side("child"), versions, weights, 3, min_similarity, candidate_pool_size, vectors if weights.semantic else None))
     key = lambda v, c: F.concat_ws("/", v, c)
-    links = snapshot(matches.select(key("s_version_id", "s_chunk_id").alias("source"), key("t_version_id", "t_chunk_id").alias("target"), F.col("t_version_id").alias("target_version"), F.col("t_chunk_id").alias("target_chunk"), F.round("similarity", 9).alias("similarity"), "change"))
-    placed = hits.select(key("version_id", "chunk_id").alias("key"), F.struct("layer", "position", "nth").alias("place"), "version_label", "file_path", "relevance")
+    links = snapshot(matches.select("pair_id.query_id", key("s_version_id", "s_chunk_id").alias("source"), key("t_version_id", "t_chunk_id").alias("target"), F.col("t_version_id").alias("target_version"), F.col("t_chunk_id").alias("target_chunk"), F.round("similarity", 9).alias("similarity"), "change"))
+    placed = hits.select("query_id", key("version_id", "chunk_id").alias("key"), F.struct("layer", "position", "nth").alias("place"), "version_label", "file_path", "relevance")
     return tracks(placed, links, max_tracks)
-
-

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeseam.functions import similarity, text
 from lodeseam.operators import evaluate, fusion, graph, lexical, rerank, semantic, versions
 from lodeseam.sources import tree
-from lodeseam.sources.tables import snapshot
+from lodeseam.sources.steps import snapshot
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.schema import CHUNK
+from lodeseam.sources.steps import snapshot
 from lodeseam.sources.tree import chunk_files, is_eligible, language_of, repository_id
 
 
@@ -71,21 +72,32 @@ def files_at(spark: SparkSession, repository: str, commits: DataFrame) -> DataFr
     return files.select("version_id", "file_path", language_of(F.col("file_path")).alias("language"), F.try_validate_utf8("content").alias("text"))
 
 
-def index_versions(spark: SparkSession, repository: str, revisions: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(versions, chunks) for revisions by label: chunk ids of a version also hash the commit."""
-    name, records = repository_id(repository), []
-    for position, (label, revision) in enumerate(revisions.items()):
-        commit, parents = resolve_commit(repository, revision)
-        if any(r[0] == commit for r in records):
-            continue  # indexed already
-        changed, renames = changed_paths(repository, commit, parents)
-        records.append((commit, label, commit, parents, changed, renames, position))
-    versions = spark.createDataFrame(records, "version_id string, version_label string, commit_hash string, parents array<string>, changed_paths array<string>, renames map<string,string>, position int")
-    files = files_at(spark, repository, versions)
+VERSION = "version_id string, version_label string, commit_hash string, parents array<string>, changed_paths array<string>, renames map<string,string>, position int"
+
+
+def index_versions(spark: SparkSession, repository: str, revisions: dict[str, str | None], known: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(versions, files, chunks) for revisions by label (without a revision, the label is one): chunk ids of a version also hash the commit.
+
+    ``known`` are commits that are indexed, with their labels: they are left out, and a label of
+    theirs, or one that repeats, raises ValueError for another commit.
+    """
+    top = root_of(repository)
+    name, records, taken = repository_id(top), [], dict(known or {})
+    for label, revision in revisions.items():
+        commit, parents = resolve_commit(top, label if revision is None else revision)
+        if commit in taken:
+            continue
+        if label in taken.values():
+            raise ValueError(f"the label {label} is another version's")
+        taken[commit] = label
+        records.append((commit, label, commit, parents, *changed_paths(top, commit, parents), len(taken) - 1))
+    versions = spark.createDataFrame(records, VERSION)
+    files = snapshot(files_at(spark, top, versions))
     together = files.select(F.concat_ws("\x00", "version_id", "file_path").alias("file_path"), "language", "text")
     found = chunk_files(together, name).where("chunk_id is not null").drop("warning", "version_id", "version_label", "commit_hash")
     parts = F.split("file_path", "\x00")
     found = found.withColumns({"version_id": parts[0], "file_path": parts[1]})
     plain = F.substring(F.sha1(F.concat_ws(":", "repository_id", "file_path", "symbol_name", "symbol_type", F.col("start_line").cast("string"), F.col("end_line").cast("string"))), 1, 20)
     found = found.withColumn("chunk_id", F.substring(F.sha1(F.concat_ws(":", plain, "version_id")), 1, 20))
-    return versions, found.join(versions.select("version_id", "version_label", "commit_hash"), "version_id").select(*CHUNK.names)
+    chunks = found.join(versions.select("version_id", "version_label", "commit_hash"), "version_id").select(*CHUNK.names)
+    return versions, files.where("text is not null").groupBy("version_id").agg(F.count("*").alias("number_of_files")), chunks

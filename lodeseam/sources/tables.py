@@ -1,33 +1,53 @@
-"""Stored tables: intermediate results, chunks as JSON lines, and indexes as Parquet with a checked meta row."""
+"""Stored tables: chunks as JSON lines, and indexes as Parquet with a checked meta row."""
 
 from __future__ import annotations
 
-import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeseam.operators.lexical import LexicalIndex
 from lodeseam.schema import CHUNK
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all executors share (spark.checkpoint.dir) and read again: its lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
-    path = f"{folder}/lodeseam-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """One JSON object a line."""
     chunks.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines: blank lines are ignored, missing fields are null, a malformed line raises an error."""
-    return spark.read.schema(CHUNK).option("mode", "FAILFAST").json(path)
+    """Chunks from JSON lines: blank lines are ignored, missing fields are null, and a malformed line raises ValueError with its file and text.
+
+    The files are scanned for malformed lines once, before the DataFrame is returned.
+    """
+    lines = spark.read.schema(T.StructType([*CHUNK, T.StructField("malformed", T.StringType())])).option("columnNameOfCorruptRecord", "malformed").json(path)
+    bad = lines.select("malformed", "chunk_id", F.input_file_name().alias("file")).where("malformed is not null").first()
+    if bad is not None:
+        name = unquote(bad.file.removeprefix("file://"))
+        place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("place")
+        said = spark.read.text(bad.file).select(place, "value")
+        first = said.where(F.col("value") == bad.malformed).agg(F.min("place").alias("first"))
+        at = said.join(F.broadcast(first), F.col("place") <= F.col("first")).count()
+        raise ValueError(f"{name}:{at}: malformed line: {bad.malformed[:200]}")
+    return spark.read.schema(CHUNK).json(path)
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, warnings: DataFrame, path: str) -> None:
+    for name, df in (("nodes", nodes), ("edges", edges), ("warnings", warnings)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, warnings); nodes that repeat and edges that end at none raise ValueError."""
+    nodes, edges, warnings = (spark.read.parquet(f"{path}/{n}") for n in ("nodes", "edges", "warnings"))
+    if not nodes.groupBy("node_id").count().where("count > 1").isEmpty():
+        raise ValueError("the graph has nodes that repeat")
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id"))
+    if not ends.join(nodes.select("node_id"), "node_id", "left_anti").isEmpty():
+        raise ValueError("the graph has edges that end at no node")
+    return nodes, edges, warnings
 
 
 def save_lexical(index: LexicalIndex, path: str) -> None:
