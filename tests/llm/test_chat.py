@@ -49,6 +49,11 @@ def test_query_against_brute_force(spark, tmp_path):
         assert (row.n_turns, row.turns_sha256) == (len(said), sha("".join(f"{r}\n{x}\n" for r, x in said)))
         assert (row.loss_chars, row.loss_sha256) == (len(lost), sha(lost))
         escaped = sum(len(s.replace("\\", "\\\\").replace("<|", "<\\|")) for turn in said for s in turn)
+        before, rejected = "", 0
+        for r, _ in said:
+            rejected += r not in chat.TURN_ORDER.get(before, chat.TURN_ORDER[""])
+            before = r
+        assert (row.n_rejected, row.ended_ok) == (rejected, before == "assistant")
         assert row.formatted_chars == escaped + len(said) * len("<|im_start|>\n<|im_end|>\n")
 
 
