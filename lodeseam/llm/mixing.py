@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources of which the totals are brought to the driver, one row each.
-MAX_SOURCES = 100_000
+from lodeseam.llm import frames
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,30 +24,41 @@ class Mix:
     quotas: dict[str, int]
 
 
-def tempered(totals: dict[str, int], exponent: float) -> dict[str, float]:
-    """Weights in proportion to the shares to the power ``exponent``; a source without tokens has none."""
-    everything = sum(totals.values())
-    raised = {s: (t / everything) ** exponent if t else 0.0 for s, t in totals.items()}
-    total = math.fsum(raised.values())
-    return {s: w / total for s, w in raised.items()}
-
-
 def entropy(weights) -> float:
     return -math.fsum(w * math.log(w) for w in weights if w > 0)
 
 
-def solve(totals: dict[str, int], target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None) -> Mix:
-    """The largest exponent in [0, 1] that meets the entropy target, or a larger one that the repetition limit forces.
+def solve_sizes(sizes: dict[int, int], target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None) -> tuple[float, dict[int, float], dict[int, int]]:
+    """(exponent, weights, quotas) for ``sizes``: how many sources have so many tokens.  Sources of a size get the same.
 
-    ``target_entropy`` is a share of the largest possible entropy, the logarithm of the number
-    of sources; entropy falls as the exponent rises.  ``max_repeats`` bounds how often a source
-    is taken on average; repetition falls as the exponent rises, and this bound goes first.
-    ``budget`` is in tokens; without one it is the least that takes every document once.
+    The largest exponent in [0, 1] that meets the entropy target, or a larger one that the
+    repetition limit forces.  Weights are in proportion to the shares to the power of the
+    exponent.  ``target_entropy`` is a share of the largest possible entropy, the logarithm of
+    the number of sources; entropy falls as the exponent rises.  ``max_repeats`` bounds how often
+    a source is taken on average; repetition falls as the exponent rises, and this bound goes
+    first.  ``budget`` is in tokens; without one it is the least that takes every document once.
+    A source without tokens has no weight.
     """
-    full = {s: t for s, t in totals.items() if t > 0}
+    full = sorted(t for t in sizes if t > 0)
     if not full:
-        return Mix(1.0, dict.fromkeys(totals, 0.0), dict.fromkeys(totals, 0))
-    size = lambda w: budget if budget is not None else max(t / w[s] for s, t in full.items())
+        return 1.0, dict.fromkeys(sizes, 0.0), dict.fromkeys(sizes, 0)
+    tokens, counts = np.array(full, float), np.array([sizes[t] for t in full], float)
+    shares, sources = tokens / sum(t * sizes[t] for t in full), sum(sizes[t] for t in full)
+
+    def weights(e: float) -> np.ndarray:
+        raised = shares**e
+        return raised / (raised * counts).sum()
+
+    def total(w: np.ndarray) -> float:
+        return float(budget) if budget is not None else float((tokens / w).max())
+
+    def spread(e: float) -> float:
+        w = weights(e)
+        return float(-(counts * w * np.log(w)).sum())
+
+    def repeats(e: float) -> float:
+        w = weights(e)
+        return float((w / tokens).max()) * total(w)
 
     def bisect(low_is_good) -> float:
         low, high = 0.0, 1.0
@@ -55,20 +68,25 @@ def solve(totals: dict[str, int], target_entropy: float | None = 0.95, max_repea
         return (low + high) / 2
 
     exponent = 1.0
-    if target_entropy is not None and len(full) > 1:
-        aim = target_entropy * math.log(len(full))
-        if entropy(tempered(full, 1.0).values()) < aim:
-            exponent = bisect(lambda e: entropy(tempered(full, e).values()) >= aim)
-    if max_repeats is not None:
-        repeats = lambda e: max(w * size(tempered(full, e)) / full[s] for s, w in tempered(full, e).items())
-        if repeats(exponent) > max_repeats + 1e-9:
-            exponent = max(exponent, bisect(lambda e: repeats(e) > max_repeats))
-    weights = {s: round(w, 9) for s, w in tempered(totals, exponent).items()}
-    tokens = size({s: weights[s] for s in full})
-    quotas = {s: math.floor(w * tokens) for s, w in weights.items()}
+    if target_entropy is not None and sources > 1:
+        aim = target_entropy * math.log(sources)
+        if spread(1.0) < aim:
+            exponent = bisect(lambda e: spread(e) >= aim)
+    if max_repeats is not None and repeats(exponent) > max_repeats + 1e-9:
+        exponent = max(exponent, bisect(lambda e: repeats(e) > max_repeats))
+    found = {t: round(float(w), 9) for t, w in zip(full, weights(exponent))}
+    needed = budget if budget is not None else max(t / max(w, 1e-9) for t, w in found.items())
+    quotas = {t: math.floor(w * needed) for t, w in found.items()}
     if budget is None:  # rounding must not cost a document
-        quotas = {s: max(q, totals[s]) for s, q in quotas.items()}
-    return Mix(exponent, weights, quotas)
+        quotas = {t: max(q, t) for t, q in quotas.items()}
+    none = [t for t in sizes if t <= 0]
+    return exponent, found | dict.fromkeys(none, 0.0), quotas | dict.fromkeys(none, 0)
+
+
+def solve(totals: dict[str, int], target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None) -> Mix:
+    """solve_sizes() for the tokens of each source by name."""
+    exponent, weights, quotas = solve_sizes(Counter(totals.values()), target_entropy, max_repeats, budget)
+    return Mix(exponent, {s: weights[t] for s, t in totals.items()}, {s: quotas[t] for s, t in totals.items()})
 
 
 def _draw(*parts) -> Column:
@@ -76,7 +94,7 @@ def _draw(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def mix_sources(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, block_docs: int = 1000, max_blocks: int = 65536, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, block_docs: int = 1000, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, n_tokens, epoch, place): one row for each time that a document is taken.
 
     Tokens are words here.  Each source is cut into blocks by a hash of doc_id; an epoch goes
@@ -87,31 +105,29 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat
 
     A null source is the source "".  Null and empty texts have no tokens; a source without any is
     taken once.  Rows that repeat a doc_id are taken alike, ordered by their tokens.  Other
-    columns are ignored; an empty table gives an empty result.  Only the totals of sources
-    reach the driver, at most ``MAX_SOURCES`` rows; no window holds more than a block of
-    documents or a source's blocks.
+    columns are ignored; an empty table gives an empty result.  What reaches the driver is how
+    many sources there are of each number of tokens: however many sources, at most the square
+    root of twice all tokens.  Blocks hold about ``block_docs`` documents, or the square root of
+    a source's documents if that is more: no window holds more than a block or a source's blocks.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     )
-    per_source = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = {r.source: r.tokens for r in sorted(per_source)}
-    mix = solve(totals, target_entropy, max_repeats, budget)
-    plan = []
-    for r in per_source:
-        quota = mix.quotas[r.source]
-        epochs = quota // r.tokens if r.tokens else 1
-        rest = quota - epochs * r.tokens if r.tokens else 0
-        blocks = max(1, min(max_blocks, math.ceil(r.docs / block_docs)))
-        plan.append((r.source, r.tokens, quota, epochs, epochs + (rest > 0), blocks))
-    plan = docs.sparkSession.createDataFrame(plan, "source string, tokens long, quota long, whole long, epochs long, blocks int")
-
-    block = F.pmod(F.conv(F.substring(_draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.col("blocks")).cast("int")
-    dealt = rows.join(F.broadcast(plan), "source").withColumn("block", block)
+    per_source = frames.stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
+    sizes = {r.tokens: r.n for r in per_source.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
+    _, _, quotas = solve_sizes(sizes, target_entropy, max_repeats, budget)
+    plan = per_source.join(docs.sparkSession.createDataFrame(list(quotas.items()), "tokens long, quota long"), "tokens")
+    whole = F.when(F.col("tokens") > 0, F.expr("quota div nullif(tokens, 0)")).otherwise(1).cast("long")
+    rest = F.when(F.col("tokens") > 0, F.col("quota") % F.col("tokens")).otherwise(0)
+    size = F.greatest(F.lit(block_docs), F.ceil(F.sqrt("docs")))
+    plan = plan.select("source", "tokens", "quota", whole.alias("whole"), (whole + (rest > 0).cast("long")).alias("epochs"), F.ceil(F.col("docs") / size).alias("blocks"))
+    if per_source.count() <= frames.BROADCAST_KEYS:
+        plan = F.broadcast(plan)
+
+    block = F.pmod(F.conv(F.substring(_draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.col("blocks"))
+    dealt = rows.join(plan, "source").withColumn("block", block)
     taken = dealt.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
 
     # where each block starts in its source's epoch
@@ -161,7 +177,7 @@ q AS (SELECT s.source, s.tokens, s.docs, CASE WHEN s.tokens = 0 THEN 0 ELSE grea
       FROM s LEFT JOIN w USING (source)),
 plan AS (SELECT *, CASE WHEN tokens = 0 THEN 1 ELSE quota // tokens END AS whole,
                 CASE WHEN tokens = 0 THEN 1 ELSE (quota + tokens - 1) // tokens END AS epochs,
-                greatest(1, least(65536, (docs + 999) // 1000)) AS blocks FROM q),
+                CAST(ceil(docs / greatest(1000, ceil(sqrt(docs)))) AS BIGINT) AS blocks FROM q),
 dealt AS (SELECT d.doc_id, d.n_tokens, plan.*, CAST('0x' || substr(md5('1:' || d.doc_id), 1, 8) AS BIGINT) % blocks AS block FROM d JOIN plan USING (source)),
 taken AS (SELECT *, unnest(range(CAST(epochs AS BIGINT))) AS epoch FROM dealt),
 sums AS (SELECT source, block, epoch, sum(n_tokens) AS block_tokens FROM taken GROUP BY ALL),
