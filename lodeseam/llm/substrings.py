@@ -8,15 +8,16 @@ windows always share an anchor: a block of the one and a rolling window of the o
    its distinct rolling block-wide windows, with a flag for those that are blocks, to shards
    of the hash space; a shard answers with a bit for each hash that is a block somewhere
    and occurs more than once.
-2. Extension.  Windows of ``window`` words around an anchor are the candidates.  Their
+2. Extension.  A hit is extended to all windows of ``window`` words around it.  Their
    fingerprints (96 bits, and the shard) go to shards too; the answer is a bit for each that
-   an earlier bucket also has.  Within a bucket the first occurrence is known, and only that
+   an earlier bucket also has: so far an earlier text goes on alike, whichever text that is.  Within a bucket the first occurrence is known, and only that
    one is sent, so a passage in a third of all documents costs one entry a bucket.
-3. Consecutive repeated windows merge to maximal repeats, which are cut.
+3. Consecutive repeated windows join to maximal repeats, which are cut.
 
 Both exchanges carry sorted hashes and answer with bits; texts are shuffled once (the three
-steps read the same exchange).  Hashes stand for words: two different windows count as equal
-with a probability below 2**-96 for a pair.
+steps read the same exchange).  Hashes stand for words, which are not compared themselves: the
+two parts of a fingerprint come from two word hashes of their own (64 bits each), so two
+different windows count as equal with a probability of about 2**-96 for a pair.
 """
 
 from __future__ import annotations
@@ -59,24 +60,27 @@ def _flags(blob: bytes, n: int) -> np.ndarray:
 
 
 class _Bucket:
-    """The documents of a bucket in order, with their words' hashes."""
+    """The documents of a bucket in order, with their words' hashes (``second``: of both kinds)."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, second: bool = True):
         table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_ids = table["doc_id"]
         self.data, self.offsets = words.utf8(table["text"])
-        starts, ends, hashes, first = [], [], [], [np.zeros(1, np.int64)]
+        starts, ends, hashes, others, first = [], [], [], [], [np.zeros(1, np.int64)]
         for low, high in words.pieces(self.offsets, 1 << 20):
             base = self.offsets[low]
             part = self.data[base : self.offsets[high]]
             s, e, f = words.find_words(part, self.offsets[low : high + 1] - base)
             hashes.append(words.hash_words(part, s, e))
+            if second:
+                others.append(words.hash_words(part, s, e, words.BYTES_OTHER))
             starts.append(s + base)
             ends.append(e + base)
             first.append(f[1:] + first[-1][-1])
         self.starts, self.ends, self.hashes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, hashes))
         self.first = np.concatenate(first)
         self.hashes = self.hashes.astype(np.uint64)
+        self.others = np.concatenate(others) if others else np.zeros(0, np.uint64)
 
     def anchors(self, block: int, shards: int):
         """Sorted distinct keys (shard, 32 bits) of the rolling windows; each window's index there; its place in the words."""
@@ -93,7 +97,7 @@ class _Bucket:
     def fingerprints(self, at: np.ndarray, window: int, shards: int):
         """Of the windows at ``at``: sorted distinct (shard, 64 bits, 32 bits), each window's index there, first occurrences."""
         a = words.roll(self.hashes, window)[at]
-        b = words.roll(words.mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D)), window, 0xD1342543DE82EF95)[at] & _LOW
+        b = words.roll(self.others, window, 0xD1342543DE82EF95)[at] & _LOW
         shard = (a >> _U32) % np.uint64(shards)
         order = np.lexsort((b, a, shard))
         a, b, shard = a[order], b[order], shard[order]
@@ -116,7 +120,7 @@ def _runs(shard_of: np.ndarray):
 
 def _send_anchors(block: int, shards: int):
     def send(key, table):
-        bucket = _Bucket(table)
+        bucket = _Bucket(table, second=False)
         keys, index, counts, at = bucket.anchors(block, shards)
         aligned = np.zeros(len(keys), bool)
         aligned[index[bucket.places()[at] % block == 0]] = True

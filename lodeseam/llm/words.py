@@ -24,6 +24,8 @@ def _table(seed: int) -> np.ndarray:
 
 
 BYTES = _table(17)
+#: For a second hash of words that is independent of the first.
+BYTES_OTHER = _table(29)
 #: The same values for A-Z as for a-z.
 BYTES_LOWER = BYTES.copy()
 BYTES_LOWER[65:91] = BYTES[97:123]
