@@ -271,9 +271,9 @@ class PrefixTable:
 class _Pieces(dict):
     """Encodings (32-bit ids as bytes) of the pieces met most recently."""
 
-    LIMIT = 80_000
+    LIMIT = 40_000
     #: Longer pieces have a table each; of shorter ones, so many bytes are encoded at a time.
-    SHORT, AT_ONCE = 64, 1 << 18
+    SHORT, AT_ONCE = 64, 1 << 16
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
