@@ -29,7 +29,7 @@ class _Lookup:
 
     def __init__(self, found: dict[int, int]):
         keys, values = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
-        self._bits = max(4, (4 * len(keys)).bit_length())
+        self._bits = max(4, (2 * len(keys)).bit_length())
         self._keys, self._values = np.full(1 << self._bits, -1, np.int64), np.full(1 << self._bits, -1, np.int32)
         at, left = self._slot(keys), np.arange(len(keys))
         while len(left):
@@ -339,7 +339,6 @@ def _encode(path: str, pattern: str):
         # a worker outlives its task: what later stages need is memory
         cached.clear()
         cached.older = {}
-        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +25,25 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 
 
+def _release() -> None:
+    """Give what a task has freed back to the system: Python workers outlive their tasks, and their memory is the executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow() over batches of a few megabytes instead of 10,000 rows of any size."""
+    """df.mapInArrow() over batches of a few megabytes instead of 10,000 rows of any size, in tasks that leave little memory behind."""
+
+    def run(batches):
+        yield from function(batches)
+        _release()
+
     conf = df.sparkSession.conf
     if conf.get(_BATCH).rstrip("b") == "67108864":  # Spark's own default
         conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 #: Keys are broadcast up to this many; beyond it they are joined by a shuffle.
