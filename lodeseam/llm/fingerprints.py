@@ -140,6 +140,10 @@ def chained(docs: DataFrame, bucket_mb: float = 4) -> DataFrame:
     after the last comes the first.  The edited text has its last third replaced by as many
     of the first characters of the next.  Documents lie in buckets by ranges of doc_id; each
     bucket gets the first document of the next one as a guest, so texts are shuffled once.
+
+    A null text counts as empty; an only document is its own next.  Repeated rows follow one
+    another and each have a row of the result.  Other columns are ignored, whatever they are
+    called; an empty table gives an empty result.
     """
     size = frames.text_bytes(docs)
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NAMELESS)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

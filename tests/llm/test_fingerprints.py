@@ -65,10 +65,29 @@ def test_query_against_brute_force(spark, tmp_path):
         assert sorted(map(repr, ((g.doc_id, g.n_chars, g.edited) for g in got))) == sorted(map(repr, want))
     single = {(f.doc_id, bytes(f.fingerprint).hex()) for f in fp.fingerprints(docs).collect()}
     assert {(g.doc_id, g.fingerprint) for g in got} == single
+    # the edited text's own fingerprint, and both likenesses against true similarities
+    edited = spark.createDataFrame([(k, e) for k, (_, _, e) in enumerate(want)], "doc_id long, text string")
+    by_text = {want[f.doc_id][2]: bytes(f.fingerprint).hex() for f in fp.fingerprints(edited).collect()}
+    following = {(d, t): after for (d, t), (_, after) in zip(order, order[1:] + order[:1])}
+    errors = []
+    for g in got:
+        assert g.edited_fingerprint == by_text[g.edited]
+        (text,) = {t for (d, t) in following if d == g.doc_id and len(t) == g.n_chars and g.edited[: len(t) - len(t) // 3] == t[: len(t) - len(t) // 3]}
+        errors.append(g.near_edited - _likeness(text, g.edited))
+        if order.count((g.doc_id, text)) == 1:  # a repeated row may be its own next
+            errors.append(g.near_next - _likeness(text, following[g.doc_id, text]))
+    assert np.abs(errors).max() < 0.16 and abs(np.mean(errors)) < 0.02
     digests = {(g.doc_id, g.edited_sha256) for g in fp.op4_document_fingerprints(spark, str(tmp_path)).collect()}
     assert digests == {(d, hashlib.sha256(e.encode()).hexdigest()) for d, _, e in want}
 
 
+def _likeness(a, b):
+    """True similarity; texts without words are like each other and like no other."""
+    if not a.split() or not b.split():
+        return float(not a.split() and not b.split())
+    return jaccard(a, b)
+
+
 def test_one_document_and_none(spark):
     one = fp.chained(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).collect()
     assert one[0].edited == "abcdab" and one[0].near_next == 1.0

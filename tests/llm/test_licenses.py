@@ -104,3 +104,46 @@ def test_wordings_that_are_no_templates(spark, tmp_path):
     spark.createDataFrame([(k, f"Word before. {t}\nand after") for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {texts[r.doc_id]: r.licenses for r in licenses.op1_license_scan(spark, str(tmp_path)).collect()}
     assert got == rows
+
+
+def test_columns_of_the_query(spark, tmp_path):
+    r = random.Random(12)
+    texts, deciding = licenses.notices.notices()
+    names = sorted(n for n in texts if len(split(texts[n])) > 40)
+    rows, planted = [], {}
+    for k in range(240):
+        name = r.choice(names)
+        notice = split(texts[name])
+        for _ in range(r.randint(0, len(notice) // 60)):  # a changed word costs five shingles at most
+            notice[r.randrange(len(notice))] = "changed"
+        before, after = (" ".join(r.choices(["wörd", "lorem", "ipsum", "dolor"], k=r.randint(0, 200))) for _ in range(2))
+        rows.append((k, f"{before} {' '.join(notice)} {after}", "x", 1))
+        wanted = shingles(split(texts[name]))
+        held = len(wanted & shingles(notice)) / len(wanted)
+        if held >= 0.8 and all(f" {' '.join(split(p))} " in f" {' '.join(notice)} " for p in deciding.get(name, ())):
+            planted[k] = name
+    rows += [(900, None, None, None), (901, "", "", 2), (3, rows[3][1], "again", 3), (None, rows[5][1], "no id", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string, n_matches int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = licenses.op1_license_scan(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by_id = {g.doc_id: g for g in got}
+    said = {d: split(t) for d, t, _, _ in rows}
+    found = 0
+    for g in got:
+        spans = [(s.rsplit(":", 2)[0], *map(int, s.rsplit(":", 2)[1:])) for s in g.spans.split(",") if s]
+        assert len(spans) == g.n_matches and g.licenses == ",".join(sorted({n.split(":")[0] for n, _, _ in spans}))
+        shares = []
+        for name, low, high in spans:  # what is said to be there is there
+            if name in texts:
+                wanted = shingles(split(texts[name]))
+                shares.append(len(wanted & shingles(said[g.doc_id][low:high])) / len(wanted))
+                assert shares[-1] >= 0.8
+            else:
+                shares.append(1.0)
+        # a shingle that a notice says twice counts at the place of the copy alone
+        assert max(shares, default=0.0) - 0.01 <= g.containment <= max(shares, default=0.0) + 2e-6 and (not shares or g.containment >= 0.8)
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+    for k, name in planted.items():  # and what was planted is found, by this notice or by one of the same license that holds more
+        found += name.split(":")[0] in by_id[k].licenses.split(",")
+    assert len(planted) > 150 and found == len(planted)
+    assert (by_id[900].n_matches, by_id[901].spans, by_id[901].containment) == (0, "", 0.0)
