@@ -101,8 +101,10 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int =
     they see, and a window ranks what the tasks keep.  Ties go by chunk_id.  Nothing is
     collected: a task holds two blocks, their scores, and its queries' best.  With ``within``, a
     column of strings of ``vectors``, each of its values has a ranking of its own, and the result that column.
+    A query without a vector finds nothing.
     """
     not_negative(top_k=top_k)
+    queries = queries.where("vector is not null")
     count = queries.count()
     asked = snapshot(_packed(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(None).alias("part")).repartition(max(1, -(-count // block))), "query_id", block).drop("query_id_part").withColumn("number", F.monotonically_increasing_id()))
     parted = vectors.select("chunk_id", "vector", F.lit(None).alias("part") if within is None else F.col(within).alias("part"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseam.functions import similarity, text
-from lodeseam.operators import evaluate, fusion, graph, lexical, rerank, semantic, versions
+from lodeseam.operators import evaluate, fusion, graph, lexical, multipass, rerank, semantic, versions
+from lodeseam.schema import LANGUAGES
 from lodeseam.sources import tree
 from lodeseam.sources.steps import snapshot
 
@@ -53,6 +54,30 @@ def part_edges(spark, d) -> DataFrame:
     return graph.merge_edges({"CONTAINS": graph.contains(rows), "CALLS": graph.calls(rows)})
 
 
+def module_parts(spark, d) -> DataFrame:
+    """Parts as files that import others: the next size of the brand, a size of the next brand, and one from the root; every other size holds classes with bases."""
+    brand, number = F.replace("p_brand", F.lit("#"), F.lit("_")), F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+    size = lambda shift: (F.col("p_size") % 50 + shift).cast("string")
+    word = lambda k: F.split("p_name", " ")[k]
+    modules = F.array(F.concat(F.lit("."), size(1)), F.concat(F.lit("..Brand_"), (number + 1).cast("string"), F.lit("."), size(1)), F.concat(brand, F.lit("."), size(2)), F.lit("os.path"))
+    kind = F.when(F.col("p_size") % 2 == 0, "class").otherwise("function")
+    after = F.lead(word(1)).over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey"))  # what follows in the file
+    about = F.struct(F.array_compact(F.array(after, F.concat(word(1), F.lit("."), word(0)))).alias("names"), F.when(kind == "class", F.array(F.concat(F.lit("m."), word(0)), word(1))).otherwise(F.array().cast("array<string>")).alias("bases"))
+    keys = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("chunk_id"), modules.alias("imports"), about.alias("signature"), kind.alias("kind"))
+    return parts(spark, d).join(keys, "chunk_id").withColumn("symbol_type", F.col("kind")).drop("kind")
+
+
+def messages(spark, d) -> DataFrame:
+    """Messages as chunks of two versions of their conversation: what is asked, and its child, what is answered."""
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    name = F.concat(F.lit("turn_"), F.floor(F.col("turn") / 2).cast("string"))
+    return table(spark, d, "conversations").where("role in ('user', 'assistant')").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.lpad(F.col("turn").cast("string"), 5, "0")).alias("chunk_id"), F.lit("repo").alias("repository_id"), F.concat(F.lit("t"), (F.col("turn") % 3).cast("string"), F.lit(".txt")).alias("file_path"),
+        F.lit("text").alias("language"), name.alias("symbol_name"), F.lit("function").alias("symbol_type"), F.col("text").alias("code"), F.lit("").alias("docstring"), empty.alias("imports"), empty.alias("calls"),
+        none.alias("class_name"), none.alias("parent_symbol"), F.col("role").alias("version_id"), F.col("role").alias("version_label"), F.col("conv_id").alias("pair_id"),
+    )
+
+
 def turn_pairs(spark, d) -> DataFrame:
     """Consecutive turns of a conversation, side by side."""
     turns = table(spark, d, "conversations")
@@ -68,6 +93,12 @@ def source_eligibility(spark, d):
     return rows.select("doc_id", "path", tree.language_of(F.col("path")).alias("language"), tree.eligible(F.col("path"), F.col("size")).alias("eligible"))
 
 
+def language_map(spark, d):
+    known = [*LANGUAGES, ".PY", ".txt", ""]
+    path = F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, known)), (F.col("page_id") % len(known)).cast("int") + 1))
+    return table(spark, d, "pages").select("page_id", tree.language_of(path).alias("language"))
+
+
 def stable_chunk_id(spark, d):
     return chunks(spark, d).select("chunk_id", text.stable_id("repository_id", "file_path", "symbol_name", "symbol_type", F.col("start_line").cast("string"), F.col("end_line").cast("string")).alias("stable_id"))
 
@@ -91,9 +122,9 @@ def query_language(spark, d):
 
 
 def identifier_match(spark, d):
-    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    said = F.concat("r_name", F.lit(" "), "n_name", F.lit("_x "), "n_name", F.lit(".y"))
-    return rows.select("n_nationkey", "n_name", "r_name", text.names_identifier(said, F.col("n_name")).alias("named"))
+    rows = table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit(".")).alias("symbol"), F.split("p_name", " ")[1].alias("word"))
+    said = F.concat(F.lit("Where is "), F.when(F.col("p_partkey") % 3 == 0, F.upper("word")).when(F.col("p_partkey") % 3 == 1, F.concat("word", F.lit("_x"))).otherwise(F.col("symbol")), F.lit("?"))
+    return rows.select("p_partkey", text.names_identifier(said, F.col("symbol")).alias("named"))
 
 
 def doc_stats(spark, d):
@@ -139,20 +170,21 @@ def dedupe_by_id(spark, d):
 
 def hybrid_topk(spark, d):
     rows, queries = chunks(spark, d), asked(spark, d)
-    found = fusion.hybrid(lexical.build(rows), vectors(spark, d), rows, _both(queries), 10)
+    found = fusion.hybrid(lexical.build(rows), vectors(spark, d), rows, queries, 10)
     rounded = [F.round(c, 6).alias(c) for c in ("score", "normalized_lexical", "normalized_semantic")]
     return found.select("query_id", "chunk_id", *(F.col(c).cast("long").alias(c) for c in ("rank", "lexical_rank", "semantic_rank")), *rounded)
 
 
-def _both(queries: DataFrame) -> DataFrame:
-    return queries.where("vector is not null")
-
-
 def _fused(spark, d):
-    rows, queries = chunks(spark, d), _both(asked(spark, d))
+    rows, queries = chunks(spark, d), asked(spark, d)
     return fusion.fuse(lexical.search(lexical.build(rows), queries, 50), semantic.search(vectors(spark, d), queries, 50), rows)
 
 
+def hybrid_fusion(spark, d):
+    rounded = [F.round(c, 6).alias(c) for c in ("score", "normalized_lexical", "normalized_semantic")]
+    return _fused(spark, d).select("query_id", "chunk_id", *rounded)
+
+
 def rerank_features(spark, d):
     rated = rerank.features(_fused(spark, d), asked(spark, d), chunks(spark, d))
     return rated.select("query_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("semantic", "lexical", "exact_symbol", "filename", "language", "intent", "metadata")))
@@ -164,7 +196,7 @@ def rerank_topk(spark, d):
 
 
 def evaluate_ndcg_mrr(spark, d):
-    found = lexical.search(lexical.build(chunks(spark, d)), asked(spark, d), 50)
+    found = snapshot(lexical.search(lexical.build(chunks(spark, d)), asked(spark, d), 50))
     grades = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("quality").alias("grade"))
     judged = found.select("query_id", "chunk_id").join(grades, "chunk_id")
     return evaluate.evaluate(found, judged).select("query_id", F.round("ndcg", 6).alias("ndcg"), F.round("rr", 6).alias("rr"))
@@ -187,6 +219,20 @@ def graph_calls(spark, d):
     return graph.calls(parts(spark, d))
 
 
+def graph_references(spark, d):
+    rows = module_parts(spark, d)
+    return graph.references(rows, rows)
+
+
+def graph_imports(spark, d):
+    return graph.imports(module_parts(spark, d))
+
+
+def graph_inherits(spark, d):
+    rows = module_parts(spark, d)
+    return graph.inherits(rows, rows)
+
+
 def graph_summary(spark, d):
     return graph.summary(graph.nodes(parts(spark, d)), part_edges(spark, d))
 
@@ -201,7 +247,18 @@ def graph_expand(spark, d):
     nodes, edges = snapshot(graph.nodes(parts(spark, d))), snapshot(part_edges(spark, d))
     seeds = table(spark, d, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("key"))
     seeds = seeds.select(F.col("p_brand").alias("query_id"), F.concat(F.lit("symbol::"), F.col("key").cast("string")).alias("node_id"), F.lit(1).alias("position"))
-    return graph.expand(nodes, edges, seeds, 3, 100)
+    return graph.expand(nodes, edges, seeds, 3, 100).withColumn("relation_path", F.array_join("relation_path", "; "))
+
+
+def multi_pass(spark, d):
+    """Benchmark items over documents each of which calls the next one of its source."""
+    after = F.lead("symbol_name").over(Window.partitionBy(F.substring_index("file_path", "/", 1)).orderBy(F.col("chunk_id").cast("long")))
+    rows = snapshot(chunks(spark, d).withColumn("calls", F.array_compact(F.array(after))))
+    nodes, edges = snapshot(graph.nodes(rows)), snapshot(graph.merge_edges({"CONTAINS": graph.contains(rows), "CALLS": graph.calls(rows)}))
+    queries = asked(spark, d).select("query_id", F.substring("query", 1, 4000).alias("query"))
+    found, report = multipass.search(lexical.build(rows), semantic.build(rows), nodes, edges, rows, queries, seed_k=3, max_graph_hops=2)
+    counts = ("pass1", "seeds", "expansions", "added", "pass5")
+    return found.join(report, "query_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), *counts)
 
 
 def version_list(spark, d):
@@ -209,6 +266,39 @@ def version_list(spark, d):
     return rows.select(F.col("lang").alias("version_id"), F.concat(F.lit("lang "), "lang").alias("version_label"), "number_of_chunks", "number_of_folders")
 
 
+def version_select(spark, d):
+    """The chunks of the version that a label selects, by folder."""
+    one = versions.select(lang_versions(spark, d).withColumn("commit_hash", F.sha1("version_id")), "lang fr")
+    return chunks(spark, d).join(one.select("version_id"), "version_id", "left_semi").groupBy("version_id", F.substring_index("file_path", "/", 1).alias("folder")).agg(F.count("*").alias("n"))
+
+
+def version_search_hybrid(spark, d):
+    rows = chunks(spark, d)
+    known = vectors(spark, d).join(rows.select("chunk_id", "version_id"), "chunk_id")
+    found = versions.hybrid(rows, known, asked(spark, d).where("vector is not null"), 50, 10)
+    return found.select("query_id", "version_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("relevance", 6).alias("relevance"))
+
+
+#: Questions and answers are compared by names, structure and what the catalog says; paths are beyond SQL.
+MESSAGE_WEIGHTS = versions.MatchWeights(semantic=0.0, file_path=0.0, symbol=0.4, structure=0.2, git=0.4)
+
+
+def _compared(spark, d):
+    rows = snapshot(versions.signed(messages(spark, d)))
+    renames = F.create_map(F.lit("t0.txt"), F.lit("t1.txt"))
+    catalog = spark.createDataFrame([("user", []), ("assistant", ["user"])], "version_id string, parents array<string>").withColumn("renames", F.when(F.size("parents") > 0, renames).otherwise(F.create_map().cast("map<string,string>")))
+    return versions.compare(rows.where("version_id = 'user'"), rows.where("version_id = 'assistant'"), catalog, MESSAGE_WEIGHTS, 3, 0.45, 1_000_000)
+
+
+def version_compare(spark, d):
+    part = lambda n: F.round(F.element_at("components", n), 6).alias(n)
+    return _compared(spark, d).select("pair_id", "s_chunk_id", "t_chunk_id", F.round("similarity", 6).alias("similarity"), part("symbol"), part("structure"), part("git"), "change")
+
+
+def greedy_match(spark, d):
+    return versions.greedy_match(_compared(spark, d)).select("pair_id", "s_chunk_id", "t_chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
 def version_search(spark, d):
     found = versions.search(chunks(spark, d), asked(spark, d), 50, 10)
     return found.select("query_id", "version_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("relevance", 6).alias("relevance"))
@@ -220,6 +310,26 @@ def token_jaccard(spark, d):
     return rows.select("conv_id", "turn", F.round(similarity.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+def symbol_similarity(spark, d):
+    order = Window.partitionBy("p_brand").orderBy("p_partkey")
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(order).alias("b")).where("b is not null")
+    tokens = lambda c: F.array_distinct(text.tokenize(F.initcap(F.replace(F.col(c), F.lit(" "), F.lit("_")))))
+    return rows.select("p_partkey", F.round(similarity.jaccard(tokens("a"), tokens("b")), 6).alias("similarity"))
+
+
+def structure_similarity(spark, d):
+    """A part and the next of its brand: containers stand for types, words for shapes, sizes for parameters."""
+    order = Window.partitionBy("p_brand").orderBy("p_partkey")
+    kind = F.when(F.col("p_size") % 3 == 0, "class").when(F.col("p_size") % 3 == 1, "function").otherwise("method")
+    words = F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " "))
+    shape = F.map_from_arrays(words, F.transform(words, lambda w: F.length(w) % 4 + 1))
+    mine = {"kind": kind, "shape": shape, "arity": F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 7), "calls": (F.col("p_partkey") % 9).cast("int")}
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", *(c.alias(f"a_{n}") for n, c in mine.items()))
+    rows = rows.select("*", *(F.lead(f"a_{n}").over(order).alias(f"b_{n}") for n in mine)).where("b_kind is not null")
+    both = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
+    return rows.select("p_partkey", F.round(similarity.structure(*both("kind"), similarity.counter_jaccard(*both("shape")), *both("arity"), *both("calls")), 6).alias("similarity"))
+
+
 def counter_jaccard(spark, d):
     rows = turn_pairs(spark, d)
     for side in "ab":
@@ -268,18 +378,18 @@ def lang_versions(spark, d):
 
 
 def evolution_tracks(spark, d):
-    """Tracks of the ten best chunks a language for each benchmark item's words together."""
-    one = table(spark, d, "benchmark").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("query")).select(F.lit(0).alias("query_id"), "query")
-    out = versions.evolution(chunks(spark, d), lang_versions(spark, d), one, min_similarity=0.2)
-    return out.select("track", F.round("relevance", 6).alias("relevance"), F.transform("items", lambda i: F.concat_ws(" ", i["key"], i["change"])).alias("items"))
+    """Tracks of the ten best chunks a language for each benchmark item."""
+    out = versions.evolution(chunks(spark, d), lang_versions(spark, d), asked(spark, d).select("query_id", "query"), min_similarity=0.2)
+    return out.select("query_id", "track", F.round("relevance", 6).alias("relevance"), F.transform("items", lambda i: F.concat_ws(" ", i["key"], i["change"])).alias("items"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        source_eligibility, stable_chunk_id, searchable_text, tokenize, metadata_tokens, query_language, identifier_match, doc_stats, term_stats, corpus_stats, postings, bm25_batch,
-        vector_normalize, semantic_topk, minmax_normalize, dedupe_by_id, hybrid_topk, rerank_features, rerank_topk, evaluate_ndcg_mrr, symbol_resolution, graph_nodes, graph_contains,
-        graph_calls, graph_summary, graph_neighbors, graph_expand, version_list, version_search, token_jaccard, counter_jaccard, change_label, git_similarity, path_similarity,
+        source_eligibility, language_map, stable_chunk_id, searchable_text, tokenize, metadata_tokens, query_language, identifier_match, doc_stats, term_stats, corpus_stats, postings, bm25_batch,
+        vector_normalize, semantic_topk, minmax_normalize, dedupe_by_id, hybrid_fusion, hybrid_topk, rerank_features, rerank_topk, evaluate_ndcg_mrr, symbol_resolution, graph_nodes, graph_contains,
+        graph_calls, graph_references, graph_imports, graph_inherits, graph_summary, graph_neighbors, graph_expand, multi_pass, version_list, version_select, version_search,
+        version_search_hybrid, version_compare, greedy_match, token_jaccard, symbol_similarity, counter_jaccard, structure_similarity, change_label, git_similarity, path_similarity,
         topological_order, evolution_tracks,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lodeseam.schema import LANGUAGES
+
 
 def tokens(text: str) -> str:
     """The token list of an SQL expression."""
@@ -83,11 +85,11 @@ keys AS (SELECT DISTINCT chunk_id, unnest([symbol_name, regexp_extract(symbol_na
 anywhere AS (SELECT key, CASE WHEN min(chunk_id) = max(chunk_id) THEN min(chunk_id) END AS hit FROM keys GROUP BY key)"""
 
 
-def resolved(wanted: str) -> str:
+def resolved(wanted: str, local: str = "local", anywhere: str = "anywhere") -> str:
     """Resolution of ``wanted`` (chunk_id, file_path, name)."""
     return rf"""SELECT w.*, coalesce(l.hit, e.hit, f.hit) AS target FROM {wanted} w
-  LEFT JOIN local l ON l.file_path = w.file_path AND l.key = regexp_extract(name, '[^.]*$')
-  LEFT JOIN anywhere e ON e.key = name LEFT JOIN anywhere f ON f.key = regexp_extract(name, '[^.]*$')"""
+  LEFT JOIN {local} l ON l.file_path = w.file_path AND l.key = regexp_extract(name, '[^.]*$')
+  LEFT JOIN {anywhere} e ON e.key = name LEFT JOIN {anywhere} f ON f.key = regexp_extract(name, '[^.]*$')"""
 
 
 GRAPH = f"""{PARTS},
@@ -97,6 +99,49 @@ calls_ AS (SELECT DISTINCT 'symbol::' || chunk_id AS source, 'symbol::' || targe
 contains_ AS (SELECT CASE WHEN target IS NOT NULL AND target <> chunk_id THEN 'symbol::' || target ELSE 'file::' || file_path END AS source, 'symbol::' || chunk_id AS target FROM ({resolved('inner_')})),
 relations AS (SELECT source, target, 0 AS place, 'CONTAINS' AS relation FROM contains_ UNION SELECT source, target, 1, 'CALLS' FROM calls_),
 edges AS (SELECT source, target, string_agg(relation, ',' ORDER BY place) AS relation FROM relations GROUP BY ALL)"""
+#: Parts as modules with names, and, every other size, as classes with bases.
+MODULES = rf"""{PARTS},
+modules AS (SELECT CAST(p_partkey AS VARCHAR) AS chunk_id, replace(p_brand, '#', '_') AS brand, CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER) AS number, p_size % 50 AS size, p_size % 2 = 0 AS is_class,
+  split_part(p_name, ' ', 1) AS first_word, split_part(p_name, ' ', 2) AS second_word,
+  lead(split_part(p_name, ' ', 2)) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS after FROM part),
+named AS (SELECT DISTINCT chunk_id, file_path, unnest([after, second_word || '.' || first_word]) AS name FROM chunks JOIN modules USING (chunk_id)),
+based AS (SELECT DISTINCT chunk_id, file_path, unnest(['m.' || first_word, second_word]) AS name FROM chunks JOIN modules USING (chunk_id) WHERE is_class),
+classes AS (SELECT chunks.* FROM chunks JOIN modules USING (chunk_id) WHERE is_class),
+class_local AS (SELECT file_path, regexp_extract(symbol_name, '[^.]*$') AS key, CASE WHEN min(chunk_id) = max(chunk_id) THEN min(chunk_id) END AS hit FROM classes GROUP BY ALL),
+class_keys AS (SELECT DISTINCT chunk_id, unnest([symbol_name, regexp_extract(symbol_name, '[^.]*$')]) AS key FROM classes),
+class_anywhere AS (SELECT key, CASE WHEN min(chunk_id) = max(chunk_id) THEN min(chunk_id) END AS hit FROM class_keys GROUP BY key),
+stems AS (SELECT DISTINCT file_path, unnest([brand || '/' || (size + 1), 'Brand_' || (number + 1) || '/' || (size + 1), brand || '/' || (size + 2)]) AS stem FROM chunks JOIN modules USING (chunk_id))"""
+#: Walks without a node twice, up to three hops, from the dearest part of each brand.
+WALKS = f"""{GRAPH},
+labels AS (SELECT 'symbol::' || chunk_id AS node, symbol_name AS label FROM chunks UNION ALL SELECT DISTINCT 'file::' || file_path, file_path FROM chunks),
+moves AS (
+  SELECT source AS at_node, target AS to_node, struct_pack(relation := relation, source := source, target := target) AS step, relation || ' -> ' AS said FROM relations
+  UNION ALL SELECT target, source, struct_pack(relation := relation, source := source, target := target), CASE relation WHEN 'CALLS' THEN 'CALLED_BY' ELSE 'CONTAINED_BY' END || ' <- ' FROM relations WHERE source <> target),
+spoken AS (SELECT moves.*, said || label AS says FROM moves JOIN labels ON node = to_node),
+seeds AS (SELECT p_brand AS query_id, 'symbol::' || arg_max(p_partkey, struct_pack(a := p_retailprice, b := p_partkey)) AS seed FROM part GROUP BY p_brand),
+walks AS (
+  SELECT query_id, seed, seed AS node_id, 0 AS hops, CAST([] AS STRUCT(relation VARCHAR, source VARCHAR, target VARCHAR)[]) AS path, [seed] AS seen, CAST([] AS VARCHAR[]) AS said FROM seeds
+  UNION ALL SELECT query_id, seed, to_node, hops + 1, list_append(path, step), list_append(seen, to_node), list_append(walks.said, says)
+  FROM walks JOIN spoken ON at_node = node_id WHERE hops < 3 AND NOT list_contains(seen, to_node)),
+met AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY hops, path) AS nth FROM walks WHERE hops > 0 AND node_id LIKE 'symbol::%' QUALIFY nth = 1),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hops, path) AS place FROM met QUALIFY place <= 100)"""
+#: What is asked and what is answered in a conversation, as chunks of two versions.
+MESSAGES = r"""messages AS (
+  SELECT conv_id AS pair_id, conv_id || ':' || lpad(CAST(turn AS VARCHAR), 5, '0') AS chunk_id, role, text, turn // 2 AS symbol, turn % 3 AS path FROM conversations WHERE role IN ('user', 'assistant')),
+met AS (
+  SELECT s.pair_id, s.chunk_id AS s_chunk_id, t.chunk_id AS t_chunk_id, CASE WHEN s.symbol = t.symbol THEN 1.0 ELSE 0.2 END AS symbol, 0.625 AS structure,
+         CASE WHEN s.path = 0 AND t.path = 1 THEN 1.0 WHEN s.path = t.path THEN 0.75 ELSE 0.25 END AS git,
+         CASE WHEN regexp_replace(s.text, '^\s+|\s+$', '', 'g') = regexp_replace(t.text, '^\s+|\s+$', '', 'g') THEN 'likely_unchanged' WHEN s.symbol <> t.symbol OR s.path <> t.path THEN 'likely_renamed_or_moved' ELSE 'likely_modified' END AS change
+  FROM messages s JOIN messages t USING (pair_id) WHERE s.role = 'user' AND t.role = 'assistant'),
+rated AS (SELECT *, round(0.4 * symbol + 0.2 * structure + 0.4 * git, 9) AS similarity FROM met),
+compared AS (SELECT *, row_number() OVER (PARTITION BY pair_id, s_chunk_id ORDER BY similarity DESC, t_chunk_id) AS nth FROM rated WHERE similarity >= 0.45 QUALIFY nth <= 3)"""
+#: BM25 by each version's own statistics.
+SCORED = f"""{TOKENS},
+words AS (SELECT version_id, chunk_id, unnest(tokens) AS term FROM tokenized), postings AS (SELECT version_id, chunk_id, term, count(*) AS tf FROM words GROUP BY ALL),
+dfs AS (SELECT version_id, term, count(*) AS df FROM postings GROUP BY ALL), docs AS (SELECT *, len(tokens) AS dl FROM tokenized), totals AS (SELECT version_id, count(*) AS n, avg(dl) AS avgdl FROM docs GROUP BY 1),
+asked AS (SELECT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark), terms AS (SELECT query_id, term, count(*) AS qtf FROM asked GROUP BY ALL),
+scored AS (SELECT query_id, version_id, version_label, chunk_id, file_path, start_line, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM terms JOIN dfs USING (term) JOIN postings USING (version_id, term) JOIN totals USING (version_id) JOIN docs USING (version_id, chunk_id) GROUP BY ALL)"""
 #: Consecutive turns of a conversation as versions of one text.
 TURNS = f"""turns AS (SELECT conv_id, turn, role, text, {tokens('text')} AS tokens FROM conversations),
 pairs AS (SELECT a.conv_id, a.turn, a.role AS a_role, b.role AS b_role, a.text AS a_text, b.text AS b_text, list_distinct(a.tokens) AS a, list_distinct(b.tokens) AS b, a.tokens AS a_all, b.tokens AS b_all
@@ -114,7 +159,10 @@ FROM (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'Vendor/' ELSE '' END || source |
     "metadata_tokens": f"WITH {CHUNKS} SELECT chunk_id, array_to_string({tokens(METADATA)}, ' ') AS tokens FROM chunks",
     "query_language": f"SELECT page_id, {LANGUAGE.replace('query', 'url')} AS named FROM pages",
     "identifier_match": r"""
-SELECT n_nationkey, n_name, r_name, regexp_matches(lower(r_name || ' ' || n_name || '_x ' || n_name || '.y'), '(^|[^a-z0-9_])' || lower(n_name) || '([^a-z0-9_]|$)') AS named FROM nation JOIN region ON n_regionkey = r_regionkey""",
+WITH p AS (SELECT p_partkey, lower(replace(p_name, ' ', '.')) AS symbol, lower(split_part(p_name, ' ', 2)) AS word FROM part),
+s AS (SELECT *, 'where is ' || CASE p_partkey % 3 WHEN 0 THEN word WHEN 1 THEN word || '_x' ELSE symbol END || '?' AS said FROM p)
+SELECT p_partkey, regexp_matches(said, '(^|[^a-z0-9_])' || replace(symbol, '.', '\.') || '([^a-z0-9_]|$)') OR regexp_matches(said, '(^|[^a-z0-9_])' || word || '([^a-z0-9_]|$)') AS named FROM s""",
+    "language_map": f"SELECT page_id, [{', '.join(repr(LANGUAGES.get(e.lower())) if e.lower() in LANGUAGES else 'NULL' for e in [*LANGUAGES, '.PY', '.txt', ''])}][page_id % {len(LANGUAGES) + 3} + 1] AS language FROM pages",
     "doc_stats": f"WITH {POSTINGS} SELECT chunk_id, dl FROM doc_stats",
     "term_stats": f"WITH {POSTINGS} SELECT term, df FROM term_stats",
     "corpus_stats": f"WITH {POSTINGS} SELECT n, round(avgdl, 6) AS avgdl FROM corpus",
@@ -124,6 +172,7 @@ SELECT n_nationkey, n_name, r_name, regexp_matches(lower(r_name || ' ' || n_name
     "semantic_topk": f"WITH {UNIT}, s AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, round(list_inner_product(q.v, u.v), 9) AS score FROM unit q, unit u WHERE q.vec_id % 50 = 0) SELECT query_id, chunk_id, row_number() OVER w AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id) QUALIFY rank <= 10",
     "minmax_normalize": f"WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice AS score FROM orders) SELECT o_custkey, o_orderkey, round({MINMAX}, 6) AS normalized FROM r WINDOW w AS (PARTITION BY o_custkey)",
     "dedupe_by_id": "SELECT user_id, event_type, max(value) AS score FROM events GROUP BY ALL",
+    "hybrid_fusion": f"WITH {FUSED} SELECT query_id, chunk_id, round(score, 6) AS score, round(nl, 6) AS normalized_lexical, round(ns, 6) AS normalized_semantic FROM fused",
     "hybrid_topk": f"WITH {FUSED} SELECT query_id, chunk_id, row_number() OVER w AS rank, round(score, 6) AS score, round(nl, 6) AS normalized_lexical, round(ns, 6) AS normalized_semantic, lexical_rank, semantic_rank FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, lower(file_path), start_line, chunk_id) QUALIFY rank <= 10",
     "rerank_features": f"WITH {FEATURES} SELECT query_id, chunk_id, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("semantic", "lexical", "exact_symbol", "filename", "language", "intent", "metadata")) + " FROM rated",
     "rerank_topk": f"WITH {RERANKED} SELECT query_id, chunk_id, row_number() OVER w AS rank, round(score, 6) AS score FROM final WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, lower(file_path), start_line, chunk_id) QUALIFY rank <= 10",
@@ -136,16 +185,52 @@ SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0
     "graph_nodes": f"WITH {PARTS} SELECT 'symbol::' || chunk_id AS node_id, 'symbol' AS kind, symbol_name, file_path FROM chunks UNION ALL SELECT DISTINCT 'file::' || file_path, 'file', NULL, file_path FROM chunks",
     "graph_contains": f"WITH {GRAPH} SELECT source, target FROM contains_",
     "graph_calls": f"WITH {GRAPH} SELECT source, target FROM calls_",
+    "graph_references": f"WITH {MODULES} SELECT DISTINCT 'symbol::' || chunk_id AS source, 'symbol::' || target AS target FROM ({resolved('named')}) WHERE target <> chunk_id",
+    "graph_inherits": f"WITH {MODULES} SELECT DISTINCT 'symbol::' || chunk_id AS source, 'symbol::' || target AS target FROM ({resolved('based', 'class_local', 'class_anywhere')}) WHERE target IS NOT NULL",
+    "graph_imports": f"WITH {MODULES} SELECT DISTINCT 'file::' || stems.file_path AS source, 'file::' || chunks.file_path AS target FROM stems JOIN chunks ON chunks.file_path = stem || '.py'",
+    "graph_expand": f"WITH RECURSIVE {WALKS} SELECT query_id, seed, node_id, hops, array_to_string(said, '; ') AS relation_path, CAST(1.0 AS DOUBLE) / hops AS graph_score FROM near",
     "graph_summary": f"WITH {GRAPH} SELECT 'relation' AS what, relation AS name, count(*) AS total FROM relations GROUP BY 2 UNION ALL SELECT 'edges', 'all', count(*) FROM edges UNION ALL SELECT 'nodes', 'all', count(*) + (SELECT count(DISTINCT file_path) FROM chunks) FROM chunks UNION ALL SELECT 'kind', 'symbol', count(*) FROM chunks UNION ALL SELECT 'kind', 'file', count(DISTINCT file_path) FROM chunks",
     "graph_neighbors": f"WITH {GRAPH} SELECT target AS node_id, 'incoming' AS direction, relation, source AS other FROM edges WHERE target LIKE 'symbol::%' UNION ALL SELECT source, 'outgoing', relation, target FROM edges WHERE source LIKE 'symbol::%'",
     "version_list": "SELECT lang AS version_id, 'lang ' || lang AS version_label, count(*) AS number_of_chunks, count(DISTINCT source) AS number_of_folders FROM documents GROUP BY lang",
+    "version_select": "SELECT lang AS version_id, source AS folder, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY ALL",
+    "version_compare": f"WITH {MESSAGES} SELECT pair_id, s_chunk_id, t_chunk_id, round(CAST(similarity AS DOUBLE), 6) AS similarity, CAST(symbol AS DOUBLE) AS symbol, CAST(structure AS DOUBLE) AS structure, CAST(git AS DOUBLE) AS git, change FROM compared",
+    "greedy_match": f"""
+WITH RECURSIVE {MESSAGES},
+listed AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY similarity DESC, s_chunk_id, t_chunk_id) AS k FROM compared),
+taking AS (
+  SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS s_chunk_id, CAST(NULL AS VARCHAR) AS t_chunk_id, CAST(NULL AS DOUBLE) AS similarity, FALSE AS taken FROM listed
+  UNION ALL SELECT l.pair_id, l.k, CASE WHEN list_has_any(used, [l.s_chunk_id, l.t_chunk_id]) THEN used ELSE used || [l.s_chunk_id, l.t_chunk_id] END, l.s_chunk_id, l.t_chunk_id, CAST(l.similarity AS DOUBLE), NOT list_has_any(used, [l.s_chunk_id, l.t_chunk_id])
+  FROM taking g JOIN listed l ON l.pair_id = g.pair_id AND l.k = g.k + 1)
+SELECT pair_id, s_chunk_id, t_chunk_id, round(similarity, 6) AS similarity FROM taking WHERE taken""",
+    "version_search_hybrid": f"""
+WITH {SCORED},
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, version_id ORDER BY round(score, 9) DESC, lower(file_path), start_line, chunk_id) AS nth FROM scored QUALIFY nth <= 50),
+{UNIT},
+vector_scores AS (
+  SELECT item_id AS query_id, lang AS version_id, CAST(u.vec_id AS VARCHAR) AS chunk_id, round(list_inner_product(q.v, u.v), 9) AS score FROM benchmark JOIN unit q ON q.vec_id = item_id, unit u JOIN documents ON doc_id = u.vec_id),
+vector_best AS (SELECT *, row_number() OVER (PARTITION BY query_id, version_id ORDER BY score DESC, chunk_id) AS nth FROM vector_scores QUALIFY nth <= 50),
+l AS (SELECT query_id, version_id, chunk_id, {MINMAX} AS nl FROM best WINDOW w AS (PARTITION BY query_id, version_id)),
+s AS (SELECT query_id, version_id, chunk_id, {MINMAX} AS ns FROM vector_best WINDOW w AS (PARTITION BY query_id, version_id)),
+both_ AS (SELECT query_id, version_id, chunk_id, round((coalesce(nl, 0) + coalesce(ns, 0)) / 2, 9) AS relevance FROM l FULL JOIN s USING (query_id, version_id, chunk_id)),
+placed AS (SELECT b.*, version_label, file_path, start_line FROM both_ b JOIN chunks c ON c.version_id = b.version_id AND c.chunk_id = b.chunk_id)
+SELECT query_id, version_id, chunk_id, row_number() OVER w AS rank, round(relevance, 6) AS relevance FROM placed
+WINDOW w AS (PARTITION BY query_id ORDER BY relevance DESC, version_label, lower(file_path), start_line, chunk_id, version_id) QUALIFY rank <= 10""",
+    "symbol_similarity": f"""
+WITH p AS (SELECT p_partkey, p_name AS x, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS y FROM part),
+n AS (SELECT p_partkey, upper(left(x, 1)) || lower(replace(substr(x, 2), ' ', '_')) AS x, upper(left(y, 1)) || lower(replace(substr(y, 2), ' ', '_')) AS y FROM p WHERE y IS NOT NULL),
+t AS (SELECT p_partkey, list_distinct({tokens('x')}) AS a, list_distinct({tokens('y')}) AS b FROM n)
+SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS similarity FROM t""",
+    "structure_similarity": """
+WITH m AS (
+  SELECT p_partkey, p_brand, CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'method' END AS kind, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS words,
+         CASE WHEN p_size % 5 > 0 THEN p_size % 7 END AS arity, p_partkey % 9 AS calls, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+j AS (SELECT a.*, b.kind AS kind_b, b.arity AS arity_b, b.calls AS calls_b, list_intersect(a.words, b.words) AS common, list_distinct(a.words || b.words) AS either FROM m a JOIN m b ON a.p_brand = b.p_brand AND b.k = a.k + 1)
+SELECT p_partkey, round(0.45 * CASE WHEN kind = kind_b THEN 1.0 WHEN 'class' NOT IN (kind, kind_b) THEN 0.5 ELSE 0.0 END
+  + 0.30 * coalesce(list_sum(list_transform(common, lambda w: length(w) % 4 + 1)), 0) / list_sum(list_transform(either, lambda w: length(w) % 4 + 1))
+  + 0.15 * CASE WHEN arity IS NULL OR arity_b IS NULL THEN 0.5 ELSE 1 - abs(arity - arity_b) / greatest(arity, arity_b, 1) END
+  + 0.10 * (1 - abs(calls - calls_b) / greatest(calls, calls_b, 1)), 6) AS similarity FROM j""",
     "version_search": f"""
-WITH {TOKENS},
-words AS (SELECT version_id, chunk_id, unnest(tokens) AS term FROM tokenized), postings AS (SELECT version_id, chunk_id, term, count(*) AS tf FROM words GROUP BY ALL),
-dfs AS (SELECT version_id, term, count(*) AS df FROM postings GROUP BY ALL), docs AS (SELECT *, len(tokens) AS dl FROM tokenized), totals AS (SELECT version_id, count(*) AS n, avg(dl) AS avgdl FROM docs GROUP BY 1),
-asked AS (SELECT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark), terms AS (SELECT query_id, term, count(*) AS qtf FROM asked GROUP BY ALL),
-scored AS (SELECT query_id, version_id, version_label, chunk_id, file_path, start_line, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-  FROM terms JOIN dfs USING (term) JOIN postings USING (version_id, term) JOIN totals USING (version_id) JOIN docs USING (version_id, chunk_id) GROUP BY ALL),
+WITH {SCORED},
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, version_id ORDER BY round(score, 9) DESC, lower(file_path), start_line, chunk_id) AS nth FROM scored QUALIFY nth <= 50),
 normal AS (SELECT *, round({MINMAX}, 9) AS relevance FROM best WINDOW w AS (PARTITION BY query_id, version_id))
 SELECT query_id, version_id, chunk_id, row_number() OVER w AS rank, round(relevance, 6) AS relevance FROM normal
