@@ -250,13 +250,20 @@ def graph_expand(spark, d):
     return graph.expand(nodes, edges, seeds, 3, 100).withColumn("relation_path", F.array_join("relation_path", "; "))
 
 
+def digit_counts(texts: DataFrame, id_col: str, said) -> DataFrame:
+    """An embedder that SQL can say as well: tokens counted by the first hex digit of their MD5."""
+    digits = F.transform(text.tokenize(said), lambda t: F.substring(F.md5(t), 1, 1))
+    counts = lambda found: F.transform(F.array(*map(F.lit, "0123456789abcdef")), lambda d: F.size(F.filter(found, lambda x: x == d)).cast("double"))
+    return texts.select(id_col, digits.alias("digits")).select(id_col, counts(F.col("digits")).alias("vector"))
+
+
 def multi_pass(spark, d):
     """Benchmark items over documents each of which calls the next one of its source."""
     after = F.lead("symbol_name").over(Window.partitionBy(F.substring_index("file_path", "/", 1)).orderBy(F.col("chunk_id").cast("long")))
     rows = snapshot(chunks(spark, d).withColumn("calls", F.array_compact(F.array(after))))
     nodes, edges = snapshot(graph.nodes(rows)), snapshot(graph.merge_edges({"CONTAINS": graph.contains(rows), "CALLS": graph.calls(rows)}))
     queries = asked(spark, d).select("query_id", F.substring("query", 1, 4000).alias("query"))
-    found, report = multipass.search(lexical.build(rows), semantic.build(rows), nodes, edges, rows, queries, seed_k=3, max_graph_hops=2)
+    found, report = multipass.search(lexical.build(rows), semantic.build(rows, digit_counts), nodes, edges, rows, queries, seed_k=3, max_graph_hops=2, embedder=digit_counts)
     counts = ("pass1", "seeds", "expansions", "added", "pass5")
     return found.join(report, "query_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), *counts)
 

@@ -125,6 +125,79 @@ walks AS (
   FROM walks JOIN spoken ON at_node = node_id WHERE hops < 3 AND NOT list_contains(seen, to_node)),
 met AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY hops, path) AS nth FROM walks WHERE hops > 0 AND node_id LIKE 'symbol::%' QUALIFY nth = 1),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hops, path) AS place FROM met QUALIFY place <= 100)"""
+
+
+def _multi_pass() -> str:
+    """All passes: documents call the next one of their source, vectors count tokens by the first hex digit of their MD5."""
+    calling = "CASE WHEN calls IS NULL THEN '' ELSE chr(10) || 'CALLS: ' || calls END"
+    said = SEARCHABLE.replace("|| chr(10) || 'CODE:'", f"|| {calling} || chr(10) || 'CODE:'")
+    metadata = METADATA.replace("file_path", "c.file_path") + " || ' ' || coalesce(calls, '')"
+    base = POSTINGS.replace(tokens(SEARCHABLE), tokens(said)).replace(" FROM documents)", ", lead('doc_' || doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS calls FROM documents)", 1)
+    digits = "['" + "', '".join("0123456789abcdef") + "']"
+
+    def vector(toks: str) -> str:
+        counts = f"list_transform({digits}, lambda d: CAST(len(list_filter({toks}, lambda t: md5(t)[1] = d)) AS DOUBLE))"
+        return f"(SELECT list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) FROM (SELECT {counts} AS v))"
+
+    def channels(n: int, asked: str, k: int) -> str:
+        return f"""terms{n} AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens('query')}) AS term FROM {asked}) GROUP BY ALL),
+scored{n} AS (
+  SELECT query_id, chunk_id, file_path, start_line, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM terms{n} JOIN term_stats USING (term) JOIN postings USING (term) JOIN doc_stats USING (chunk_id), corpus GROUP BY ALL),
+lex{n} AS (SELECT query_id, chunk_id, score FROM scored{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, lower(file_path), start_line, chunk_id) <= {k}),
+spoken{n} AS (SELECT query_id, {tokens('query')} AS tokens FROM {asked}),
+asks{n} AS (SELECT query_id, {vector('tokens')} AS v FROM spoken{n}),
+near{n} AS (SELECT query_id, chunk_id, round(list_inner_product(a.v, u.v), 9) AS score FROM asks{n} a, units u),
+sem{n} AS (SELECT query_id, chunk_id, score FROM near{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {k})"""
+
+    def fused(name: str, lex: str, sem: str) -> str:
+        return f"""{name} AS (
+  SELECT query_id, chunk_id, coalesce(nl, 0) AS nl, coalesce(ns, 0) AS ns
+  FROM (SELECT query_id, chunk_id, {MINMAX} AS nl FROM {lex} WINDOW w AS (PARTITION BY query_id)) FULL JOIN (SELECT query_id, chunk_id, {MINMAX} AS ns FROM {sem} WINDOW w AS (PARTITION BY query_id)) USING (query_id, chunk_id))"""
+
+    def reranked(name: str, candidates: str, k: int) -> str:
+        return f"""{name}_rated AS (
+  SELECT f.query_id, f.chunk_id, c.file_path, c.start_line,
+    (0.25 * ns + 0.25 * nl + 0.10 * CASE WHEN regexp_matches(lower(query), '(^|[^a-z0-9_])' || symbol_name || '([^a-z0-9_]|$)') THEN 1.0 ELSE 0.0 END
+     + 0.075 * len(list_intersect(q, {tokens('c.file_path')})) / len(q) + 0.025 * CASE WHEN asked_language IS NULL OR lower(asked_language) = lower(language) THEN 1.0 ELSE 0.0 END
+     + 0.10 * CASE WHEN len(expected) = 0 THEN 0.0 ELSE len(list_intersect(expected, m)) / len(expected) END + 0.15 * len(list_intersect(q, m)) / len(q)
+     + 0.05 * len(list_intersect(q, {tokens("coalesce(calls, '')")})) / len(q) + 0.10 * graph) / 1.1 AS score
+  FROM {candidates} f JOIN described c USING (chunk_id) JOIN expecting USING (query_id)),
+{name} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, lower(file_path), start_line, chunk_id) AS rank FROM {name}_rated QUALIFY rank <= {k})"""
+
+    return f"""{base},
+asked AS (SELECT item_id AS query_id, left(text, 4000) AS query FROM benchmark),
+asking AS (SELECT *, list_distinct({tokens('query')}) AS q FROM asked),
+expecting AS (SELECT *, {_roles()} AS expected, {LANGUAGE} AS asked_language FROM asking),
+described AS (SELECT c.*, list_distinct({tokens(metadata)}) AS m FROM chunks c),
+units AS (SELECT chunk_id, {vector('tokens')} AS v FROM tokenized),
+{channels(1, 'asked', 50)},
+{fused('pass_one', 'lex1', 'sem1')},
+first_pass AS (SELECT *, 0.0 AS graph FROM pass_one),
+{reranked('seeds', 'first_pass', 3)},
+calling AS (SELECT c.chunk_id AS a, t.chunk_id AS b FROM chunks c JOIN chunks t ON t.symbol_name = c.calls),
+steps AS (SELECT a, b FROM calling UNION ALL SELECT b, a FROM calling),
+walked AS (
+  SELECT query_id, s.chunk_id AS seed, b AS chunk_id, 1 AS hops FROM seeds s JOIN steps ON a = s.chunk_id
+  UNION ALL SELECT query_id, s.chunk_id, t.b, 2 FROM seeds s JOIN steps o ON o.a = s.chunk_id JOIN steps t ON t.a = o.b WHERE t.b <> s.chunk_id),
+expanded AS (SELECT query_id, chunk_id, min(hops) AS hops FROM walked GROUP BY ALL),
+told AS (
+  SELECT query_id, left(trim(query) || chr(10) || string_agg(symbol_name || ' ' || file_path || CASE WHEN calls IS NULL THEN '' ELSE ' ' || calls END || CASE WHEN code = '' THEN '' ELSE ' ' || left(code, 1000) END, chr(10) ORDER BY hops, chunk_id), 4000) AS query
+  FROM expanded JOIN chunks USING (chunk_id) JOIN asked USING (query_id) GROUP BY query_id, asked.query),
+{channels(2, 'told', 25)},
+lex AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM lex1 UNION ALL SELECT * FROM lex2) GROUP BY ALL),
+sem AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM sem1 UNION ALL SELECT * FROM sem2) GROUP BY ALL),
+{fused('everything', 'lex', 'sem')},
+last_pass AS (
+  SELECT query_id, chunk_id, coalesce(nl, 0) AS nl, coalesce(ns, 0) AS ns, coalesce(1.0 / hops, 0.0) AS graph FROM everything FULL JOIN expanded USING (query_id, chunk_id)),
+{reranked('results', 'last_pass', 10)},
+report AS (
+  SELECT query_id, (SELECT count(*) FROM pass_one x WHERE x.query_id = a.query_id) AS pass1, (SELECT count(*) FROM seeds x WHERE x.query_id = a.query_id) AS seeds,
+         (SELECT count(*) FROM expanded x WHERE x.query_id = a.query_id) AS expansions, (SELECT count(*) FROM last_pass x WHERE x.query_id = a.query_id) AS pass5,
+         (SELECT count(*) FROM last_pass x ANTI JOIN pass_one y USING (query_id, chunk_id) WHERE x.query_id = a.query_id) AS added FROM asked a)"""
+
+
+MULTI_PASS = _multi_pass()
 #: What is asked and what is answered in a conversation, as chunks of two versions.
 MESSAGES = r"""messages AS (
   SELECT conv_id AS pair_id, conv_id || ':' || lpad(CAST(turn AS VARCHAR), 5, '0') AS chunk_id, role, text, turn // 2 AS symbol, turn % 3 AS path FROM conversations WHERE role IN ('user', 'assistant')),
@@ -192,6 +265,7 @@ SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0
     "graph_summary": f"WITH {GRAPH} SELECT 'relation' AS what, relation AS name, count(*) AS total FROM relations GROUP BY 2 UNION ALL SELECT 'edges', 'all', count(*) FROM edges UNION ALL SELECT 'nodes', 'all', count(*) + (SELECT count(DISTINCT file_path) FROM chunks) FROM chunks UNION ALL SELECT 'kind', 'symbol', count(*) FROM chunks UNION ALL SELECT 'kind', 'file', count(DISTINCT file_path) FROM chunks",
     "graph_neighbors": f"WITH {GRAPH} SELECT target AS node_id, 'incoming' AS direction, relation, source AS other FROM edges WHERE target LIKE 'symbol::%' UNION ALL SELECT source, 'outgoing', relation, target FROM edges WHERE source LIKE 'symbol::%'",
     "version_list": "SELECT lang AS version_id, 'lang ' || lang AS version_label, count(*) AS number_of_chunks, count(DISTINCT source) AS number_of_folders FROM documents GROUP BY lang",
+    "multi_pass": f"WITH {MULTI_PASS} SELECT query_id, chunk_id, rank, round(score, 6) AS score, pass1, seeds, expansions, added, pass5 FROM results JOIN report USING (query_id)",
     "version_select": "SELECT lang AS version_id, source AS folder, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY ALL",
     "version_compare": f"WITH {MESSAGES} SELECT pair_id, s_chunk_id, t_chunk_id, round(CAST(similarity AS DOUBLE), 6) AS similarity, CAST(symbol AS DOUBLE) AS symbol, CAST(structure AS DOUBLE) AS structure, CAST(git AS DOUBLE) AS git, change FROM compared",
     "greedy_match": f"""
