@@ -150,7 +150,7 @@ def expand(node_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, max_hop
     Edges are followed both ways, files cost a hop and are not results.  Each symbol has the
     least hops, from the first seed in order that gives them, by the path of the lexically
     least steps (relation, source, target).  Seeds are searched one after another until
-    ``max_candidates`` symbols are met.  A breadth-first search gives that: one join a hop, of
+    ``max_candidates`` symbols are met; what can't come before that is not walked further.  A breadth-first search gives that: one join a hop, of
     which only the least path to each new node stays; each hop's lineage is cut.
     """
     not_negative(max_candidates=max_candidates)
@@ -165,6 +165,7 @@ def expand(node_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, max_hop
     kind = "array<struct<relation:string,source:string,target:string>>"
     reached = first.select("query_id", "position", F.col("node_id").alias("seed"), F.col("node_id").alias("at"), F.lit(0).alias("hops"), F.array().cast(kind).alias("path"))
     frontier, found = reached, [reached]
+    symbols = node_rows.where("kind <> 'file'").select(F.col("node_id").alias("at"))
     for hop in range(1, max_hops + 1):
         met = frontier.join(moves, "at").select("query_id", "position", "seed", F.col("to").alias("at"), F.lit(hop).alias("hops"), F.concat("path", F.array("step")).alias("path"))
         seen = reduce(DataFrame.unionByName, found).select("query_id", "seed", "at")
@@ -173,7 +174,12 @@ def expand(node_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, max_hop
         found.append(frontier)
         if frontier.isEmpty():
             break
-    symbols = node_rows.where("kind <> 'file'").select(F.col("node_id").alias("at"))
+        if hop < max_hops:
+            # seeds at which a query has met enough symbols, in this or an earlier place, have nothing to add
+            met_at = reduce(DataFrame.unionByName, found[1:]).where("at <> seed").join(symbols, "at").groupBy("query_id", "at").agg(F.min("position").alias("position"))
+            so_far = F.sum("n").over(Window.partitionBy("query_id").orderBy("position"))
+            enough = met_at.groupBy("query_id", "position").agg(F.count("*").alias("n")).withColumn("so_far", so_far).where(F.col("so_far") >= max_candidates)
+            frontier = frontier.join(enough.groupBy("query_id").agg(F.min("position").alias("stop")), "query_id", "left").where("stop is null or position < stop").drop("stop")
     hits = reduce(DataFrame.unionByName, found[1:]).where("at <> seed").join(symbols, "at")
     # the order of discovery is (position, hops, path); the search ends when the last wanted symbol is first met
     key = F.struct("position", "hops", "path")

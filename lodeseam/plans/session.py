@@ -41,7 +41,9 @@ class Engine:
     def repositories(self) -> DataFrame:
         """All repositories with the methods that their tables allow, by name."""
         catalog = f"{self.home}/repositories"
-        rows = self.spark.read.schema(self._RECORD).json(catalog) if self._exists(catalog) else self.spark.createDataFrame([], self._RECORD)
+        saved = self.spark.read.schema(f"{self._RECORD}, saved long").json(catalog) if self._exists(catalog) else self.spark.createDataFrame([], f"{self._RECORD}, saved long")
+        names = [c for c in saved.columns if c not in ("repository_id", "saved")]
+        rows = saved.groupBy("repository_id").agg(F.max_by(F.struct(*names), "saved").alias("last")).select("repository_id", "last.*")
         has = lambda flag, *names: F.when(flag, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
         methods = F.concat(F.array(F.lit("bm25")), has(F.col("semantic"), "semantic", "hybrid", "reranked"), has(F.col("semantic") & F.col("graph"), "multi_pass"), has(F.col("versions"), "version_search"))
         return rows.withColumn("available_methods", methods).orderBy(F.lower("name"))
@@ -59,8 +61,9 @@ class Engine:
         return found[0]
 
     def _save_record(self, record: dict) -> None:
-        row = self.spark.createDataFrame([json.dumps(record)], "string")
-        row.coalesce(1).write.mode("overwrite").text(f"{self.home}/repositories/repository_id={record['repository_id']}")
+        """Append the record; the last of a repository counts, so readers see the old one until the new one is there as a whole."""
+        row = self.spark.createDataFrame([json.dumps(record | {"saved": time.time_ns()})], "string")
+        row.coalesce(1).write.mode("append").text(f"{self.home}/repositories")
 
     def _writable(self) -> None:
         if self.read_only:
