@@ -328,7 +328,7 @@ def _encode(path: str, pattern: str):
         split, cached = regex.compile(pattern).findall, _pieces(path)
         for batch in batches:
             _, offsets = words.utf8(batch.column(1))
-            for low, high in words.pieces(offsets, 2 << 20):
+            for low, high in words.pieces(offsets, 1 << 19):
                 rows = batch.slice(low, high - low)
                 parts = [split(text) if text else [] for text in rows.column(1).to_pylist()]
                 cached.learn(set().union(*parts))

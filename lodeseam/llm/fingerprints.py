@@ -151,7 +151,8 @@ def chained(docs: DataFrame, bucket_mb: float = 4) -> DataFrame:
     # one row a bucket: the largest id of each goes to the next bucket above, the very largest to the lowest bucket
     tops = [(r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("doc_id")).orderBy("bucket").collect()]
     hosts = [(b, top, tops[(k + 1) % len(tops)][0]) for k, (b, top) in enumerate(tops)] if len(tops) > 1 else []
-    host = docs.sparkSession.createDataFrame(hosts, "bucket int, doc_id long, host int")
+    columns = list(zip(*hosts)) or [[], [], []]
+    host = frames.local(docs.sparkSession, bucket=pa.array(columns[0], pa.int32()), doc_id=pa.array(columns[1], pa.int64()), host=pa.array(columns[2], pa.int32()))
     guests = rows.join(F.broadcast(host), ["bucket", "doc_id"]).select(F.col("host").alias("bucket"), "doc_id", "text", F.lit(True).alias("guest"))
     return rows.withColumn("guest", F.lit(False)).unionByName(guests).groupBy("bucket").applyInArrow(_chain, _CHAIN)
 

@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.sources.steps import shared_folder
@@ -50,6 +50,11 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
 BROADCAST_KEYS = 400_000
 
 
+def local(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table of the driver's; unlike rows of Python objects, it needs no Python workers."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it until no column of ``df`` is called so in any case."""
     taken = {c.lower() for c in df.columns}

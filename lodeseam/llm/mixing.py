@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat
     per_source = frames.stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
     sizes = {r.tokens: r.n for r in per_source.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     _, _, quotas = solve_sizes(sizes, target_entropy, max_repeats, budget)
-    plan = per_source.join(docs.sparkSession.createDataFrame(list(quotas.items()), "tokens long, quota long"), "tokens")
+    plan = per_source.join(frames.local(docs.sparkSession, tokens=pa.array(quotas, pa.int64()), quota=pa.array(quotas.values(), pa.int64())), "tokens")
     whole = F.when(F.col("tokens") > 0, F.expr("quota div nullif(tokens, 0)")).otherwise(1).cast("long")
     rest = F.when(F.col("tokens") > 0, F.col("quota") % F.col("tokens")).otherwise(0)
     size = F.greatest(F.lit(block_docs), F.ceil(F.sqrt("docs")))

@@ -55,7 +55,7 @@ def _with_parts(found: set[str]) -> set[str]:
 class Automaton:
     """Finds the term that a word is, begins with, or is a misspelling of.
 
-    A state is a set of (trie node, edits so far).  Reading a letter follows the node's
+    A state is a set of (trie node, edits so far), each as one number.  Reading a letter follows the node's
     child; for an edit it stays (a letter too many), takes any child (a wrong letter), or
     has skipped one (a letter missing).  Where a beginning ends it stays for nothing; one
     without edits ends the word.  States are numbered when they are first reached.
@@ -104,7 +104,7 @@ class Automaton:
                 if e < self.most[child] and edits.get(child, 99) > e + 1:
                     edits[child] = e + 1
                     queue.append((child, e + 1))
-        return frozenset(edits.items())
+        return frozenset(node << 3 | e for node, e in edits.items())
 
     def _step(self, pairs: frozenset, letter: str) -> frozenset:
         reached: dict[int, int] = {}
@@ -113,7 +113,7 @@ class Automaton:
             if e <= self.most[node] and reached.get(node, 99) > e:
                 reached[node] = e
 
-        for node, e in pairs:
+        for node, e in ((x >> 3, x & 7) for x in pairs):
             for other, child in self.children[node].items():
                 reach(child, e + (other != letter))
             reach(node, e + (e > self.open[node]))
@@ -121,7 +121,7 @@ class Automaton:
 
     def _accepts(self, pairs: frozenset) -> tuple[tuple[str, int] | None, bool]:
         """The nearest term that ends here, and whether the word's end doesn't matter."""
-        found = [(e, term) for node, e in pairs for term in self.ends[node] if e <= allowed_edits(term)]
+        found = [(e, term) for node, e in ((x >> 3, x & 7) for x in pairs) for term in self.ends[node] if e <= allowed_edits(term)]
         stems = [x for x in found if x[1].endswith("*") and not x[0]]
         best = min(stems or found, default=None)
         return best and (best[1], best[0]), bool(stems)
