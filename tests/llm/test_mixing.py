@@ -59,5 +59,17 @@ def test_against_brute_force(spark, budget):
         assert {r.doc_id for r in got} == {r[0] for r in rows}
 
 
+def test_sources_of_a_size_are_solved_together():
+    r = __import__("random").Random(3)
+    totals = {f"s{k}": r.choice([5, 50, 500, 7000]) for k in range(300)}
+    mix = mixing.solve(totals)
+    sizes = defaultdict(int)
+    for t in totals.values():
+        sizes[t] += 1
+    exponent, weights, quotas = mixing.solve_sizes(dict(sizes))
+    assert (mix.exponent, mix.quotas["s1"]) == (exponent, quotas[totals["s1"]]) and all(mix.weights[s] == weights[t] for s, t in totals.items())
+    assert mixing.entropy(mix.weights.values()) >= 0.95 * math.log(300) - 1e-6 or max(mix.quotas[s] / t for s, t in totals.items()) <= 4.01
+
+
 def test_empty_table(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []

@@ -40,6 +40,15 @@ def test_automaton_is_the_edit_distance(term, edits):
 AUTOMATON = tx.Automaton(TERMS)
 
 
+def test_words_beyond_the_numbered_states():
+    r = random.Random(2)
+    small = tx.Automaton(TERMS)
+    small.LIMIT = 12
+    words = ["".join(r.choices("moranptheicluswdk", k=r.randint(1, 11))) for _ in range(2000)] + ["morron", "patetic", "worthles", "loweixyz", "scum", "marinada", "lowie"]
+    assert [small.match(w) for w in words] == [brute(w) for w in words] == [AUTOMATON.match(w) for w in words]
+    assert len(small.sets) <= 12 < len(AUTOMATON.sets)
+
+
 def test_quotation_counts_apart():
     model = tx.Model((("moron", 5.0),), coefficients=(-3.0, 1.0, 0.5, -0.2))
     score = lambda t: tx._score(model, tx.find(model, t))
