@@ -14,17 +14,59 @@ from lodeseam.operators.lexical import ranked
 # For each role, the words of a query that call for it, and the terms expected of a chunk.
 ROLES = (
     (
-        "auth authentication authorize authorization token jwt protected validate validation verify verified permission",
-        "auth authentication authenticate authorization authorize middleware token jwt validate validation verify permission protected claims credential",
+        (
+            "auth", "authentication", "authorize", "authorization", "token", "jwt", "protected", "validate",
+            "validation", "verify", "verified", "permission",
+        ),
+        (
+            "auth", "authentication", "authenticate", "authorization", "authorize", "middleware", "token", "jwt",
+            "validate", "validation", "verify", "permission", "protected", "claims", "credential",
+        ),
     ),
-    ("payment charge billing card transaction refund", "payment payments charge card billing transaction refund invoice"),
-    ("database db query sql connection pool", "database db query sql connection pool execute cursor commit"),
-    ("image resize upload storage file thumbnail", "image resize upload storage file thumbnail bucket compress"),
-    ("password hash hashed credential credentials", "password hash hashed credential credentials salt digest encrypt"),
-    ("normalize normalization sanitize parse transform convert", "normalize normalization sanitize parse transform convert clean format"),
-)
+    (
+        (
+            "payment", "charge", "billing", "card", "transaction", "refund",
+        ),
+        (
+            "payment", "payments", "charge", "card", "billing", "transaction", "refund", "invoice",
+        ),
+    ),
+    (
+        (
+            "database", "db", "query", "sql", "connection", "pool",
+        ),
+        (
+            "database", "db", "query", "sql", "connection", "pool", "execute", "cursor", "commit",
+        ),
+    ),
+    (
+        (
+            "image", "resize", "upload", "storage", "file", "thumbnail",
+        ),
+        (
+            "image", "resize", "upload", "storage", "file", "thumbnail", "bucket", "compress",
+        ),
+    ),
+    (
+        (
+            "password", "hash", "hashed", "credential", "credentials",
+        ),
+        (
+            "password", "hash", "hashed", "credential", "credentials", "salt", "digest", "encrypt",
+        ),
+    ),
+    (
+        (
+            "normalize", "normalization", "sanitize", "parse", "transform", "convert",
+        ),
+        (
+            "normalize", "normalization", "sanitize", "parse", "transform", "convert", "clean", "format",
+        ),
+    ),
+)
 
 
+# What each feature weighs.
 @dataclass(frozen=True)
 class Weights:
     semantic: float = 0.25
@@ -45,7 +87,7 @@ class Weights:
 
 def expected_terms(query_tokens: Column) -> Column:
     """The terms expected by all roles that a query's words call for."""
-    words = lambda s: F.array(*map(F.lit, s.split()))
+    words = lambda terms: F.array(*map(F.lit, terms))
     none = F.array().cast("array<string>")
     return F.array_distinct(F.concat(*(F.when(F.arrays_overlap(query_tokens, words(calls)), words(terms)).otherwise(none) for calls, terms in ROLES)))
 

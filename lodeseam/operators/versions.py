@@ -19,6 +19,7 @@ from lodeseam.sources.steps import snapshot
 from lodeseam.sources.tree import signature
 
 
+# What each likeness weighs.
 @dataclass(frozen=True)
 class MatchWeights:
     semantic: float = 0.55

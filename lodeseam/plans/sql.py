@@ -59,7 +59,7 @@ LANGUAGE = "CASE " + " ".join(f"WHEN regexp_matches(lower(query), '(^|[^a-z0-9])
 def _roles() -> str:
     from lodeseam.operators.rerank import ROLES
 
-    array = lambda s: "[" + ", ".join(f"'{w}'" for w in s.split()) + "]"
+    array = lambda terms: "[" + ", ".join(f"'{w}'" for w in terms) + "]"
     return "list_distinct(" + " || ".join(f"CASE WHEN list_has_any(q, {array(a)}) THEN {array(b)} ELSE CAST([] AS VARCHAR[]) END" for a, b in ROLES) + ")"
 
 
