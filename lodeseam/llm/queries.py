@@ -10,6 +10,7 @@ from lodeseam.llm.licenses import op1_license_scan
 from lodeseam.llm.mixing import OP2_SQL, op2_mix_sources
 from lodeseam.llm.neardup import OP9_SQL, op9_minhash_near_dedup
 from lodeseam.llm.packing import op11_packing
+from lodeseam.llm.periodic import op12_periodic_runs
 from lodeseam.llm.secrets import op6_secret_scan
 from lodeseam.llm.substrings import OP3_SQL, op3_substring_dedup
 from lodeseam.llm.toxicity import op7_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
         op9_minhash_near_dedup,
         op10_exact_dedup,
         op11_packing,
+        op12_periodic_runs,
     )
 }
 
