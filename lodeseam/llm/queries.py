@@ -12,6 +12,7 @@ from lodeseam.llm.neardup import OP9_SQL, op9_minhash_near_dedup
 from lodeseam.llm.packing import op11_packing
 from lodeseam.llm.periodic import op12_periodic_runs
 from lodeseam.llm.secrets import op6_secret_scan
+from lodeseam.llm.spelling import op13_spelling_variants
 from lodeseam.llm.substrings import OP3_SQL, op3_substring_dedup
 from lodeseam.llm.toxicity import op7_toxicity
 
@@ -30,6 +31,7 @@ QUERIES = {
         op10_exact_dedup,
         op11_packing,
         op12_periodic_runs,
+        op13_spelling_variants,
     )
 }
 

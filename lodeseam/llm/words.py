@@ -29,6 +29,9 @@ BYTES_OTHER = _table(29)
 #: The same values for A-Z as for a-z.
 BYTES_LOWER = BYTES.copy()
 BYTES_LOWER[65:91] = BYTES[97:123]
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
