@@ -25,28 +25,25 @@ from tokenizers import Tokenizer, pre_tokenizers
 from lodeseam.llm import frames, words
 
 # Kinds of bytes, the pairs of kinds between which a text may be cut without changing its tokens, and the pattern for which that holds.
-LETTER, SIGN, HIGH, QUOTE, SPACE = range(5)
-CUTS = ((LETTER, SIGN), (LETTER, QUOTE), (SIGN, LETTER))
+LETTER, SIGN, HIGH, QUOTE, SPACE, CAPITAL = range(6)
+CUTS = ((LETTER, SIGN), (LETTER, QUOTE), (SIGN, LETTER), (CAPITAL, SIGN), (CAPITAL, QUOTE), (SIGN, CAPITAL))
+SPACES = b" \t\n\v\f\r"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-_KIND = np.full(256, HIGH, np.uint8)
-_KIND[:128] = SIGN
-_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
-_KIND[39] = QUOTE
-_KIND[[9, 10, 11, 12, 13, 32]] = SPACE
-_PARTS = np.zeros((5, 5), bool)
-_PARTS[SPACE, :4] = True
-for _a, _b in CUTS:
-    _PARTS[_a, _b] = True
-_PARTS = _PARTS.ravel()
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_PLAIN = re.compile("[a-z]+")
+
+def _kind(byte: int) -> int:
+    text = bytes([byte])
+    return HIGH if byte > 127 else SPACE if text in SPACES else QUOTE if text == b"'" else CAPITAL if text.isupper() else LETTER if text.islower() else SIGN
+
+
+#: Translations of bytes: to kinds, and of two kinds (eight times the first and the second) to whether a piece begins at the second.
+_KINDS = bytes(map(_kind, range(256)))
+_BEGINS = bytes((x >> 3, x & 7) in CUTS or x >> 3 == SPACE != x & 7 for x in range(256))
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 #: Pieces of text whose ids a worker keeps; then it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 
 
 class Encoder:
@@ -95,8 +92,7 @@ class Encoder:
     def _learn(self, pieces: list[bytes]) -> None:
         plain, latin, other = [], [], []
         for piece in pieces:
-            text = piece.decode()
-            (plain if _PLAIN.fullmatch(text) else latin if _LATIN.fullmatch(text) else other).append(piece)
+            (plain if piece.isalpha() and piece.islower() else latin if _LATIN.fullmatch(piece.decode()) else other).append(piece)
         for some, tokenizer in ((plain, self.bare), (latin, self.full)):  # each is one word: its last token says so
             if some:
                 flat = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
@@ -111,7 +107,7 @@ class Encoder:
     def encode(self, column):
         """For each range of rows of a string column: the ids of its texts end to end, and how many each text has."""
         data, offsets = words.utf8(column)
-        for low, high in words.pieces(offsets, 1 << 20):
+        for low, high in words.pieces(offsets, 1 << 22):
             part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             if self.by_pieces:
                 yield self._by_pieces(part, at)
@@ -124,22 +120,22 @@ class Encoder:
         n, rows = len(data), len(offsets) - 1
         if not n:
             return np.full(rows, self.end_id, self.width), np.ones(rows, np.int64)
-        kind = _KIND[data]
+        kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
         begin = np.zeros(n, bool)
-        begin[offsets[:-1][offsets[:-1] < n]] = True
-        begin[1:] |= _PARTS[kind[:-1] * np.uint8(5) + kind[1:]]
+        begin[1:] = np.frombuffer(((kind[:-1] << np.uint8(3)) | kind[1:]).tobytes().translate(_BEGINS), bool)
         solid = kind != SPACE
-        begin &= solid
-        lower = _UPPER[data]
-        lower[:-1] &= data[1:] < 128  # a mark after a letter may go with the capital alone
-        edge = np.zeros(n, bool)
-        edge[offsets[1:-1][offsets[1:-1] > 0] - 1] = True  # what follows a text's last byte is another text
-        edge[-1] = True
-        lower |= edge & _UPPER[data]
-        plain = data | (lower.view(np.uint8) << np.uint8(5))
-        kept = plain[solid]
-        first = np.flatnonzero(begin[solid])
-        bounds = np.append(first, len(kept)).astype(np.int64)
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        begin[heads] = solid[heads]
+        lower = kind == CAPITAL
+        safe = np.ones(n, bool)
+        np.less(data[1:], 128, out=safe[:-1])  # a mark after a letter may go with the capital alone
+        safe[heads[1:] - 1] = True  # what follows a text's last byte is another text
+        lower &= safe
+        kept = (data | (lower.view(np.uint8) << np.uint8(5))).tobytes().translate(None, SPACES)
+        first = np.flatnonzero(begin)
+        if not len(first):
+            return np.full(rows, self.end_id, self.width), np.ones(rows, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(solid, first, dtype=np.int64))])
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
         pieces = found.dictionary.to_pylist()
         if self.count + len(pieces) > KEPT_PIECES:
@@ -148,7 +144,7 @@ class Encoder:
         if new:
             self._learn(new)
         slot = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))[found.indices.to_numpy()]
-        of_row = np.searchsorted(np.flatnonzero(begin), offsets)
+        of_row = np.searchsorted(first, offsets)
         slot = np.insert(slot, of_row[1:], 0)  # slot 0 is the end
         sizes = self.sizes[slot].astype(np.int64)
         total = np.cumsum(sizes)
@@ -308,7 +304,7 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, weight
     sources = parts.groupBy("source").agg(F.sum("tokens").alias("all"))
     total = sources.agg(F.sum("all")).first()[0] or 0
     if weights is None:
-        own = {r.source: r.all for r in sources.where(F.col("all") * length >= least * F.lit(total)).collect()}
+        own = {r.source: r.all for r in sources.where(F.col("all") >= F.lit(-(-least * total // length)).cast("long")).collect()}
         shares = None
     else:
         named = [s for s, w in weights.items() if w * length >= least]
