@@ -199,39 +199,76 @@ def greedy_match(pairs: DataFrame, by: str = "pair_id", score: str = "similarity
     return reduce(DataFrame.unionByName, taken) if taken else pairs.limit(0)
 
 
+#: Steps of a walk between two stored tables.
+STEPS = 4
+
+
+def _stretches(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, key, head, offset) of every node: the unbranched stretch of links in which it lies; and the links between stretches.
+
+    A link that is the only one from its source and the only one to its target stays within a
+    stretch.  Each node points at the one before it in its stretch; pointers double until they reach the head, so the
+    rounds are the logarithm of the longest stretch.
+    """
+    only = lambda end: links.groupBy("query_id", end).agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    marked = snapshot(links.join(only("source").withColumn("one", F.lit(True)), ["query_id", "source"], "left").join(only("target").withColumn("other", F.lit(True)), ["query_id", "target"], "left").withColumn("inner", F.coalesce(F.col("one") & F.col("other"), F.lit(False))).drop("one", "other"))
+    up = snapshot(marked.where("inner").select("query_id", F.col("target").alias("key"), F.col("source").alias("head"), F.lit(1).cast("long").alias("offset")))
+    for _ in range(40):
+        above = up.select("query_id", F.col("key").alias("head"), F.col("head").alias("top"), F.col("offset").alias("more"))
+        moved = snapshot(up.join(above, ["query_id", "head"], "left"))
+        if moved.where("top is not null").isEmpty():
+            break
+        up = moved.select("query_id", "key", F.coalesce("top", "head").alias("head"), (F.col("offset") + F.coalesce("more", F.lit(0).cast("long"))).alias("offset"))
+    else:
+        raise ValueError("links go in a circle")
+    placed = nodes.select("query_id", "key").join(up, ["query_id", "key"], "left").select("query_id", "key", F.coalesce("head", "key").alias("head"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+    return placed, marked
+
+
 def tracks(hits: DataFrame, links: DataFrame, max_tracks: int = 50) -> DataFrame:
     """(query_id, track, items, relevance): paths of ``links`` through the ``hits`` of each query, most relevant first.
 
     ``hits`` are (query_id, key, place, version_label, file_path, relevance), ``links`` (query_id,
-    source, target, target_version, target_chunk, similarity, change).  Paths start at hits without
+    source, target, target_version, target_chunk, similarity, change); links must not go in a circle.  Paths start at hits without
     a link to them, in order of place, and branch by (similarity descending, version, chunk);
     the first ``max_tracks`` in depth-first order stay, and are then sorted by their best relevance.
+
+    Unbranched stretches are found first.  From stretch to stretch, every beginning of a path leads to one end at
+    least; so the first ``max_tracks`` ends lie below the first ``max_tracks`` beginnings of any
+    length, and no table holds more walks of a query than that, however many paths there are.
+    Rounds are as many as a path has branches or merges.
     """
-    starts = hits.join(links.select("query_id", F.col("target").alias("key")), ["query_id", "key"], "left_anti")
-    step = F.struct((-F.col("similarity")).alias("less"), F.col("target_version").alias("version"), F.col("target_chunk").alias("chunk"))
-    kinds = "array<struct<less:double,version:string,chunk:string>>"
-    first = F.struct(F.col("key"), F.lit("first_observed").alias("change"), F.lit(None).cast("double").alias("similarity"))
-    walks = snapshot(starts.select("query_id", "place", F.col("key").alias("at"), F.array().cast(kinds).alias("order"), F.array(first).alias("items")))
-    done = []
-    moves = links.select("query_id", F.col("source").alias("at"), step.alias("step"), F.struct(F.col("target").alias("key"), "change", "similarity").alias("item"))
-    while not walks.isEmpty():
-        done.append(walks.join(moves.select("query_id", "at").distinct(), ["query_id", "at"], "left_anti"))
-        walks = walks.join(moves, ["query_id", "at"]).where(~F.exists("items", lambda i: i["key"] == F.col("item.key")))
-        walks = snapshot(walks.select("query_id", "place", F.col("item.key").alias("at"), F.concat("order", F.array("step")).alias("order"), F.concat("items", F.array("item")).alias("items")))
-    if not done:
-        return hits.limit(0).select("query_id", F.lit(0).alias("track"), F.array(first).alias("items"), "relevance")
-    in_order = Window.partitionBy("query_id").orderBy("place", "order")
-    found = reduce(DataFrame.unionByName, done).withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= max_tracks)
-    known = hits.select("query_id", F.col("key").alias("k"), "version_label", "file_path", "relevance")
-    best = found.select("query_id", "nth", "items", F.posexplode("items").alias("i", "item")).withColumn("k", F.col("item.key")).join(known, ["query_id", "k"])
-    rated = best.groupBy("query_id", "nth", "items").agg(F.max("relevance").alias("relevance"), F.min_by(F.struct("version_label", "file_path"), "i").alias("head"))
-    by_relevance = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "head", "nth")
-    return rated.select("query_id", F.row_number().over(by_relevance).alias("track"), "items", "relevance")
+    not_negative(max_tracks=max_tracks)
+    stretch, marked = _stretches(hits, links)
+    stretch = snapshot(stretch)
+    step = F.struct((-F.col("similarity")).alias("less"), F.col("target_version").alias("version"), F.col("target_chunk").alias("chunk"), F.col("target").alias("head"))
+    tail = stretch.select("query_id", F.col("key").alias("source"), F.col("head").alias("at"))
+    moves = snapshot(marked.where("not inner").join(tail, ["query_id", "source"]).select("query_id", "at", step.alias("step"), F.struct(F.col("target").alias("head"), "change", "similarity").alias("item")))
+    first = F.struct(F.col("key").alias("head"), F.lit("first_observed").alias("change"), F.lit(None).cast("double").alias("similarity"))
+    by_place, by_branch = Window.partitionBy("query_id").orderBy("place", "key"), Window.partitionBy("query_id").orderBy("slot", "step")
+    starts = hits.join(links.select("query_id", F.col("target").alias("key")).distinct(), ["query_id", "key"], "left_anti")
+    walks = starts.withColumn("slot", F.row_number().over(by_place)).where(F.col("slot") <= max_tracks).select("query_id", "slot", F.col("key").alias("at"), F.array(first).alias("trail"))
+    ways = moves.select("query_id", "at", "step", "item")
+    while True:
+        for _ in range(STEPS):
+            walks = walks.join(ways, ["query_id", "at"], "left").withColumn("slot", F.row_number().over(by_branch)).where(F.col("slot") <= max_tracks)
+            walks = walks.select("query_id", "slot", F.coalesce("item.head", "at").alias("at"), F.when(F.col("item").isNull(), F.col("trail")).otherwise(F.concat("trail", F.array("item"))).alias("trail"))
+        walks = snapshot(walks)
+        if walks.join(ways.select("query_id", "at").distinct(), ["query_id", "at"], "left_semi").isEmpty():
+            break
+    known = hits.select("query_id", "key", "version_label", "file_path", "relevance")
+    inner = marked.where("inner").select("query_id", F.col("target").alias("key"), F.col("change").alias("inner_change"), F.col("similarity").alias("inner_similarity"))
+    along = walks.select("query_id", "slot", F.posexplode("trail").alias("i", "item")).select("query_id", "slot", "i", "item.*").join(stretch, ["query_id", "head"]).join(known, ["query_id", "key"]).join(inner, ["query_id", "key"], "left")
+    whole = along.select("query_id", "slot", F.struct("i", "offset").alias("nth"), F.struct("key", F.coalesce("inner_change", "change").alias("change"), F.coalesce("inner_similarity", "similarity").alias("similarity")).alias("item"), "version_label", "file_path", "relevance")
+    rated = whole.groupBy("query_id", "slot").agg(F.array_sort(F.collect_list(F.struct("nth", "item"))).alias("lined"), F.max("relevance").alias("relevance"), F.min_by(F.struct("version_label", "file_path"), "nth").alias("head"))
+    by_relevance = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "head", "slot")
+    return rated.select("query_id", F.row_number().over(by_relevance).alias("track"), F.transform("lined", lambda x: x["item"]).alias("items"), "relevance")
 
 
 def evolution(chunks: DataFrame, versions: DataFrame, queries: DataFrame, per_version_top_k: int = 10, candidate_pool_size: int = 50, min_similarity: float = 0.45, max_tracks: int = 50, weights: MatchWeights = EVOLUTION_WEIGHTS, vectors: DataFrame | None = None) -> DataFrame:
     """Tracks of what each query finds in each version, through parents and children that are both indexed.
 
+    In a catalog whose parents go in a circle, links that do not lead to a later layer are left out.
     With ``vectors`` (version_id, chunk_id, vector), and a vector for each query, versions are searched by both channels.
     """
     ordered = topological_order(versions)
@@ -240,7 +277,7 @@ def evolution(chunks: DataFrame, versions: DataFrame, queries: DataFrame, per_ve
     each = Window.partitionBy("query_id", "version_id").orderBy("rank")
     hits = snapshot(found.withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= per_version_top_k).join(ordered.select("version_id", "layer", "position"), "version_id"))
     known = snapshot(signed(chunks.join(hits.select("version_id", "chunk_id").distinct(), ["version_id", "chunk_id"], "left_semi")))
-    kin = versions.select(F.col("version_id").alias("child"), F.explode("parents").alias("parent")).join(versions.select(F.col("version_id").alias("parent")), "parent")
+    kin = ordered.select(F.col("version_id").alias("child"), F.col("layer").alias("later"), F.explode("parents").alias("parent")).join(ordered.select(F.col("version_id").alias("parent"), "layer"), "parent").where("layer < later").drop("layer", "later")
     mine = hits.select("query_id", "version_id", "chunk_id").join(known, ["version_id", "chunk_id"])
     side = lambda c: mine.join(kin.select("parent", "child", F.col(c).alias("version_id")), "version_id").withColumn("pair_id", F.struct("query_id", "parent", "child"))
     matches = greedy_match(compare(side("parent"), side("child"), versions, weights, 3, min_similarity, candidate_pool_size, vectors if weights.semantic else None))

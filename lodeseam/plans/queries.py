@@ -390,6 +390,19 @@ def evolution_tracks(spark, d):
     return out.select("query_id", "track", F.round("relevance", 6).alias("relevance"), F.transform("items", lambda i: F.concat_ws(" ", i["key"], i["change"])).alias("items"))
 
 
+def branching_tracks(spark, d):
+    """The first 50 tracks of each brand: a part leads to the next by size, every ninth to the one after it as well."""
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").cast("string").alias("key"), "p_partkey", "p_size", F.round("p_retailprice", 2).alias("relevance"))
+    order = Window.partitionBy("query_id").orderBy("p_size", "p_partkey")
+    hits = snapshot(rows.withColumns({"nth": F.row_number().over(order), "one": F.lead("p_partkey").over(order), "two": F.lead("p_partkey", 2).over(order)}))
+    ways = F.array_compact(F.array(F.col("one"), F.when(F.col("p_partkey") % 9 == 0, F.col("two"))))
+    links = hits.where("nth % 40 <> 0").select("query_id", F.col("key").alias("source"), F.explode(ways).alias("target"))
+    likeness = F.round(F.col("target") % 7 / 7, 6)
+    links = links.select("query_id", "source", F.col("target").cast("string").alias("target"), F.lit("v").alias("target_version"), F.col("target").cast("string").alias("target_chunk"), likeness.alias("similarity"), F.lit("likely_modified").alias("change"))
+    out = versions.tracks(hits.select("query_id", "key", F.col("nth").alias("place"), F.lit("v").alias("version_label"), F.lit("p").alias("file_path"), "relevance"), links)
+    return out.select("query_id", "track", F.round("relevance", 2).cast("double").alias("relevance"), F.size("items").cast("long").alias("n_items"), F.md5(F.array_join(F.transform("items", lambda i: i["key"]), " ")).alias("items_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -397,6 +410,6 @@ QUERIES = {
         vector_normalize, semantic_topk, minmax_normalize, dedupe_by_id, hybrid_fusion, hybrid_topk, rerank_features, rerank_topk, evaluate_ndcg_mrr, symbol_resolution, graph_nodes, graph_contains,
         graph_calls, graph_references, graph_imports, graph_inherits, graph_summary, graph_neighbors, graph_expand, multi_pass, version_list, version_select, version_search,
         version_search_hybrid, version_compare, greedy_match, token_jaccard, symbol_similarity, counter_jaccard, structure_similarity, change_label, git_similarity, path_similarity,
-        topological_order, evolution_tracks,
+        topological_order, evolution_tracks, branching_tracks,
     )
 }

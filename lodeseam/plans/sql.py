@@ -323,4 +323,17 @@ WITH RECURSIVE v AS (SELECT DISTINCT conv_id, turn FROM conversations), o AS (
   SELECT conv_id, turn, 0 AS layer FROM v WHERE NOT EXISTS (SELECT 1 FROM v p WHERE p.conv_id = v.conv_id AND p.turn = v.turn - 1)
   UNION ALL SELECT v.conv_id, v.turn, layer + 1 FROM o JOIN v ON v.conv_id = o.conv_id AND v.turn = o.turn + 1)
 SELECT conv_id, turn, layer FROM o""",
+    "branching_tracks": """
+WITH RECURSIVE hits AS (
+  SELECT p_brand AS query_id, p_partkey AS key, round(p_retailprice, 2) AS relevance, row_number() OVER w AS nth, lead(p_partkey) OVER w AS one, CASE WHEN p_partkey % 9 = 0 THEN lead(p_partkey, 2) OVER w END AS two
+  FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)),
+links AS (SELECT query_id, key AS source, target, round(target % 7 / 7, 6) AS similarity FROM (SELECT query_id, key, nth, unnest([one, two]) AS target FROM hits) WHERE target IS NOT NULL AND nth % 40 <> 0),
+steps AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY similarity DESC, CAST(target AS VARCHAR)) AS branch FROM links),
+walks AS (
+  SELECT query_id, key AS at, [nth] AS route, [CAST(key AS VARCHAR)] AS items, relevance FROM hits WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.query_id = hits.query_id AND l.target = hits.key)
+  UNION ALL
+  SELECT w.query_id, s.target, list_append(w.route, s.branch), list_append(w.items, CAST(s.target AS VARCHAR)), greatest(w.relevance, h.relevance)
+  FROM walks w JOIN steps s ON s.query_id = w.query_id AND s.source = w.at JOIN hits h ON h.query_id = w.query_id AND h.key = s.target),
+ended AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY route) AS slot FROM walks w WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.query_id = w.query_id AND s.source = w.at) QUALIFY slot <= 50)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, slot) AS INTEGER) AS track, CAST(relevance AS DOUBLE) AS relevance, len(items) AS n_items, md5(array_to_string(items, ' ')) AS items_md5 FROM ended""",
 }
