@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.schema import not_negative
-from lodeseam.sources.steps import snapshot
+from lodeseam.sources.steps import snapshot, spread
 
 
 def ranked(results: DataFrame, k: int, score: str = "score", by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -24,7 +24,10 @@ def ranked(results: DataFrame, k: int, score: str = "score", by: str = "query_id
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (chunk_id, term, tf), doc_stats (chunk_id, dl, file_path, start_line), term_stats (term, df), corpus_stats (n, avgdl)."""
+    """postings (chunk_id, term, tf, dl), doc_stats (chunk_id, dl, file_path, start_line), term_stats (term, df, most), corpus_stats (n, avgdl).
+
+    ``most`` is the largest impact of a term: what its weight is multiplied by in the chunk where that is highest.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -38,16 +41,32 @@ class LexicalIndex:
             raise ValueError("k1 must be positive and b from 0 to 1")
 
 
+def impact(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    length = 1 - b + b * dl / F.when(avgdl > 0, avgdl).otherwise(1.0)
+    return tf * (k1 + 1) / (tf + k1 * length)
+
+
+def from_postings(postings: DataFrame, doc_stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> LexicalIndex:
+    """The index of stored postings (chunk_id, term, tf, dl)."""
+    corpus_stats = doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    avgdl = corpus_stats.select("avgdl").scalar()
+    term_stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.max(impact(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias("most"))
+    return LexicalIndex(postings, doc_stats, term_stats, corpus_stats, k1, b)
+
+
+def count_terms(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl) of chunks."""
+    words = spread(chunks).select("chunk_id", tokenize(searchable_text()).alias("tokens")).select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
 def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> LexicalIndex:
     """The index of ``chunks``.  Texts are tokenized once: postings are stored, and all other tables come from them."""
-    words = chunks.select("chunk_id", F.explode(tokenize(searchable_text())).alias("term"))
-    postings = snapshot(words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")))
-    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("sum"))
+    postings = snapshot(count_terms(chunks))
+    lengths = postings.groupBy("chunk_id").agg(F.first("dl").alias("known"))
     places = chunks.select("chunk_id", "file_path", "start_line").join(lengths, "chunk_id", "left")
-    doc_stats = places.select("chunk_id", F.coalesce("sum", F.lit(0)).cast("int").alias("dl"), "file_path", "start_line")
-    term_stats = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus_stats = doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return LexicalIndex(postings, doc_stats, term_stats, corpus_stats, k1, b)
+    doc_stats = places.select("chunk_id", F.coalesce("known", F.lit(0)).cast("int").alias("dl"), "file_path", "start_line")
+    return from_postings(postings, doc_stats, k1, b)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -59,16 +78,65 @@ def term_weight(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10) -> DataFrame:
+#: How many postings of a query's rarest terms are scored to find out what it takes to be among its best, for each result asked for.
+PROBE = 200
+#: The terms that are not looked up by themselves add this part of what is needed at most: fewer chunks then stay to be completed.
+IDLE = 0.3
+#: Up to so many postings of a batch's terms are scored in one job: more jobs would take longer than they spare.
+DIRECT = 20_000_000
+#: Sums in different order differ by less.
+SLACK = 1e-6
+
+
+def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, report=None) -> DataFrame:
     """(query_id, rank, chunk_id, file_path, start_line, score): only chunks that share a term, so scores are positive.
 
-    The query's terms reach the postings as an equi-join, df and dl are joined to what is
-    left of them, and the corpus totals are scalar subqueries.
+    No chunk that could be among the best is left out (MaxScore).  1: the postings of a query's rarest
+    terms name some chunks; the scores of the best of these, completed, give a threshold that the
+    query's results reach at least.  2: the terms that together can't reach it are not looked up by themselves; the
+    others' postings are scored, and a chunk stays if these terms and the most that the rest could add reach the threshold.
+    3: what stays is completed by the rest.  So the long postings of common terms meet few chunks.
+    A batch whose terms have ``DIRECT`` postings at most is scored at once, to the same result.
+    ``report`` is called with the name of each step and its rows, which are counted for it.
     """
+    not_negative(top_k=top_k)
+    if not top_k:
+        return _described(index, queries.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score")).limit(0), 0)
     n, avgdl = (index.corpus_stats.select(c).scalar() for c in ("n", "avgdl"))
-    terms = query_terms(queries).join(index.term_stats, "term")
-    found = terms.join(index.postings, "term").join(index.doc_stats, "chunk_id")
-    length = 1 - index.b + index.b * F.col("dl") / F.when(avgdl > 0, avgdl).otherwise(1.0)
-    part = F.col("qtf") * term_weight(n, F.col("df")) * (F.col("tf") * (index.k1 + 1)) / (F.col("tf") + index.k1 * length)
-    scored = found.groupBy("query_id", "chunk_id", "file_path", "start_line").agg(F.sum(part).alias("score"))
-    return ranked(scored, top_k).select("query_id", "rank", "chunk_id", "file_path", "start_line", "score")
+    weight = F.col("qtf") * term_weight(n, F.col("df"))
+    rare, weak = (lambda w: w.rowsBetween(Window.unboundedPreceding, 0))(Window.partitionBy("query_id").orderBy("df", "term")), Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    terms = query_terms(queries).join(index.term_stats, "term").withColumn("weight", weight).withColumn("bound", F.col("weight") * F.col("most"))
+    terms = snapshot(terms)
+    if (terms.agg(F.sum("df")).first()[0] or 0) <= DIRECT:
+        found = terms.select("query_id", "term", "weight").join(index.postings, "term")
+        return _described(index, found.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * impact(F.col("tf"), F.col("dl"), avgdl, index.k1, index.b)).alias("score")), top_k)
+    terms = snapshot(terms.withColumns({"seen": F.sum("df").over(rare), "nth": F.row_number().over(rare), "below": F.sum("bound").over(weak)}))
+    of_batch = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    part = F.col("weight") * impact(F.col("tf"), F.col("dl"), avgdl, index.k1, index.b)
+    count = lambda name, df: report and report(name, df.count())
+
+    def scored(some: DataFrame, *more: str) -> DataFrame:
+        found = some.select("query_id", "term", "weight", *more).join(of_batch, "term")
+        count("postings scored", found)
+        return found.groupBy("query_id", "chunk_id", *more).agg(F.sum(part).alias("score"))
+
+    def completed(some: DataFrame, by: DataFrame) -> DataFrame:
+        """``some`` (query_id, chunk_id, score) with what the terms ``by`` add."""
+        asked = some.select("query_id", "chunk_id").join(by.select("query_id", "term", "weight"), "query_id")
+        found = asked.join(of_batch, ["chunk_id", "term"])
+        count("postings looked up", found)
+        added = found.select("query_id", "chunk_id", part.alias("score"))
+        return some.select("query_id", "chunk_id", "score").unionByName(added).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    probed = scored(terms.where(f"nth = 1 or seen <= {PROBE * top_k}")).withColumn("place", nth).where(F.col("place") <= 2 * top_k).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    sure = completed(snapshot(probed), terms).withColumn("place", nth).where(F.col("place") == top_k).select("query_id", F.col("score").alias("needed"))
+    terms = snapshot(terms.join(sure, "query_id", "left").withColumn("needed", F.coalesce("needed", F.lit(0.0)) - SLACK).withColumn("idle", F.col("below") < IDLE * F.col("needed")))
+    rest = terms.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("idle"), F.col("bound"))), F.lit(0.0)).alias("could_add"), F.first("needed").alias("needed"))
+    stays = snapshot(scored(terms.where("not idle")).join(rest, "query_id").where("score + could_add >= needed").select("query_id", "chunk_id", "score"))
+    count("chunks that stay", stays)
+    return _described(index, completed(stays, terms.where("idle")), top_k)
+
+
+def _described(index: LexicalIndex, scored: DataFrame, top_k: int) -> DataFrame:
+    return ranked(scored.join(index.doc_stats, "chunk_id"), top_k).select("query_id", "rank", "chunk_id", "file_path", "start_line", "score")

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.schema import not_negative
-from lodeseam.sources.steps import snapshot
+from lodeseam.sources.steps import snapshot, spread
 
 #: Queries, and vectors, that lie in one row and are multiplied at a time.
 BLOCK = 1_000
@@ -158,4 +158,4 @@ def embed(texts: DataFrame, id_col: str, text: Column, dimension: int = 256) ->
 
 def build(chunks: DataFrame, embedder=embed) -> DataFrame:
     """(chunk_id, vector) of every chunk's searchable text."""
-    return embedder(chunks, "chunk_id", searchable_text())
+    return embedder(spread(chunks), "chunk_id", searchable_text())

@@ -15,7 +15,7 @@ from lodeseam.operators.lexical import query_terms, term_weight
 from lodeseam.operators.semantic import dot, norm
 from lodeseam.operators.semantic import search as search_vectors
 from lodeseam.schema import not_negative
-from lodeseam.sources.steps import snapshot
+from lodeseam.sources.steps import snapshot, spread
 from lodeseam.sources.tree import signature
 
 
@@ -80,7 +80,7 @@ _PLACE = ["version_id", "version_label", "chunk_id", "file_path", "start_line"]
 
 def _lexical(chunks: DataFrame, queries: DataFrame, k1: float, b: float) -> DataFrame:
     """All BM25 scores above zero: (query_id, version_id, version_label, chunk_id, file_path, start_line, score)."""
-    words = chunks.select("version_id", "chunk_id", F.explode(tokenize(searchable_text())).alias("term"))
+    words = spread(chunks).select("version_id", "chunk_id", F.explode(tokenize(searchable_text())).alias("term"))
     postings = snapshot(words.groupBy("version_id", "chunk_id", "term").agg(F.count("*").alias("tf")))
     docs = chunks.select(*_PLACE).join(postings.groupBy("version_id", "chunk_id").agg(F.sum("tf").alias("dl")), ["version_id", "chunk_id"])
     dfs = postings.groupBy("version_id", "term").agg(F.count("*").alias("df"))

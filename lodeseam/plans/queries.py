@@ -9,7 +9,7 @@ from lodeseam.functions import similarity, text
 from lodeseam.operators import evaluate, fusion, graph, lexical, multipass, rerank, semantic, versions
 from lodeseam.schema import LANGUAGES
 from lodeseam.sources import tree
-from lodeseam.sources.steps import snapshot
+from lodeseam.sources.steps import snapshot, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +109,7 @@ def searchable_text(spark, d):
 
 
 def tokenize(spark, d):
-    rows = chunks(spark, d).select("chunk_id", text.tokenize(F.col("code")).alias("t"))
+    rows = spread(chunks(spark, d)).select("chunk_id", text.tokenize(F.col("code")).alias("t"))
     return rows.select("chunk_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -132,7 +132,7 @@ def doc_stats(spark, d):
 
 
 def term_stats(spark, d):
-    return lexical.build(chunks(spark, d)).term_stats
+    return lexical.build(chunks(spark, d)).term_stats.select("term", "df")
 
 
 def corpus_stats(spark, d):
@@ -140,7 +140,7 @@ def corpus_stats(spark, d):
 
 
 def postings(spark, d):
-    return lexical.build(chunks(spark, d)).postings
+    return lexical.build(chunks(spark, d)).postings.select("chunk_id", "term", "tf")
 
 
 def bm25_batch(spark, d):

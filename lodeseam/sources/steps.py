@@ -21,3 +21,9 @@ def snapshot(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/lodeseam-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the cluster has cores, if it is read in fewer: a small file may be a single split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() > cores else df.repartition(cores)

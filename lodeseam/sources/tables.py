@@ -55,7 +55,7 @@ def save_lexical(index: LexicalIndex, path: str) -> None:
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    meta = index.corpus_stats.withColumns({"k1": F.lit(index.k1), "b": F.lit(index.b), "format_version": F.lit(1)})
+    meta = index.corpus_stats.withColumns({"k1": F.lit(index.k1), "b": F.lit(index.b), "format_version": F.lit(2)})
     meta.write.mode("overwrite").parquet(f"{path}/corpus_stats")
 
 
@@ -63,8 +63,8 @@ def load_lexical(spark: SparkSession, path: str) -> LexicalIndex:
     """The stored index; an unknown format, bad parameters or a wrong count of documents raise ValueError."""
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus_stats")}
     meta = tables["corpus_stats"].first()
-    if meta.format_version != 1 or tables["doc_stats"].count() != meta.n:
-        raise ValueError("not a lexical index of format 1, or incomplete")
+    if meta.format_version != 2 or tables["doc_stats"].count() != meta.n:
+        raise ValueError("not a lexical index of format 2, or incomplete")
     return LexicalIndex(tables["postings"], tables["doc_stats"], tables["term_stats"], tables["corpus_stats"].select("n", "avgdl"), meta.k1, meta.b)
 
 

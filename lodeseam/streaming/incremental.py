@@ -24,7 +24,7 @@ def index_stream(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
     def write(batch: DataFrame, number: int) -> None:
         tokens = batch.select("chunk_id", "file_path", "start_line", tokenize(searchable_text()).alias("tokens"))
-        postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+        postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
         tokens.select("chunk_id", F.size("tokens").alias("dl"), "file_path", "start_line").write.mode("overwrite").parquet(f"{path}/doc_stats/batch={number}")
 
@@ -33,8 +33,6 @@ def index_stream(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 def load(spark: SparkSession, path: str):
     """The index of all batches so far."""
-    from lodeseam.operators.lexical import LexicalIndex
+    from lodeseam.operators.lexical import from_postings
 
-    postings, docs = (spark.read.parquet(f"{path}/{n}").drop("batch") for n in ("postings", "doc_stats"))
-    totals = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return LexicalIndex(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), totals)
+    return from_postings(*(spark.read.parquet(f"{path}/{n}").drop("batch") for n in ("postings", "doc_stats")))
