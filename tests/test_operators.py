@@ -95,7 +95,7 @@ def test_semantic_search_in_blocks(spark):
         for row in sorted(found.collect(), key=lambda row: row["rank"]):
             got.setdefault(row.query_id, []).append(row.chunk_id)
         assert got == want
-        assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+        assert ("CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()) == (block == 1000)  # few blocks are all visited
     assert semantic.search(vectors, queries, 0).collect() == semantic.search(vectors, queries.limit(0)).collect() == semantic.search(vectors.limit(0), queries).collect() == []
 
 
