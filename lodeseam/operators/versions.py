@@ -51,18 +51,36 @@ def select(versions: DataFrame, selector: str | None) -> DataFrame:
 
 
 def topological_order(versions: DataFrame) -> DataFrame:
-    """``versions`` (version_id, parents, position) with ``layer``: after all parents that are there; those in a cycle come last."""
-    edges = versions.select("version_id", F.explode("parents").alias("parent")).join(versions.select(F.col("version_id").alias("parent")), "parent")
-    left, layers, layer = snapshot(versions.select("version_id")), [], 0
+    """``versions`` (version_id, parents, position) with ``layer``: after all parents that are there; those in a cycle come last.
+
+    Unbranched stretches of history are found by doubling pointers; layers are then counted from stretch to
+    stretch, so the rounds are as many as a line of descent has branches and merges, however long it is.
+    """
+    parents = versions.select("version_id", F.explode("parents").alias("parent")).distinct()
+    links = parents.join(versions.select(F.col("version_id").alias("parent")), "parent").select(F.lit(0).alias("query_id"), F.col("parent").alias("source"), F.col("version_id").alias("target"))
+    placed, marked = _stretches(versions.select(F.lit(0).alias("query_id"), F.col("version_id").alias("key")), links, circles=True)
+    placed = snapshot(placed.drop("query_id"))
+    end = placed.select(F.col("key").alias("source"), F.col("head").alias("above"), (F.col("offset") + 1).alias("gap"))
+    steps = snapshot(marked.where("not inner").select("source", F.col("target").alias("head")).join(end, "source").select("head", "above", "gap"))
+    left = snapshot(placed.where("head is not null").select("head").distinct())
+    last = placed.groupBy("head").agg(F.max("offset").alias("last"))
+    done = None
     while not left.isEmpty():
-        waiting = edges.join(left.withColumnRenamed("version_id", "parent"), "parent", "left_semi").select("version_id").distinct()
-        ready = left.join(waiting, "version_id", "left_anti")
+        if done is None:
+            ready = left.join(steps, "head", "left_anti").withColumn("layer", F.lit(0).cast("long"))
+        else:
+            known = left.join(steps, "head").join(done.select(F.col("head").alias("above"), "layer"), "above", "left")
+            ready = known.groupBy("head").agg(F.max(F.col("layer") + F.col("gap")).alias("layer"), F.bool_and(F.col("layer").isNotNull()).alias("all")).where("all").drop("all")
+        ready = snapshot(ready)
         if ready.isEmpty():
-            ready = left
-        layers.append(snapshot(ready.withColumn("layer", F.lit(layer))))
-        left, layer = snapshot(left.join(layers[-1], "version_id", "left_anti")), layer + 1
-    placed = reduce(DataFrame.unionByName, layers) if layers else versions.select("version_id", F.lit(0).alias("layer"))
-    return versions.join(placed, "version_id")
+            break
+        done = ready if done is None else snapshot(done.unionByName(ready))
+        left = snapshot(left.join(ready, "head", "left_anti"))
+    if done is None:
+        done = left.withColumn("layer", F.lit(0).cast("long")).limit(0)
+    beyond = done.join(last, "head").agg(F.coalesce(F.max(F.col("layer") + F.col("last")) + 1, F.lit(0)).alias("beyond")).select("beyond").scalar()
+    layers = placed.join(done, "head", "left").select(F.col("key").alias("version_id"), F.coalesce(F.col("layer") + F.col("offset"), beyond).cast("int").alias("layer"))
+    return versions.join(layers, "version_id")
 
 
 def search(chunks: DataFrame, queries: DataFrame, candidate_k: int = 50, top_k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -149,13 +167,15 @@ def compare(sources: DataFrame, targets: DataFrame, versions: DataFrame, weights
     dealt = side(sources, "s").join(deals, "pair_id").withColumn("deal", F.pmod(F.xxhash64("s_chunk_id"), "deals")).drop("deals")
     each_deal = side(targets, "t").join(deals, "pair_id").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
     pairs = dealt.join(each_deal, ["pair_id", "deal"]).drop("deal").join(about("s"), "s_version_id").join(about("t"), "t_version_id")
+    files = lambda df, p: df.select("pair_id", F.col("file_path").alias(f"{p}_file_path")).distinct()
+    likeness = snapshot(files(sources, "s").join(files(targets, "t"), "pair_id").select("s_file_path", "t_file_path").distinct().select("s_file_path", "t_file_path", path_similarity("s_file_path", "t_file_path").alias("file_path")))
+    pairs = pairs.join(likeness, ["s_file_path", "t_file_path"])
     down = F.array_contains("t_parents", F.col("s_version_id"))
     up = F.array_contains("s_parents", F.col("t_version_id"))
     renamed = (down & (F.element_at("t_renames", F.col("s_file_path")) == F.col("t_file_path"))) | (up & (F.element_at("s_renames", F.col("t_file_path")) == F.col("s_file_path")))
     shape = counter_jaccard(F.col("s_shape"), F.col("t_shape"))
     parts = pairs.withColumns(
         {
-            "file_path": path_similarity("s_file_path", "t_file_path"),
             "symbol": jaccard(F.col("s_symbol_tokens"), F.col("t_symbol_tokens")),
             "structure": structure(F.col("s_symbol_type"), F.col("t_symbol_type"), shape, F.col("s_arity"), F.col("t_arity"), F.col("s_n_calls"), F.col("t_n_calls")),
             "git": git_likeness(F.col("s_repository_id") == F.col("t_repository_id"), down | up, F.coalesce(renamed, F.lit(False)), F.col("s_file_path") == F.col("t_file_path")),
@@ -203,25 +223,30 @@ def greedy_match(pairs: DataFrame, by: str = "pair_id", score: str = "similarity
 STEPS = 4
 
 
-def _stretches(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query_id, key, head, offset) of every node: the unbranched stretch of links in which it lies; and the links between stretches.
+def _stretches(nodes: DataFrame, links: DataFrame, circles: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(query_id, key, head, offset) of every node: the unbranched stretch of links in which it lies; and all links, with ``inner`` for those within stretches.
 
     A link that is the only one from its source and the only one to its target stays within a
     stretch.  Each node points at the one before it in its stretch; pointers double until they reach the head, so the
-    rounds are the logarithm of the longest stretch.
+    rounds are the logarithm of the longest stretch.  A stretch that is a circle has no head: its nodes' are null
+    if ``circles``, else ValueError is raised.
     """
     only = lambda end: links.groupBy("query_id", end).agg(F.count("*").alias("n")).where("n = 1").drop("n")
     marked = snapshot(links.join(only("source").withColumn("one", F.lit(True)), ["query_id", "source"], "left").join(only("target").withColumn("other", F.lit(True)), ["query_id", "target"], "left").withColumn("inner", F.coalesce(F.col("one") & F.col("other"), F.lit(False))).drop("one", "other"))
     up = snapshot(marked.where("inner").select("query_id", F.col("target").alias("key"), F.col("source").alias("head"), F.lit(1).cast("long").alias("offset")))
-    for _ in range(40):
+    rest = up.limit(0).select("query_id", "key")
+    for _ in range(up.count().bit_length() + 1):
         above = up.select("query_id", F.col("key").alias("head"), F.col("head").alias("top"), F.col("offset").alias("more"))
         moved = snapshot(up.join(above, ["query_id", "head"], "left"))
-        if moved.where("top is not null").isEmpty():
+        rest = moved.where("top is not null").select("query_id", "key")
+        if rest.isEmpty():
             break
         up = moved.select("query_id", "key", F.coalesce("top", "head").alias("head"), (F.col("offset") + F.coalesce("more", F.lit(0).cast("long"))).alias("offset"))
     else:
-        raise ValueError("links go in a circle")
-    placed = nodes.select("query_id", "key").join(up, ["query_id", "key"], "left").select("query_id", "key", F.coalesce("head", "key").alias("head"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+        if not circles and not rest.isEmpty():
+            raise ValueError("links go in a circle")
+    known = nodes.select("query_id", "key").join(up, ["query_id", "key"], "left").join(rest.withColumn("round", F.lit(True)), ["query_id", "key"], "left")
+    placed = known.select("query_id", "key", F.when(F.col("round").isNull(), F.coalesce("head", "key")).alias("head"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
     return placed, marked
 
 

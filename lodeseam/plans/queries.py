@@ -262,7 +262,7 @@ def multi_pass(spark, d):
     after = F.lead("symbol_name").over(Window.partitionBy(F.substring_index("file_path", "/", 1)).orderBy(F.col("chunk_id").cast("long")))
     rows = snapshot(chunks(spark, d).withColumn("calls", F.array_compact(F.array(after))))
     nodes, edges = snapshot(graph.nodes(rows)), snapshot(graph.merge_edges({"CONTAINS": graph.contains(rows), "CALLS": graph.calls(rows)}))
-    queries = asked(spark, d).select("query_id", F.substring("query", 1, 4000).alias("query"))
+    queries = asked(spark, d).select("query_id", "query")
     found, report = multipass.search(lexical.build(rows), semantic.build(rows, digit_counts), nodes, edges, rows, queries, seed_k=3, max_graph_hops=2, embedder=digit_counts)
     counts = ("pass1", "seeds", "expansions", "added", "pass5")
     return found.join(report, "query_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), *counts)
@@ -282,7 +282,7 @@ def version_select(spark, d):
 def version_search_hybrid(spark, d):
     rows = chunks(spark, d)
     known = vectors(spark, d).join(rows.select("chunk_id", "version_id"), "chunk_id")
-    found = versions.hybrid(rows, known, asked(spark, d).where("vector is not null"), 50, 10)
+    found = versions.hybrid(rows, known, asked(spark, d), 50, 10)
     return found.select("query_id", "version_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("relevance", 6).alias("relevance"))
 
 

@@ -166,7 +166,7 @@ sem{n} AS (SELECT query_id, chunk_id, score FROM near{n} QUALIFY row_number() OV
 {name} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, lower(file_path), start_line, chunk_id) AS rank FROM {name}_rated QUALIFY rank <= {k})"""
 
     return f"""{base},
-asked AS (SELECT item_id AS query_id, left(text, 4000) AS query FROM benchmark),
+asked AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 asking AS (SELECT *, list_distinct({tokens('query')}) AS q FROM asked),
 expecting AS (SELECT *, {_roles()} AS expected, {LANGUAGE} AS asked_language FROM asking),
 described AS (SELECT c.*, list_distinct({tokens(metadata)}) AS m FROM chunks c),
