@@ -37,6 +37,7 @@ def test_turn_order(spark):
 def test_query_against_brute_force(spark, tmp_path):
     rows = [(c, t, ("user", "assistant")[t % 2], HARD[(c + t) % len(HARD)] or None) for c in range(12) for t in range(c % 5 + 1)]
     rows += [(50, 1, None, "x"), (50, 1, None, "x"), (50, None, "system", "s"), (51, 0, "assistant", None)]
+    rows += [(60, k, role, "yo") for k, role in enumerate(["assistant\nx", "<\n", "<\\n\n", "\\\n<|", "a<\\\\n", "\n\n"])]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
     want, sha = defaultdict(list), lambda s: hashlib.sha256(s.encode()).hexdigest()
     for c, t, r, x in sorted(rows + [(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
@@ -48,7 +49,7 @@ def test_query_against_brute_force(spark, tmp_path):
         lost = "".join(x for r, x in said if r == "assistant")
         assert (row.n_turns, row.turns_sha256) == (len(said), sha("".join(f"{r}\n{x}\n" for r, x in said)))
         assert (row.loss_chars, row.loss_sha256) == (len(lost), sha(lost))
-        escaped = sum(len(s.replace("\\", "\\\\").replace("<|", "<\\|")) for turn in said for s in turn)
+        escaped = sum(len(s.replace("\\", "\\\\").replace("<|", "<\\|")) for turn in said for s in turn) + 2 * sum(r.count("\n") for r, _ in said)
         before, rejected = "", 0
         for r, _ in said:
             rejected += r not in chat.TURN_ORDER.get(before, chat.TURN_ORDER[""])
@@ -59,3 +60,10 @@ def test_query_against_brute_force(spark, tmp_path):
 
 def test_empty_table(spark):
     assert chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_roles_with_line_feeds_read_back(spark):
+    roles = ["assistant\nx", "<\n", "<\\n\n", "\\\n<|", "a<\\\\n", "\n\n", "<|im_end|>\n", "<<\n|"]
+    turns = spark.createDataFrame([(1, k, role, "yo\nassistant") for k, role in enumerate(roles)], "conv_id long, turn int, role string, text string")
+    got = chat.read_back(chat.format_turns(turns)).orderBy("position").collect()
+    assert [r.role for r in got] == roles and {r.text for r in got} == {"yo\nassistant"} and {r.loss_text for r in got} == {None}
