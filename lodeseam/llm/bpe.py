@@ -392,7 +392,7 @@ def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN)
+    out = round_trip(frames.documents(spark, sf_dir), path, public_tokenizers.PATTERN)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

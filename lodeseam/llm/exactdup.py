@@ -99,7 +99,7 @@ def keep_one(docs: DataFrame, fan_in: int = 8, id_col: str = "doc_id", text_col:
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with the row that stays for its text."""
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_duplicates(frames.documents(spark, sf_dir))
 
 
 OP10_SQL = r"""

@@ -159,5 +159,5 @@ def chained(docs: DataFrame, bucket_mb: float = 4) -> DataFrame:
 
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """The contract's columns from chained() over all documents."""
-    out = chained(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = chained(frames.documents(spark, sf_dir))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

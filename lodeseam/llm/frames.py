@@ -10,7 +10,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.sources.steps import shared_folder
+from lodeseam.sources.steps import shared_folder, spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; one that is read in fewer splits than there are cores is dealt to all of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:

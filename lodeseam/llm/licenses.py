@@ -286,7 +286,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     """All documents with the licenses whose notices they hold."""
-    out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), resolve=True)
+    out = scan(frames.documents(spark, sf_dir), resolve=True)
     said = lambda m: F.concat_ws(":", m["name"], m["first"].cast("string"), m["last"].cast("string"))
     licenses = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.substring_index(m["name"], ":", 1))))
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(licenses, ",").alias("licenses"), F.array_join(F.transform("matches", said), ",").alias("spans"), F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)), 6).alias("containment"))

@@ -145,7 +145,7 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed to 95 % of the largest entropy within four repetitions."""
-    out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = mix_sources(frames.documents(spark, sf_dir))
     return out.withColumn("place", F.round("place", 9))
 
 

@@ -288,7 +288,7 @@ def _remaining(current: DataFrame, bitmaps: DataFrame, percent: int) -> DataFram
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's links: distinct 3-word shingles in lower case, 85 %."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
+    return near_duplicates(frames.documents(spark, sf_dir), width=3, percent=85)
 
 
 OP9_SQL = r"""

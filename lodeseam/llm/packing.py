@@ -354,5 +354,5 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 def op11_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens, every source at its share of all tokens in every window."""
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(frames.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")

@@ -287,7 +287,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def op12_periodic_runs(spark, sf_dir: str) -> DataFrame:
     """Runs of six words and four periods at least in all documents, the longest of each, and digests of all runs and of what is left without repeats."""
-    found = periodic_runs(repeated(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    found = periodic_runs(repeated(frames.documents(spark, sf_dir)))
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("first"), (-r["period"]).alias("least"))))
     told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
     out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

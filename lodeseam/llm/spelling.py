@@ -334,5 +334,5 @@ def spelling_groups(counts: DataFrame, least: int = 7, least_n: int = 2, factor:
 
 def op13_spelling_variants(spark, sf_dir: str) -> DataFrame:
     """Words of seven letters and two occurrences at least in all documents, each with its more usual form and its root."""
-    counts = word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=7, lose=31)
+    counts = word_counts(frames.documents(spark, sf_dir), least=7, lose=31)
     return spelling_groups(counts).select("word", "form", "root", "n", "n_near", "form_n")

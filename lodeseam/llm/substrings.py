@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int | None = None,
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of remove_repeats() over all documents."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_repeats(frames.documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 

@@ -426,7 +426,7 @@ def held_out(doc_id):
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     """All documents, by a model of the labels outside the held-out fifth."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = frames.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = learn(docs, labels.where(~held_out(F.col("doc_id"))))
     out = score(docs, model)
