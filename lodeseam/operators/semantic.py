@@ -40,7 +40,7 @@ def _in_order(ids) -> np.ndarray:
 
 #: Vectors around which blocks are formed, at most.
 CENTERS = 256
-#: Up to so many blocks of vectors are all visited by every query.
+#: Up to so many full blocks of vectors are all visited by every query.
 FEW = 8
 
 
@@ -68,12 +68,12 @@ def _packed(rows: DataFrame, id_col: str, size: int) -> DataFrame:
     return rows.select(id_col, "vector", "part", "near").mapInArrow(run, f"{id_col}s array<{kind}>, {id_col}_dimension int, {id_col}_block binary, {id_col}_part string, {id_col}_middle binary, {id_col}_reach double")
 
 
-def _by_center(rows: DataFrame, block: int) -> DataFrame:
+def _by_center(rows: DataFrame, block: int, count: int) -> DataFrame:
     """``rows`` (chunk_id, vector, part) with ``near``, the number of the nearest of some sampled vectors, sorted by part and near within partitions.
 
     As many vectors are sampled as there are blocks in a partition, ``CENTERS`` at most.
     """
-    wanted = min(CENTERS, -(-rows.count() // (block * max(1, rows.rdd.getNumPartitions()))))
+    wanted = min(CENTERS, -(-count // (block * max(1, rows.rdd.getNumPartitions()))))
     sample = [r.vector for r in rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(wanted).collect()]
     centers = np.array([v for v in sample if len(v) == len(sample[0])], float)
 
@@ -150,10 +150,13 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int =
     asked = _packed(plain.repartition(max(1, -(-count // block))), "query_id", block)
     asked = snapshot(asked.select("query_ids", "query_id_dimension", "query_id_block").withColumn("number", F.monotonically_increasing_id()))
     parted = vectors.where("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), (F.lit(None) if within is None else F.col(within)).cast("string").alias("part"))
-    known = snapshot(_packed(_by_center(parted, block), "chunk_id", block).withColumn("bid", F.monotonically_increasing_id()))
+    held = parted.count()
+    few = held <= FEW * block
+    lined = (parted if within is None else parted.sortWithinPartitions("part")).withColumn("near", F.lit(0)) if few else _by_center(parted, block, held)
+    known = snapshot(_packed(lined, "chunk_id", block).withColumn("bid", F.monotonically_increasing_id()))
     q_kind, c_kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
     q_arrow, c_arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["chunk_id"].dataType)
-    about = snapshot(known.select("bid", F.size("chunk_ids").alias("size"), "chunk_id_dimension", "chunk_id_part", "chunk_id_middle", "chunk_id_reach"))
+    about = known.select("bid", F.size("chunk_ids").alias("size"), "chunk_id_dimension", "chunk_id_part", "chunk_id_middle", "chunk_id_reach")
 
     def same(wide: int, wide_c: int) -> None:
         if wide != wide_c:
@@ -212,9 +215,10 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int =
     look, meet = ["query_id_dimension", "query_id_block", "number"], ["bid", "size", "chunk_id_dimension", "chunk_id_part", "chunk_id_middle", "chunk_id_reach"]
     visited = lambda visits: asked.join(visits, "number").join(known, "bid").select(*asks, "goes", *holds).mapInArrow(run, schema)
     paired = lambda left: left.crossJoin(about.hint("shuffle_replicate_nl"))
-    if about.count() <= FEW:
+    if few:
         best = asked.crossJoin(known.hint("shuffle_replicate_nl")).select(*asks, F.lit(None).cast("array<int>").alias("goes"), *holds).mapInArrow(run, schema)
     else:
+        about = snapshot(about)
         first = paired(asked).select(*look, *meet).mapInArrow(nearest, "number long, i int, part string, less double, bid long, size int")
         before = Window.partitionBy("number", "i", "part").orderBy("less", "bid").rowsBetween(Window.unboundedPreceding, -1)
         first = first.withColumn("held", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("held") < top_k).groupBy("number", "bid").agg(F.collect_list("i").alias("goes"))
