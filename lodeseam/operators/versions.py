@@ -146,45 +146,139 @@ def signed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"tokens": F.array_distinct(tokenize(searchable_text())), "symbol_tokens": F.array_distinct(tokenize(F.col("symbol_name"))), "signature": signature("code", "calls", "symbol_type")})
 
 
-#: Of the sources of a pair of versions, about so many lie in one task, where they meet all targets.
-SPLIT = 500
+# What each likeness weighs in the cheap score that fills the pool of a source.
+CHEAP = {"file_path": 0.20, "symbol": 0.22, "structure": 0.18, "overlap": 0.25, "git": 0.15}
 
+#: A feature in more targets than this is dealt to several tasks.
+HEAVY = 10_000
 
-def compare(sources: DataFrame, targets: DataFrame, versions: DataFrame, weights: MatchWeights = MatchWeights(), matches_per_chunk: int = 3, min_similarity: float = 0.0, candidate_pool_size: int = 50, vectors: DataFrame | None = None, split: int = SPLIT) -> DataFrame:
-    """Matches between chunks of two versions: ids, symbols, paths, similarity, components and the change.
+#: What features may weigh together, at least, without being looked up.
+MARGIN = 0.1
 
-    ``sources`` and ``targets`` are signed chunks; each source version meets the versions of
-    which it is named in ``pairs``-like columns (pair_id on both sides).  A cheap score keeps
-    ``candidate_pool_size`` targets of each source for the weighted similarity.  About
-    ``split`` sources of a pair lie in one task, so that large versions meet in many, and code
-    is joined to the matches alone.  ``vectors`` are (version_id, chunk_id, vector).
-    """
-    not_negative(matches_per_chunk=matches_per_chunk, candidate_pool_size=candidate_pool_size)
-    columns = ["pair_id", "repository_id", "version_id", "version_label", "chunk_id", "file_path", "symbol_name", "symbol_type", "tokens", "symbol_tokens"]
-    side = lambda df, p: df.select(F.col("pair_id"), *(F.col(c).alias(f"{p}_{c}") for c in columns[1:]), *(F.col(f"signature.{c}").alias(f"{p}_{c}") for c in ("shape", "arity", "n_calls")))
+#: Targets that share rare features are tried for the threshold, up to this many times the pool.
+TRIED = 16
+
+_EXACT = 1e-8  # scores are compared to nine decimals
+
+
+def _places(sources: DataFrame, targets: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files of both sides by number (s_place, t_place), and their pairs with ``file_path`` and ``git`` likeness."""
+    key = ("repository_id", "version_id", "file_path")
+    number = lambda df, p: snapshot(df.select("pair_id", *(F.col(c).alias(f"{p}_{c}") for c in key)).distinct().withColumn(f"{p}_place", F.monotonically_increasing_id()))
+    s, t = number(sources, "s"), number(targets, "t")
     about = lambda p: versions.select(F.col("version_id").alias(f"{p}_version_id"), F.col("parents").alias(f"{p}_parents"), F.col("renames").alias(f"{p}_renames"))
-    deals = sources.groupBy("pair_id").agg(F.ceil(F.count("*") / split).alias("deals"))
-    dealt = side(sources, "s").join(deals, "pair_id").withColumn("deal", F.pmod(F.xxhash64("s_chunk_id"), "deals")).drop("deals")
-    each_deal = side(targets, "t").join(deals, "pair_id").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
-    pairs = dealt.join(each_deal, ["pair_id", "deal"]).drop("deal").join(about("s"), "s_version_id").join(about("t"), "t_version_id")
-    files = lambda df, p: df.select("pair_id", F.col("file_path").alias(f"{p}_file_path")).distinct()
-    likeness = snapshot(files(sources, "s").join(files(targets, "t"), "pair_id").select("s_file_path", "t_file_path").distinct().select("s_file_path", "t_file_path", path_similarity("s_file_path", "t_file_path").alias("file_path")))
-    pairs = pairs.join(likeness, ["s_file_path", "t_file_path"])
-    down = F.array_contains("t_parents", F.col("s_version_id"))
-    up = F.array_contains("s_parents", F.col("t_version_id"))
+    met = s.join(t, "pair_id").join(about("s"), "s_version_id").join(about("t"), "t_version_id")
+    likeness = snapshot(met.select("s_file_path", "t_file_path").distinct().withColumn("file_path", path_similarity("s_file_path", "t_file_path")))
+    down, up = F.array_contains("t_parents", F.col("s_version_id")), F.array_contains("s_parents", F.col("t_version_id"))
     renamed = (down & (F.element_at("t_renames", F.col("s_file_path")) == F.col("t_file_path"))) | (up & (F.element_at("s_renames", F.col("t_file_path")) == F.col("s_file_path")))
+    git = git_likeness(F.col("s_repository_id") == F.col("t_repository_id"), down | up, F.coalesce(renamed, F.lit(False)), F.col("s_file_path") == F.col("t_file_path"))
+    near = met.withColumn("git", git).join(likeness, ["s_file_path", "t_file_path"])
+    base = CHEAP["file_path"] * F.col("file_path") + CHEAP["git"] * F.col("git")
+    return s, t, snapshot(near.select("s_place", "t_place", "file_path", "git", base.alias("base"), (F.ceil(base * 100) / 100).alias("level")))
+
+
+def _rated(pairs: DataFrame, s: DataFrame, t: DataFrame, near: DataFrame) -> DataFrame:
+    """``pairs`` (s_id, t_id) with both sides, their likenesses and the cheap score."""
+    both = pairs.join(s.drop("large"), "s_id").join(t.drop("large", "pair_id"), "t_id").join(near, ["s_place", "t_place"])
     shape = counter_jaccard(F.col("s_shape"), F.col("t_shape"))
-    parts = pairs.withColumns(
+    parts = both.withColumns(
         {
             "symbol": jaccard(F.col("s_symbol_tokens"), F.col("t_symbol_tokens")),
             "structure": structure(F.col("s_symbol_type"), F.col("t_symbol_type"), shape, F.col("s_arity"), F.col("t_arity"), F.col("s_n_calls"), F.col("t_n_calls")),
-            "git": git_likeness(F.col("s_repository_id") == F.col("t_repository_id"), down | up, F.coalesce(renamed, F.lit(False)), F.col("s_file_path") == F.col("t_file_path")),
             "overlap": jaccard(F.col("s_tokens"), F.col("t_tokens")),
         }
     )
-    cheap = 0.20 * F.col("file_path") + 0.22 * F.col("symbol") + 0.18 * F.col("structure") + 0.25 * F.col("overlap") + 0.15 * F.col("git")
+    return parts.withColumn("cheap", F.round(sum((w * F.col(n) for n, w in CHEAP.items()), F.lit(0.0)), 9))
+
+
+def shortlist(s: DataFrame, t: DataFrame, near: DataFrame, pool: int) -> DataFrame:
+    """(s_id, t_id): all pairs that can be among the ``pool`` targets of the best cheap score of their source, and few others.
+
+    The threshold of a source is the ``pool``-th score among targets of the files nearest to it, and among
+    those that share its rarest features (tokens of text and symbol).  As in a prefix filter, the commonest features of a source that weigh
+    too little together are never looked up: a pair that reaches the threshold shares another feature, or comes near it by path, catalog and
+    sizes alone.  The number of features that a pair shares then bounds its score before any token is compared.
+    """
+    order = F.struct("df", "feature")
+    feature = lambda column, symbol: F.transform(column, lambda x: F.struct(F.lit(symbol).alias("symbol"), x.alias("token")))
+    listed = lambda df, p: df.select("pair_id", f"{p}_id", F.explode(F.concat(feature(f"{p}_tokens", False), feature(f"{p}_symbol_tokens", True))).alias("feature"))
+    held = snapshot(listed(t, "t"))
+    dfs = held.groupBy("pair_id", "feature").agg(F.count("*").alias("df"))
+    salts = F.ceil(F.col("df") / HEAVY)
+    held = held.join(dfs.where(F.col("df") > HEAVY).select("pair_id", "feature", salts.alias("salts")), ["pair_id", "feature"], "left")
+    held = held.withColumn("salt", F.pmod(F.xxhash64("t_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    found = lambda features: features.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).join(held, ["pair_id", "feature", "salt"])
+    total = lambda shape: F.aggregate(F.map_values(shape), F.lit(0), lambda x, y: x + y)
+    sizes = lambda df, p: df.select(f"{p}_id", f"{p}_place", F.size(f"{p}_tokens").alias(f"{p}_n"), F.size(f"{p}_symbol_tokens").alias(f"{p}_m"), f"{p}_symbol_type", f"{p}_arity", f"{p}_n_calls", total(f"{p}_shape").alias(f"{p}_size"))
+    weight = F.when(F.col("feature.symbol"), CHEAP["symbol"] / F.col("s_m")).otherwise(CHEAP["overlap"] / F.col("s_n"))
+    rarest, commonest = Window.partitionBy("s_id").orderBy(order), Window.partitionBy("s_id").orderBy(F.desc(order))
+    mine = listed(s, "s").join(dfs, ["pair_id", "feature"]).join(sizes(s, "s").select("s_id", "s_n", "s_m"), "s_id")
+    mine = snapshot(mine.withColumns({"so_far": F.sum("df").over(rarest), "left": F.sum(weight).over(commonest)}).select("pair_id", "s_id", "feature", "df", "so_far", "left"))
+
+    # what is known of a pair before its tokens are compared: ``place`` by path, catalog and sizes; shared features
+    files = near.select("s_place", "t_place", "base", "level")
+    sized = F.when(F.greatest("s_size", "t_size") > 0, F.least("s_size", "t_size") / F.greatest("s_size", "t_size")).otherwise(0.0)
+    place = F.col("base") + CHEAP["structure"] * structure(F.col("s_symbol_type"), F.col("t_symbol_type"), sized, F.col("s_arity"), F.col("t_arity"), F.col("s_n_calls"), F.col("t_n_calls"))
+    one, none = lambda symbol: F.when(F.col("feature.symbol") == symbol, 1).otherwise(0), F.lit(0)
+    shared = lambda features: found(features).select("s_id", "t_id", one(False).alias("c"), one(True).alias("d"))
+    counted = lambda met: met.groupBy("s_id", "t_id").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).join(sizes(t, "t"), "t_id")
+    most = lambda n, extra, a, b: (lambda x: F.when(F.col(a) + F.col(b) > 0, x / (F.col(a) + F.col(b) - x)).otherwise(0.0))(F.least(F.col(n) + extra, a, b))
+    able = lambda tokens, names: CHEAP["overlap"] * most("c", tokens, "s_n", "t_n") + CHEAP["symbol"] * most("d", names, "s_m", "t_m")
+
+    # the threshold: the nearest files' and the rarest features' targets, of which the most promising are scored
+    ordered = t.select("t_place", "t_id", F.row_number().over(Window.partitionBy("t_place").orderBy("t_chunk_id", "t_id")).alias("nth"))
+    filled = F.coalesce(F.sum("n").over(Window.partitionBy("s_place").orderBy(F.desc("base"), "t_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nearest = near.join(t.groupBy("t_place").agg(F.count("*").alias("n")), "t_place").withColumn("filled", filled).where(F.col("filled") < pool)
+    close = nearest.join(ordered, "t_place").where(F.col("nth") <= pool - F.col("filled")).select("s_place", "t_id").join(s.select("s_place", "s_id"), "s_place").select("s_id", "t_id", none.alias("c"), none.alias("d"))
+    tried = counted(close.unionByName(shared(mine.where(F.col("so_far") <= TRIED * pool)))).join(sizes(s, "s"), "s_id").join(files, ["s_place", "t_place"])
+    nth = lambda score: F.row_number().over(Window.partitionBy("s_id").orderBy(F.desc(score), "t_id"))
+    seen = _rated(tried.withColumn("nth", nth(place + able(none, none))).where(F.col("nth") <= 2 * pool).select("s_id", "t_id"), s, t, near)
+    threshold = seen.select("s_id", "t_id", "cheap").withColumn("nth", nth("cheap")).where(F.col("nth") == max(pool, 1)).select("s_id", F.col("cheap").alias("threshold"))
+
+    # a source's features that weigh less than ``need`` together are not looked up: a pair that has none but those
+    # must come that near by its place
+    short = F.col("threshold") - CHEAP["structure"]
+    far = F.max(F.when(F.col("level") < short - MARGIN, F.col("level")))
+    bounds = sizes(s, "s").join(threshold, "s_id", "left").na.fill(-1.0, ["threshold"]).join(near.select("s_place", "level").distinct(), "s_place")
+    bounds = snapshot(bounds.groupBy(*sizes(s, "s").columns, "threshold").agg(F.coalesce(short - far, F.lit(MARGIN)).alias("need")))
+    inside = bounds.join(files, "s_place").where(F.col("level") >= short - F.col("need") - _EXACT).join(sizes(t, "t"), "t_place").where(place + F.col("need") >= F.col("threshold") - _EXACT)
+    needed = mine.join(bounds.select("s_id", "need"), "s_id").withColumn("skipped", F.col("left") < F.col("need"))
+    skipped = needed.where("skipped").groupBy("s_id").agg(F.count_if(~F.col("feature.symbol")).alias("tokens"), F.count_if("feature.symbol").alias("names"))
+    met = counted(shared(needed.where("not skipped")).unionByName(inside.select("s_id", "t_id", none.alias("c"), none.alias("d"))))
+    met = met.join(skipped, "s_id", "left").join(bounds.drop("need"), "s_id").join(files, ["s_place", "t_place"])
+    return met.where(place + able(F.coalesce("tokens", none), F.coalesce("names", none)) >= F.col("threshold") - _EXACT).select("s_id", "t_id")
+
+
+def numbered(sources: DataFrame, targets: DataFrame, versions: DataFrame, pool: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides with numbers of chunks and files, whether their pair of versions has more than ``pool`` targets, and the pairs of files."""
+    columns = ("repository_id", "version_id", "version_label", "chunk_id", "file_path", "symbol_name", "symbol_type", "tokens", "symbol_tokens")
+    s_places, t_places, near = _places(sources, targets, versions)
+    large = targets.groupBy("pair_id").agg((F.count("*") > pool).alias("large"))
+
+    def side(df: DataFrame, places: DataFrame, p: str) -> DataFrame:
+        named = df.select("pair_id", *(F.col(c).alias(f"{p}_{c}") for c in columns), *(F.col(f"signature.{c}").alias(f"{p}_{c}") for c in ("shape", "arity", "n_calls")))
+        return snapshot(named.join(large, "pair_id").join(places, ["pair_id", f"{p}_repository_id", f"{p}_version_id", f"{p}_file_path"]).withColumn(f"{p}_id", F.monotonically_increasing_id()))
+
+    return side(sources, s_places, "s"), side(targets, t_places, "t"), near
+
+
+def compare(sources: DataFrame, targets: DataFrame, versions: DataFrame, weights: MatchWeights = MatchWeights(), matches_per_chunk: int = 3, min_similarity: float = 0.0, candidate_pool_size: int = 50, vectors: DataFrame | None = None) -> DataFrame:
+    """Matches between chunks of two versions: ids, symbols, paths, similarity, components and the change.
+
+    ``sources`` and ``targets`` are signed chunks, whose repository, version and path are not null; each source version meets the versions of
+    which it is named in ``pairs``-like columns (pair_id on both sides).  A cheap score keeps
+    ``candidate_pool_size`` targets of each source for the weighted similarity.  Where a pair of versions has more targets than that, ``shortlist``
+    finds them without meeting all; files, not chunks, are met pair by pair.  Code is joined to the matches alone.
+    ``vectors`` are (version_id, chunk_id, vector).
+    """
+    not_negative(matches_per_chunk=matches_per_chunk, candidate_pool_size=candidate_pool_size)
+    s, t, near = numbered(sources, targets, versions, candidate_pool_size)
+    pairs = s.where("not large").select("pair_id", "s_id").join(t.where("not large").select("pair_id", "t_id"), "pair_id").select("s_id", "t_id")
+    if not t.where("large").isEmpty():
+        pairs = pairs.unionByName(shortlist(s.where("large"), t.where("large"), near, candidate_pool_size))
+    parts = _rated(pairs, s, t, near)
     each = lambda score, k: (lambda w: F.row_number().over(w) <= k)(Window.partitionBy("pair_id", "s_chunk_id").orderBy(F.desc(F.round(score, 9)), "t_chunk_id"))
-    short = parts.withColumn("keep", each(cheap, candidate_pool_size)).where("keep")
+    short = parts.withColumn("keep", each(F.col("cheap"), candidate_pool_size)).where("keep")
     if vectors is None:
         short = short.withColumn("semantic", F.lit(0.0))
     else:
