@@ -68,13 +68,16 @@ def module_parts(spark, d) -> DataFrame:
 
 
 def messages(spark, d) -> DataFrame:
-    """Messages as chunks of two versions of their conversation: what is asked, and its child, what is answered."""
+    """Messages as functions in two versions of every forty conversations: what is asked, and its child, what is answered."""
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    one_of = lambda number, *names: F.get(F.array(*map(F.lit, names)), number)
     name = F.concat(F.lit("turn_"), F.floor(F.col("turn") / 2).cast("string"))
+    head = F.concat(F.lit("def f("), one_of(F.floor(F.col("conv_id") / 3) % 3, "", "a", "a, b"), F.lit("):\n    pass\n# "))
     return table(spark, d, "conversations").where("role in ('user', 'assistant')").select(
-        F.concat_ws(":", F.col("conv_id").cast("string"), F.lpad(F.col("turn").cast("string"), 5, "0")).alias("chunk_id"), F.lit("repo").alias("repository_id"), F.concat(F.lit("t"), (F.col("turn") % 3).cast("string"), F.lit(".txt")).alias("file_path"),
-        F.lit("text").alias("language"), name.alias("symbol_name"), F.lit("function").alias("symbol_type"), F.col("text").alias("code"), F.lit("").alias("docstring"), empty.alias("imports"), empty.alias("calls"),
-        none.alias("class_name"), none.alias("parent_symbol"), F.col("role").alias("version_id"), F.col("role").alias("version_label"), F.col("conv_id").alias("pair_id"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.lpad(F.col("turn").cast("string"), 5, "0")).alias("chunk_id"), F.lit("repo").alias("repository_id"), one_of(F.col("turn") % 3, "aa", "bb", "cc").alias("file_path"),
+        F.lit("text").alias("language"), name.alias("symbol_name"), one_of(F.col("conv_id") % 3, "function", "method", "class").alias("symbol_type"),
+        F.concat(head, F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00\r\n\f]", " ")).alias("code"), F.lit("").alias("docstring"), empty.alias("imports"), F.array_repeat(F.lit("f"), (F.col("conv_id") % 4).cast("int")).alias("calls"),
+        none.alias("class_name"), none.alias("parent_symbol"), F.col("role").alias("version_id"), F.col("role").alias("version_label"), F.floor(F.col("conv_id") / 40).alias("pair_id"),
     )
 
 
@@ -286,20 +289,18 @@ def version_search_hybrid(spark, d):
     return found.select("query_id", "version_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("relevance", 6).alias("relevance"))
 
 
-#: Questions and answers are compared by names, structure and what the catalog says; paths are beyond SQL.
-MESSAGE_WEIGHTS = versions.MatchWeights(semantic=0.0, file_path=0.0, symbol=0.4, structure=0.2, git=0.4)
-
-
 def _compared(spark, d):
+    """Questions and answers by all five likenesses; their paths are equal or share no letter, so SQL can say the ratio."""
     rows = snapshot(versions.signed(messages(spark, d)))
-    renames = F.create_map(F.lit("t0.txt"), F.lit("t1.txt"))
+    known = snapshot(digit_counts(rows, "chunk_id", F.col("code")).join(rows.select("chunk_id", "version_id"), "chunk_id"))
+    renames = F.create_map(F.lit("aa"), F.lit("bb"))
     catalog = spark.createDataFrame([("user", []), ("assistant", ["user"])], "version_id string, parents array<string>").withColumn("renames", F.when(F.size("parents") > 0, renames).otherwise(F.create_map().cast("map<string,string>")))
-    return versions.compare(rows.where("version_id = 'user'"), rows.where("version_id = 'assistant'"), catalog, MESSAGE_WEIGHTS, 3, 0.45, 1_000_000)
+    return versions.compare(rows.where("version_id = 'user'"), rows.where("version_id = 'assistant'"), catalog, min_similarity=0.45, vectors=known)
 
 
 def version_compare(spark, d):
     part = lambda n: F.round(F.element_at("components", n), 6).alias(n)
-    return _compared(spark, d).select("pair_id", "s_chunk_id", "t_chunk_id", F.round("similarity", 6).alias("similarity"), part("symbol"), part("structure"), part("git"), "change")
+    return _compared(spark, d).select("pair_id", "s_chunk_id", "t_chunk_id", F.round("similarity", 6).alias("similarity"), *map(part, ("semantic", "file_path", "symbol", "structure", "git")), "change")
 
 
 def greedy_match(spark, d):

@@ -199,14 +199,27 @@ report AS (
 
 MULTI_PASS = _multi_pass()
 #: What is asked and what is answered in a conversation, as chunks of two versions.
-MESSAGES = r"""messages AS (
-  SELECT conv_id AS pair_id, conv_id || ':' || lpad(CAST(turn AS VARCHAR), 5, '0') AS chunk_id, role, text, turn // 2 AS symbol, turn % 3 AS path FROM conversations WHERE role IN ('user', 'assistant')),
+MESSAGES = rf"""said AS (
+  SELECT conv_id // 40 AS pair_id, conv_id || ':' || lpad(CAST(turn AS VARCHAR), 5, '0') AS chunk_id, role, turn // 2 AS symbol, ['aa', 'bb', 'cc'][turn % 3 + 1] AS path,
+         ['function', 'method', 'class'][conv_id % 3 + 1] AS kind, conv_id // 3 % 3 AS arity, conv_id % 4 AS calls,
+         'def f(' || ['', 'a', 'a, b'][conv_id // 3 % 3 + 1] || '):' || chr(10) || '    pass' || chr(10) || '# ' || regexp_replace(coalesce(text, ''), '[\x00\r\n\f]', ' ', 'g') AS code
+  FROM conversations WHERE role IN ('user', 'assistant')),
+searchable AS (
+  SELECT *, 'FILE: ' || path || chr(10) || 'LANGUAGE: text' || chr(10) || 'TYPE: ' || kind || chr(10) || 'SYMBOL: turn_' || symbol || chr(10)
+    || CASE WHEN calls > 0 THEN 'CALLS: ' || array_to_string(list_transform(range(calls), lambda i: 'f'), ', ') || chr(10) ELSE '' END || 'CODE:' || chr(10) || code AS full_text FROM said),
+digits AS (SELECT *, list_distinct({tokens('full_text')}) AS tokens, list_transform({tokens('code')}, lambda t: left(md5(t), 1)) AS digits FROM searchable),
+messages AS (SELECT *, list_transform(string_split('0123456789abcdef', ''), lambda h: CAST(len(list_filter(digits, lambda x: x = h)) AS DOUBLE)) AS v FROM digits),
 met AS (
-  SELECT s.pair_id, s.chunk_id AS s_chunk_id, t.chunk_id AS t_chunk_id, CASE WHEN s.symbol = t.symbol THEN 1.0 ELSE 0.2 END AS symbol, 0.625 AS structure,
-         CASE WHEN s.path = 0 AND t.path = 1 THEN 1.0 WHEN s.path = t.path THEN 0.75 ELSE 0.25 END AS git,
-         CASE WHEN regexp_replace(s.text, '^\s+|\s+$', '', 'g') = regexp_replace(t.text, '^\s+|\s+$', '', 'g') THEN 'likely_unchanged' WHEN s.symbol <> t.symbol OR s.path <> t.path THEN 'likely_renamed_or_moved' ELSE 'likely_modified' END AS change
+  SELECT s.pair_id, s.chunk_id AS s_chunk_id, t.chunk_id AS t_chunk_id, CASE WHEN s.symbol = t.symbol THEN 1.0 ELSE 0.2 END AS symbol, CASE WHEN s.path = t.path THEN 1.0 ELSE 0.0 END AS file_path,
+         0.45 * CASE WHEN s.kind = t.kind THEN 1.0 WHEN 'class' IN (s.kind, t.kind) THEN 0.0 ELSE 0.5 END + CAST(0.30 AS DOUBLE) * (3 + least(s.arity, t.arity)) / (3 + greatest(s.arity, t.arity))
+           + CAST(0.15 AS DOUBLE) * (1 - abs(s.arity - t.arity) / greatest(s.arity, t.arity, 1)) + CAST(0.10 AS DOUBLE) * (1 - abs(s.calls - t.calls) / greatest(s.calls, t.calls, 1)) AS structure,
+         CASE WHEN s.path = 'aa' AND t.path = 'bb' THEN 1.0 WHEN s.path = t.path THEN 0.75 ELSE 0.25 END AS git,
+         len(list_intersect(s.tokens, t.tokens)) / CAST(len(s.tokens) + len(t.tokens) - len(list_intersect(s.tokens, t.tokens)) AS DOUBLE) AS overlap,
+         greatest(0.0, least(1.0, (list_inner_product(s.v, t.v) / sqrt(list_inner_product(s.v, s.v)) / sqrt(list_inner_product(t.v, t.v)) + 1) / 2)) AS semantic,
+         CASE WHEN regexp_replace(s.code, '^\s+|\s+$', '', 'g') = regexp_replace(t.code, '^\s+|\s+$', '', 'g') THEN 'likely_unchanged' WHEN s.symbol <> t.symbol OR s.path <> t.path THEN 'likely_renamed_or_moved' ELSE 'likely_modified' END AS change
   FROM messages s JOIN messages t USING (pair_id) WHERE s.role = 'user' AND t.role = 'assistant'),
-rated AS (SELECT *, round(0.4 * symbol + 0.2 * structure + 0.4 * git, 9) AS similarity FROM met),
+pool AS (SELECT *, row_number() OVER (PARTITION BY pair_id, s_chunk_id ORDER BY round(CAST(0.20 * file_path + 0.22 * symbol + 0.18 * structure + 0.25 * overlap + 0.15 * git AS DOUBLE), 9) DESC, t_chunk_id) AS place FROM met QUALIFY place <= 50),
+rated AS (SELECT *, round(CAST(0.55 * semantic + 0.15 * file_path + 0.10 * symbol + 0.12 * structure + 0.08 * git AS DOUBLE), 9) AS similarity FROM pool),
 compared AS (SELECT *, row_number() OVER (PARTITION BY pair_id, s_chunk_id ORDER BY similarity DESC, t_chunk_id) AS nth FROM rated WHERE similarity >= 0.45 QUALIFY nth <= 3)"""
 #: BM25 by each version's own statistics.
 SCORED = f"""{TOKENS},
@@ -267,7 +280,7 @@ SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0
     "version_list": "SELECT lang AS version_id, 'lang ' || lang AS version_label, count(*) AS number_of_chunks, count(DISTINCT source) AS number_of_folders FROM documents GROUP BY lang",
     "multi_pass": f"WITH {MULTI_PASS} SELECT query_id, chunk_id, rank, round(score, 6) AS score, pass1, seeds, expansions, added, pass5 FROM results JOIN report USING (query_id)",
     "version_select": "SELECT lang AS version_id, source AS folder, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY ALL",
-    "version_compare": f"WITH {MESSAGES} SELECT pair_id, s_chunk_id, t_chunk_id, round(CAST(similarity AS DOUBLE), 6) AS similarity, CAST(symbol AS DOUBLE) AS symbol, CAST(structure AS DOUBLE) AS structure, CAST(git AS DOUBLE) AS git, change FROM compared",
+    "version_compare": f"WITH {MESSAGES} SELECT pair_id, s_chunk_id, t_chunk_id, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in ('similarity', 'semantic', 'file_path', 'symbol', 'structure', 'git'))}, change FROM compared",
     "greedy_match": f"""
 WITH RECURSIVE {MESSAGES},
 listed AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY similarity DESC, s_chunk_id, t_chunk_id) AS k FROM compared),
