@@ -250,3 +250,23 @@ def test_stream_is_indexed_once(spark, tmp_path):
         assert incremental.load(spark, f"{tmp_path}/index").corpus_stats.first().n == k + 1
     queries = spark.createDataFrame([(1, "gamma")], "query_id int, query string")
     assert lexical.search(incremental.load(spark, f"{tmp_path}/index"), queries).first().chunk_id == "b"
+
+
+def test_stream_replaces_deletes_and_merges(spark, tmp_path):
+    """The index of a stream is that of a rebuild from what was said last, whatever was merged."""
+    rng = random.Random(3)
+    state, folder = {}, f"{tmp_path}/in"
+    for k in range(7):
+        rows = [(f"c{n}", f"{n}.py", f"s{n}", "function", " ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randint(0, 5))), None, [], []) for n in rng.sample(range(12), 4)]
+        gone = rng.sample(sorted(set(state) - {r[0] for r in rows}), 1) if k > 2 else []
+        state = {c: r for c, r in (state | {r[0]: r for r in rows}).items() if c not in gone}
+        chunk_rows(spark, rows).select(*tree.CHUNK.names).write.mode("append").json(folder)
+        if gone:
+            spark.createDataFrame([(c, True) for c in gone], "chunk_id string, deleted boolean").write.mode("append").json(folder)
+        incremental.index_stream(incremental.chunk_stream(spark, folder), f"{tmp_path}/index", f"{tmp_path}/checkpoint", fanout=3).awaitTermination()
+    assert incremental.segments(spark, f"{tmp_path}/index") == [(0, 2, 1), (3, 5, 1), (6, 6, 0)]
+    got, want = incremental.load(spark, f"{tmp_path}/index"), lexical.build(chunk_rows(spark, list(state.values())))
+    for name in ("postings", "doc_stats"):
+        columns = getattr(want, name).columns
+        assert sorted(map(tuple, getattr(got, name).select(columns).collect())) == sorted(map(tuple, getattr(want, name).collect())), name
+    assert got.corpus_stats.first() == want.corpus_stats.first()
