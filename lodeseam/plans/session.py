@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseam.operators import evaluate, fusion, graph, lexical, multipass, rerank, semantic, versions
 from lodeseam.schema import CHUNK, checked
-from lodeseam.sources import git, tables, tree
+from lodeseam.sources import git, log, tables, tree
 from lodeseam.sources.steps import snapshot
 
 
@@ -20,6 +21,9 @@ class NotFound(KeyError):
     """No such repository, version or chunk."""
 
 
+#: Calls whose catalog rows lie in folders of their own before they are written together.
+FOLDERS = 32
+
 METHODS = ("auto", "bm25", "semantic", "hybrid", "reranked", "multi_pass")
 MODEL = "feature-hash-256"
 
@@ -43,7 +47,7 @@ class Engine:
         catalog = f"{self.home}/repositories"
         saved = self.spark.read.schema(f"{self._RECORD}, saved long").json(catalog) if self._exists(catalog) else self.spark.createDataFrame([], f"{self._RECORD}, saved long")
         names = [c for c in saved.columns if c not in ("repository_id", "saved")]
-        rows = saved.groupBy("repository_id").agg(F.max_by(F.struct(*names), "saved").alias("last")).select("repository_id", "last.*")
+        rows = saved.groupBy("repository_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("saved"))).alias(c) for c in names)).na.fill(0, ["chunks"]).na.fill(False, ["semantic", "graph", "versions"])
         has = lambda flag, *names: F.when(flag, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
         methods = F.concat(F.array(F.lit("bm25")), has(F.col("semantic"), "semantic", "hybrid", "reranked"), has(F.col("semantic") & F.col("graph"), "multi_pass"), has(F.col("versions"), "version_search"))
         return rows.withColumn("available_methods", methods).orderBy(F.lower("name"))
@@ -61,10 +65,13 @@ class Engine:
         return found[0]
 
     def _save_record(self, record: dict) -> None:
-        """Append the record; the last of a repository counts, so readers see the old one until the new one is there as a whole."""
+        """Append what is new of a repository; of each field the last value counts, so writers of different fields lose nothing of each other's."""
         row = self.spark.createDataFrame([json.dumps(record | {"saved": time.time_ns()})], "string")
         row.coalesce(1).write.mode("append").text(f"{self.home}/repositories")
 
+    def _known(self, key: str) -> bool:
+        return not self.repositories().where(F.col("repository_id") == key).isEmpty()
+
     def _writable(self) -> None:
         if self.read_only:
             raise PermissionError("this engine only reads")
@@ -88,7 +95,7 @@ class Engine:
             tables.save_vectors(semantic.build(rows), f"{base}/semantic", MODEL)
         if with_graph:
             tables.save_graph(*graph.build(rows), graph.unresolved(rows), f"{base}/graph")
-        self._save_record({"repository_id": key, "name": name or path.rstrip("/").rsplit("/", 1)[-1], "path": path, "chunks": count, "semantic": bool(with_semantic and count), "graph": with_graph, "versions": self._exists(f"{base}/versions")})
+        self._save_record({"repository_id": key, "name": name or path.rstrip("/").rsplit("/", 1)[-1], "path": path, "chunks": count, "semantic": bool(with_semantic and count), "graph": with_graph})
         return [r.warning for r in warnings.collect()]
 
     def index_versions(self, path: str, revisions: dict[str, str | None], with_semantic: bool = True) -> DataFrame:
@@ -102,7 +109,7 @@ class Engine:
         path = git.root_of(path)
         key = tree.repository_id(path)
         base = f"{self.home}/{key}/versions"
-        known = {r.version_id: r.version_label for r in self.spark.read.parquet(f"{base}/catalog").select("version_id", "version_label").collect()} if self._exists(f"{base}/catalog") else {}
+        known = self._labels(base)
         found, files, chunks = git.index_versions(self.spark, path, revisions, known)
         chunks = snapshot(chunks)
         by_version = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_id").parquet(f"{base}/{name}")
@@ -111,14 +118,47 @@ class Engine:
             by_version(semantic.build(chunks).join(chunks.select("version_id", "chunk_id"), "chunk_id"), "vectors")
         counted = found.join(files, "version_id", "left").join(chunks.groupBy("version_id").agg(F.count("*").alias("number_of_chunks")), "version_id", "left")
         catalog = counted.na.fill(0, ["number_of_files", "number_of_chunks"]).withColumn("model_name", F.when((F.col("number_of_chunks") > 0) & F.lit(with_semantic), MODEL))
-        catalog.coalesce(1).write.mode("append").parquet(f"{base}/catalog")
-        records = [r.asDict() for r in self.repositories().where(F.col("repository_id") == key).drop("available_methods").collect()]
-        record = records[0] if records else {"repository_id": key, "name": path.rsplit("/", 1)[-1], "path": path, "chunks": 0, "semantic": False, "graph": False}
-        self._save_record(record | {"versions": True})
+        self._commit_versions(base, snapshot(catalog))
+        self._save_record({"repository_id": key, "versions": True} | ({} if self._known(key) else {"name": path.rsplit("/", 1)[-1], "path": path}))
         return self.versions(key)
 
+    def _labels(self, base: str) -> dict[str, str]:
+        """Labels of the indexed commits; a log entry holds one a version."""
+        return (log.last(self.spark, f"{base}/log")[1] or {"labels": {}})["labels"]
+
+    def _commit_versions(self, base: str, rows: DataFrame) -> None:
+        """Add versions to the catalog: a log entry names all labels and the folders of all rows, and is written only if its number is free.
+
+        If another writer was faster, its versions are read, labels are checked against them, and the next number is tried. Rows of
+        over FOLDERS calls are written together.
+        """
+        mine = {r.version_id: r.version_label for r in rows.select("version_id", "version_label").collect()}  # named by the call
+        while True:
+            number, state = log.last(self.spark, f"{base}/log")
+            state = state or {"labels": {}, "rows": []}
+            fresh = {v: label for v, label in mine.items() if v not in state["labels"]}
+            if taken := set(fresh.values()) & set(state["labels"].values()):
+                raise ValueError(f"labels of another version: {', '.join(sorted(taken))}")
+            if not fresh and number:
+                return
+            named = rows.join(self.spark.createDataFrame([(v,) for v in fresh], "version_id string"), "version_id", "left_semi").select(rows.columns)
+            added = named.withColumn("position", (F.row_number().over(Window.orderBy("position")) + len(state["labels"]) - 1).cast("int"))  # a row a version of this call
+            folders = state["rows"]
+            if len(folders) >= FOLDERS:
+                added, folders = added.unionByName(self.spark.read.parquet(*(f"{base}/catalog/{f}" for f in folders))), []
+            folder = uuid.uuid4().hex
+            added.coalesce(1).write.parquet(f"{base}/catalog/{folder}")
+            if log.append(self.spark, f"{base}/log", number + 1, {"labels": state["labels"] | fresh, "rows": [*folders, folder]}):
+                return
+
+    def _catalog(self, base: str) -> DataFrame:
+        _, state = log.last(self.spark, f"{base}/log")
+        if state is None:
+            raise NotFound("no versions are indexed")
+        return self.spark.read.parquet(*(f"{base}/catalog/{f}" for f in state["rows"]))
+
     def versions(self, repository: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.home}/{self._record(repository).repository_id}/versions/catalog")
+        return self._catalog(f"{self.home}/{self._record(repository).repository_id}/versions")
 
     def _version_chunks(self, base: str, chosen: DataFrame) -> DataFrame:
         """Chunks of the chosen versions; the filter prunes partitions."""
@@ -202,7 +242,7 @@ class Engine:
     def search_versions(self, queries: list[str], repository: str | None = None, version: str | None = None, top_k: int = 10, candidate_k: int = 50, mode: str = "auto") -> DataFrame:
         """Search within one version, or across all; ``auto`` is hybrid if all of them have vectors of one model, else lexical."""
         base = f"{self._base(self._record(repository))}/versions"
-        chosen = versions.select(self.spark.read.parquet(f"{base}/catalog"), version)
+        chosen = versions.select(self._catalog(base), version)
         vectors, rows, asked = self._version_vectors(base, chosen, mode), self._version_chunks(base, chosen), self._queries(queries)
         top_k, candidate_k = checked("top_k", top_k), checked("candidate_k", candidate_k)
         found = versions.search(rows, asked, candidate_k, top_k) if vectors is None else versions.hybrid(rows, vectors, self._embedded(asked), candidate_k, top_k)
@@ -213,7 +253,7 @@ class Engine:
         """The most alike chunks of two versions, by label, id or beginning of the commit; without common vectors, names and structure decide."""
         checked("min_similarity", min_similarity), checked("candidate_pool_size", candidate_pool_size)
         base = f"{self._base(self._record(repository))}/versions"
-        catalog = self.spark.read.parquet(f"{base}/catalog")
+        catalog = self._catalog(base)
         ends = [versions.select(catalog, s) for s in (source, target)]
         if ends[0].first().version_id == ends[1].first().version_id:
             raise ValueError("compare two different versions")
@@ -229,7 +269,7 @@ class Engine:
         for name, value in (("per_version_top_k", per_version_top_k), ("candidate_pool_size", candidate_pool_size), ("min_similarity", min_similarity), ("max_tracks", max_tracks)):
             checked(name, value)
         base = f"{self._base(self._record(repository))}/versions"
-        catalog = self.spark.read.parquet(f"{base}/catalog")
+        catalog = self._catalog(base)
         vectors, asked = self._version_vectors(base, catalog, mode), self._queries([query])
         rows = self._version_chunks(base, catalog)
         found = versions.evolution(rows, catalog, asked if vectors is None else self._embedded(asked), per_version_top_k, candidate_pool_size, min_similarity, max_tracks, vectors=vectors)
