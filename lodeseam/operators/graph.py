@@ -144,7 +144,47 @@ def neighbors(node_rows: DataFrame, edge_rows: DataFrame, wanted: DataFrame) ->
     return both.join(wanted.select("node_id").distinct(), "node_id").join(about, "other")
 
 
-def expand(node_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, max_hops: int = 3, max_candidates: int = 100) -> DataFrame:
+#: Edges of one node that are read under one key: a node with more is split into so many slices.
+SLICE = 1_000
+#: Keys that the edges of a split node are spread over while they learn into how many slices.
+_SPREAD = 64
+
+
+def adjacency(edge_rows: DataFrame, slice_edges: int = SLICE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(steps, moves, heavy): edges as numbered steps, ways from node to node, and the nodes whose ways are in slices.
+
+    ``steps`` (step, relation, source, target) are numbered in that order, so that paths
+    compare as arrays of numbers.  ``moves`` (at, slice, to, step) go both ways.  A node of
+    more than ``slice_edges`` ways is in ``heavy`` (at, slices): its ways lie under as many
+    keys, so that no task reads all of a hub; any other node has the slice 0 alone.
+    """
+    each = edge_rows.select(F.explode("relations").alias("relation"), "source", "target")
+    steps = snapshot(each.orderBy("relation", "source", "target").select(F.monotonically_increasing_id().alias("step"), "relation", "source", "target"))
+    back = steps.where("source <> target").select(F.col("target").alias("at"), F.col("source").alias("to"), "step")
+    moves = steps.select(F.col("source").alias("at"), F.col("target").alias("to"), "step").unionByName(back)
+    degrees = moves.groupBy("at").count().where(F.col("count") > slice_edges)
+    heavy = snapshot(degrees.select("at", F.ceil(F.col("count") / slice_edges).cast("int").alias("slices")))
+    if heavy.isEmpty():
+        return steps, moves.withColumn("slice", F.lit(0)), heavy
+    spread_out = heavy.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
+    place = F.xxhash64("at", "to", "step")
+    parted = moves.withColumn("part", F.pmod(place, F.lit(_SPREAD)).cast("int")).join(spread_out, ["at", "part"], "left")
+    slice_of = F.coalesce(F.pmod(F.shiftright(place, 8), F.col("slices")), F.lit(0)).cast("int")
+    return steps, snapshot(parted.select("at", slice_of.alias("slice"), "to", "step")), heavy
+
+
+def follow(frontier: DataFrame, moves: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(query_id, seed, at, position, path): one step on from ``frontier``, each node by its least path.
+
+    Those at a hub ask all of its slices; those that meet at a node are reduced before they
+    are shuffled.
+    """
+    asked = frontier.join(heavy, "at", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    met = asked.join(moves, ["at", "slice"]).select("query_id", "seed", F.col("to").alias("at"), "position", F.concat("path", F.array("step")).alias("path"))
+    return met.groupBy("query_id", "seed", "at").agg(F.min("position").alias("position"), F.min("path").alias("path"))
+
+
+def expand(node_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, max_hops: int = 3, max_candidates: int = 100, slice_edges: int = SLICE) -> DataFrame:
     """(query_id, seed, node_id, hops, relation_path, graph_score): symbols near ``seeds`` (query_id, node_id, position).
 
     Edges are followed both ways, files cost a hop and are not results.  Each symbol has the
@@ -154,23 +194,17 @@ def expand(node_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, max_hop
     which only the least path to each new node stays; each hop's lineage is cut.
     """
     not_negative(max_candidates=max_candidates)
-    if max_hops < 1:
-        raise ValueError("max_hops must be at least one")
-    steps = edge_rows.select("source", "target", F.explode("relations").alias("relation"))
-    step = F.struct("relation", "source", "target")
-    forth = steps.select(F.col("source").alias("at"), F.col("target").alias("to"), step.alias("step"))
-    back = steps.where("source <> target").select(F.col("target").alias("at"), F.col("source").alias("to"), step.alias("step"))
-    moves = forth.unionByName(back)
+    if max_hops < 1 or slice_edges < 1:
+        raise ValueError("max_hops and slice_edges must be at least one")
+    steps, moves, heavy = adjacency(edge_rows, slice_edges)
     first = seeds.groupBy("query_id", "node_id").agg(F.min("position").alias("position"))
-    kind = "array<struct<relation:string,source:string,target:string>>"
-    reached = first.select("query_id", "position", F.col("node_id").alias("seed"), F.col("node_id").alias("at"), F.lit(0).alias("hops"), F.array().cast(kind).alias("path"))
+    reached = first.select("query_id", "position", F.col("node_id").alias("seed"), F.col("node_id").alias("at"), F.lit(0).alias("hops"), F.array().cast("array<long>").alias("path"))
     frontier, found = reached, [reached]
     symbols = node_rows.where("kind <> 'file'").select(F.col("node_id").alias("at"))
     for hop in range(1, max_hops + 1):
-        met = frontier.join(moves, "at").select("query_id", "position", "seed", F.col("to").alias("at"), F.lit(hop).alias("hops"), F.concat("path", F.array("step")).alias("path"))
         seen = reduce(DataFrame.unionByName, found).select("query_id", "seed", "at")
-        met = met.join(seen, ["query_id", "seed", "at"], "left_anti")
-        frontier = snapshot(met.groupBy("query_id", "position", "seed", "at", "hops").agg(F.min("path").alias("path")).select(*reached.columns))
+        new = follow(frontier, moves, heavy).join(seen, ["query_id", "seed", "at"], "left_anti")
+        frontier = snapshot(new.withColumn("hops", F.lit(hop)).select(*reached.columns))
         found.append(frontier)
         if frontier.isEmpty():
             break
@@ -192,7 +226,9 @@ def expand(node_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, max_hop
     labels = node_rows.select("node_id", F.coalesce("symbol_name", "file_path", "node_id").alias("label"))
     walked = best.select("query_id", F.col("at").alias("node_id"), "b.*")
     # the node that each step leads to: the end of it at which the walk was not
-    spelled = walked.select("query_id", "node_id", "seed", F.posexplode("path").alias("i", "step"), "path")
+    taken = walked.select("query_id", "node_id", "seed", F.posexplode("path").alias("i", "step")).join(steps, "step")
+    spelled = taken.groupBy("query_id", "node_id", "seed").agg(F.array_sort(F.collect_list(F.struct("i", "relation", "source", "target"))).alias("path"))
+    spelled = spelled.select("query_id", "node_id", "seed", F.posexplode("path").alias("i", "step"), "path")
     arrive = F.aggregate(F.slice("path", F.lit(1), F.col("i") + 1), F.col("seed"), lambda at, s: F.when(s["source"] == at, s["target"]).otherwise(s["source"]))
     backwards = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in INVERSE.items() for x in p)), F.col("step.relation")), F.col("step.relation"))
     spelled = spelled.withColumn("to", arrive).join(labels.withColumnRenamed("node_id", "to"), "to")

@@ -202,6 +202,28 @@ def test_expansion_is_the_naive_walk(spark, hops, cap):
         assert paths == list(want[x.query_id, x.node_id][2]), x
 
 
+def test_a_hub_is_split(spark):
+    """A star: its edges lie under many keys, no task reads much more than another, and the result is that of the whole node."""
+    n = 60_000
+    leaves = spark.range(n).select(F.format_string("n%06d", "id").alias("leaf"))
+    edge_rows = leaves.select(F.lit("hub").alias("source"), F.col("leaf").alias("target"), F.array(F.lit("CALLS")).alias("relations"))
+    node_rows = leaves.union(spark.createDataFrame([("hub",)], "leaf string")).select(F.col("leaf").alias("node_id"), F.lit("symbol").alias("kind"), F.col("leaf").alias("symbol_name"), F.lit("a.py").alias("file_path"))
+    steps, moves, heavy = graph.adjacency(edge_rows, 200)
+    assert [tuple(r) for r in heavy.collect()] == [("hub", n // 200)] and moves.count() == 2 * n
+    assert moves.where("at = 'hub'").groupBy("slice").count().agg(F.max("count")).first()[0] < 300
+    dealt = moves.where("at = 'hub'").repartition(8, "at", "slice").groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r[1] for r in dealt)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[3]
+    order = steps.orderBy("step").select("relation", "source", "target").collect()
+    assert order == sorted(order)
+    seeds = spark.createDataFrame([(1, "hub", 0), (2, "n000007", 0)], "query_id int, node_id string, position int")
+    for size in (200, 10 * n):
+        got = graph.expand(node_rows, edge_rows, seeds, 2, n, size).groupBy("query_id", "hops").agg(F.count("*").alias("n"), F.min("node_id").alias("low"), F.max(F.array_join("relation_path", "; ")).alias("path")).collect()
+        assert sorted(map(tuple, got)) == [
+            (1, 1, n, "n000000", f"CALLS -> n{n - 1:06d}"), (2, 1, 1, "hub", "CALLED_BY <- hub"), (2, 2, n - 1, "n000000", f"CALLED_BY <- hub; CALLS -> n{n - 1:06d}"),
+        ]
+
+
 def test_greedy_assignment(spark):
     r = random.Random(7)
     pairs = [(f"p{g}", f"s{a}", f"t{b}", round(r.random(), 2)) for g in range(12) for a in range(6) for b in range(6) if r.random() < 0.6]
