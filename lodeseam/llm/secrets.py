@@ -22,8 +22,8 @@ class EntropyRule:
     hexadecimal: float = 3.0
     one_case: float = 3.6
     mixed: float = 3.8
-    #: Candidates that match are no secrets: documentation examples, alphabets, repeated marks.
-    allow: tuple[str, ...] = (r"(?i)example|sample|placeholder|changeme", r"(?i)abcdefgh|12345678", r"[-=_+/]{8}")
+    #: What matches is part of no secret: documentation examples, alphabets, repeated marks.  The rest of its run is judged by itself.
+    allow: tuple[str, ...] = (r"(?i:example|sample|placeholder|changeme)", r"(?i:abcdefgh|12345678)", r"[-=_+/]{8}")
 
     @property
     def candidates(self) -> str:
@@ -36,21 +36,44 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Numbers that one block sums; blocks of blocks sum theirs.
+_BLOCK = 64
+
+
+def _sums_before(numbers: Column, depth: int = 3) -> Column:
+    """For each of ``numbers``, the sum of those before it.
+
+    An array that grows by one is copied each time, so it grows within blocks only: ``depth``
+    levels of them keep the work in proportion to the numbers up to 64 ** (depth + 1).
+    """
+    if not depth:
+        more = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(numbers, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), more, lambda acc: acc["out"])
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, n: a + n))
+        inside = F.transform(blocks, lambda block: _sums_before(block, 0))
+        return F.flatten(F.zip_with(inside, _let(totals, lambda t: _sums_before(t, depth - 1)), lambda places, at: F.transform(places, lambda x: x + at)))
+
+    starts = F.when(F.size(numbers) > 0, F.sequence(F.lit(1), F.size(numbers), F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
+    return _let(F.transform(starts, lambda i: F.slice(numbers, i, _BLOCK)), over)
+
+
 def _located(text: Column, pattern: str, make) -> Column:
     """array<struct<start, last, keep>> of the pattern's matches: each match's place is the sum of what lies before it."""
     none = F.array().cast("array<struct<start:int,last:int,keep:boolean>>")
 
-    def walk(found: Column, gaps: Column, keep: Column) -> Column:
-        def step(acc, i):
-            start = acc["at"] + F.get(gaps, i)
-            last = start + F.length(F.get(found, i))
-            return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), last.alias("last"), F.get(keep, i).alias("keep")))).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def place(found: Column, gaps: Column, keep: Column) -> Column:
+        sizes = F.transform(found, lambda m: F.length(m))
+        before = _let(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), sizes, lambda g, n: g + n), lambda n: _sums_before(n))
+        # a match starts where those before it, with the gaps before them, and its own gap end
+        starts = F.zip_with(before, F.slice(gaps, F.lit(1), F.size(found)), lambda at, g: at + g)
+        spans = F.zip_with(starts, sizes, lambda at, n: F.struct(at.alias("start"), (at + n).alias("last")))
+        return F.zip_with(spans, keep, lambda s, k: F.struct(s["start"].alias("start"), s["last"].alias("last"), k.alias("keep")))
 
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    walked = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _let(gaps, lambda g: _let(make(found), lambda keep: walk(found, g, keep))))
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    placed = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _let(gaps, lambda g: _let(make(found), lambda keep: place(found, g, keep))))
+    return F.when(text.rlike(pattern), placed).otherwise(none)
 
 
 def _always(found: Column) -> Column:
@@ -85,15 +108,14 @@ def window_entropy(candidate: Column, window: int) -> Column:
 
 
 def _random_looking(rule: EntropyRule):
-    def keep(found: Column) -> Column:
-        def one(m: Column) -> Column:
-            allowed = F.lit(False)
-            for pattern in rule.allow:
-                allowed = allowed | m.rlike(pattern)
-            least = F.when(m.rlike("^[0-9a-fA-F]+$"), rule.hexadecimal).when(m.rlike("[a-z]") & m.rlike("[A-Z]"), rule.mixed).otherwise(rule.one_case)
-            return F.when(allowed, False).otherwise(window_entropy(m, rule.window) >= least)
+    def judge(part: Column) -> Column:
+        least = F.when(part.rlike("^[0-9a-fA-F]+$"), rule.hexadecimal).when(part.rlike("[a-z]") & part.rlike("[A-Z]"), rule.mixed).otherwise(rule.one_case)
+        return part.rlike("[0-9]") & part.rlike("[A-Za-z]") & (window_entropy(part, rule.window) >= least)
 
-        return F.transform(found, one)
+    def keep(found: Column) -> Column:
+        # windows that touch what the allow-list matches are not measured; those on either side are
+        parts = (lambda m: F.split(m, "|".join(f"(?:{a})" for a in rule.allow), -1)) if rule.allow else F.array
+        return F.transform(found, lambda m: F.exists(parts(m), judge))
 
     return keep
 
@@ -102,8 +124,9 @@ def scan(docs: DataFrame, rule: EntropyRule = EntropyRule(), id_col: str = "doc_
     """(doc_id, spans) of every row: array<struct<start, kind, last>> by start, then kind, in code points, last exclusive.
 
     Kinds are 0 assign, 1 access, 2 hex (fixed patterns over the whole text, leftmost and not
-    overlapping) and 3 entropy: runs of letters, digits and ``+/_=-`` that look random, unless
-    allow-listed.  The allow-list touches only the last kind.  A null or empty text has no
+    overlapping) and 3 entropy: whole runs of letters, digits and ``+/_=-`` with a window that
+    looks random and does not touch what the allow-list matches.  The allow-list touches only
+    the last kind.  A null or empty text has no
     spans; repeated rows and rows without a doc_id are scanned alike; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
