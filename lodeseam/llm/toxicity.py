@@ -272,11 +272,11 @@ def _count_features(batches):
     yield from flush()
 
 
-#: Terms of the lexicon, at most: the most frequent ones.
-LEXICON = 1_000
+#: Features are terms if they are about as precise as the most precise one.
+PRECISE = 0.9
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int, least: int = 5, size: int = LEXICON) -> tuple[tuple[str, float], ...]:
+def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int, least: int = 5) -> tuple[tuple[str, float], ...]:
     """The lexicon from (feature, toxic, total): precise features, the most frequent first, no beginning that another covers.
 
     A word that a beginning covers stays, as its misspellings need not begin alike.
@@ -288,7 +288,7 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int,
     rated = [((t + 0.5) / (n + 1), t, n, f) for f, t, n in counts if t >= support]
     best = max((p for p, *_ in rated), default=0.0)
     share = toxic_docs / max(docs, 1)
-    rated = sorted((x for x in rated if x[0] >= 0.9 * best and x[0] > min(2 * share, (1 + share) / 2)), key=lambda x: (-x[1], -len(x[3].rstrip("*")), x[3].endswith("*"), x[3]))
+    rated = sorted((x for x in rated if x[0] >= PRECISE * best and x[0] > min(2 * share, (1 + share) / 2)), key=lambda x: (-x[1], -len(x[3].rstrip("*")), x[3].endswith("*"), x[3]))
     chosen: dict[str, float] = {}
     stems: set[str] = set()
     covered: dict[str, int] = defaultdict(int)
@@ -303,8 +303,6 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic_docs: int, docs: int,
             stems.add(body)
         for k in range(1, len(body) + 1 if not under else 0):
             covered[body[:k]] += t
-        if len(chosen) == size:
-            break
     return tuple(chosen.items())
 
 
@@ -331,13 +329,13 @@ SAMPLE = 20_000
 NO_MATCH = -0.01
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", size: int = LEXICON) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model of ``labels`` (doc_id, toxic): rows without either, and without a document, are left out.
 
     Fitted on a sample of at most about ``sample`` labelled rows, whatever the size of the
     table, so that what reaches the driver and every task is bounded: features that meet
     the support, and three numbers and the near words for each row of the sample.
-    The lexicon has at most ``size`` terms.
+    The lexicon has every term that meets the support and the precision.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).alias("label")).where("doc_id is not null and label is not null")
     count = known.count()
@@ -350,8 +348,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return Model(())
     support = max(5, toxic_docs // 400)
     counts = frames.in_arrow(rows, _count_features, "feature string, toxic long, total long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-    precise = counts.where((F.col("toxic") >= support) & (F.col("toxic") * 2 > F.col("total"))).orderBy(F.desc("toxic"), "feature").limit(50_000)
-    terms = choose_terms([tuple(r) for r in precise.collect()], toxic_docs, seen, size=size)
+    precision = (F.col("toxic") + 0.5) / (F.col("total") + 1)
+    supported = frames.stored(counts.where((F.col("toxic") >= support) & (F.col("toxic") * 2 > F.col("total"))), "features")
+    best = supported.agg(F.max(precision)).first()[0] or 0.0
+    precise = supported.where(precision >= PRECISE * best)
+    terms = choose_terms([tuple(r) for r in precise.collect()], toxic_docs, seen)
     model = Model(terms)
 
     def near(batches):

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -110,7 +112,12 @@ def test_inflected_forms_do_not_switch_misspellings_off():
     terms = dict(model.terms)
     assert {"idio*", "idiot", "idiots", "pathetic"} <= set(terms) and "idiot*" not in terms
     assert [m[2:4] for m in tx.find(model, "you ediot, idiotic idiots")] == [("idiot", 1), ("idio*", 0), ("idio*", 0)]
-    assert len(tx.choose_terms(counts, 100, 1000, size=2)) == 2
+
+
+def test_all_terms_that_meet_support_and_precision():
+    """The lexicon is bounded by support alone: more than a thousand terms are all kept."""
+    counts = [(f"w{k:04d}", 5, 5) for k in range(3_000)] + [("rare", 4, 4), ("common", 50, 90)]
+    assert {t for t, _ in tx.choose_terms(counts, 2_000, 50_000)} == {c[0] for c in counts[:3_000]}
 
 
 def test_edits_inside_a_long_beginning():
@@ -125,3 +132,59 @@ def test_digits_inside_words():
     assert found("an id1ot") == [(3, 8, "idiot", 1)]
     assert found("idiot2000 4scum") == [(0, 5, "idiot", 0), (11, 15, "scum", 0)]
     assert found("scum4scum x2idiot") == [(0, 4, "scum", 0), (5, 9, "scum", 0), (12, 17, "idiot", 0)]
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_match(model, word):
+    """(term, edits): the nearest of all terms, a beginning that is spelled out before any other."""
+    found = []
+    for term, _ in model.terms:
+        body = term.rstrip("*")
+        ends = range(len(word) + 1) if term.endswith("*") else [len(word)]
+        found.append((min(levenshtein(body, word[:k]) for k in ends), term))
+    stems = [(e, t) for e, t in found if t.endswith("*") and e == 0]
+    if stems:  # the shortest is met first
+        return min(stems, key=lambda x: len(x[1]))[1], 0
+    found = [(e, t) for e, t in found if e <= tx.allowed_edits(t)]
+    if not found:
+        return None
+    e, term = min(found)
+    return None if e and (word in model.clean or term in model.literal) else (term, e)
+
+
+def plain_score(model, text):
+    """The score by comparing each word with each term, without automaton, caches or bounds."""
+    text, weights, plain, quoted = (text or "").lower(), dict(model.terms), [], []
+    spans = []
+    for m in re.finditer(r"[^\W\d_]+(?:\d+[^\W\d_]+)*", text):
+        whole = m[0].isalpha() or plain_match(model, m[0])
+        spans += [m.span()] if whole else [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^\W\d_]+", m[0])]
+    for k, (i, j) in enumerate(spans):
+        found = plain_match(model, text[i:j])
+        if found:
+            before, after = text[spans[max(0, k - 6)][0] : i], text[j : spans[min(len(spans) - 1, k + 6)][1]]
+            said = (set(before) & set(tx.QUOTES) and set(after) & set(tx.QUOTES)) or tx.REPORTING & set(re.findall(r"[^\W\d_]+", before))
+            (quoted if said else plain).append(weights[found[0]] * (0.7 if found[1] else 1))
+    a, b, c, d = model.coefficients
+    return 1 / (1 + math.exp(-(a + b * max(plain, default=0) + c * math.log(1 + sum(plain)) + d * max(quoted, default=0))))
+
+
+def test_query_against_every_term_of_every_word(spark, tmp_path):
+    rows, labels = corpus(700)
+    r = random.Random(9)
+    odd = ["moron", "m0ron", "morron", '"moron"', "she said moron", "lowei4st", "loweixx", "path3tic", "scum7scum", "„Scum“", "pathetick", "É", "ﬁn"]
+    rows += [(20_000 + k, " ".join(r.choices(odd, k=r.randint(0, 6)))) for k in range(300)] + [(30_000, None), (30_001, ""), (None, "moron")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(((x.doc_id is None, x.doc_id, x.score, x.predicted) for x in tx.op7_toxicity(spark, str(tmp_path)).collect()), key=repr)
+    model = tx.learn(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([x for x in labels if zlib.crc32(str(x[0]).encode()) % 5], "doc_id long, toxic int"))
+    want = sorted(((d is None, d, plain_score(model, t)) for d, t in rows), key=repr)
+    assert {x[:2]: (pytest.approx(x[2], abs=1e-9), int(x[2] >= 0.5)) for x in want} == {x[:2]: x[2:] for x in got}
