@@ -46,7 +46,7 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
         _release()
 
     conf = df.sparkSession.conf
-    if conf.get(_BATCH).rstrip("b") == "67108864":  # Spark's own default
+    if _BATCH not in conf.getAll:  # Spark's own default: the session has chosen nothing
         conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
