@@ -38,8 +38,8 @@ def search(index: lexical.LexicalIndex, vectors: DataFrame, nodes: DataFrame, ed
     reranked for the query itself.  The report counts candidates, seeds, expansions, chunks
     that context and graph added, and results, by query.
     """
-    embedded = lambda q: q.join(embedder(q, "query_id", F.col("query")), "query_id")
-    channels = lambda q, k: (snapshot(lexical.search(index, q, k)), snapshot(semantic.search(vectors, embedded(q), k)))
+    blocks = semantic.pack(vectors)  # for both passes
+    channels = lambda q, k: (snapshot(lexical.search(index, q, k)), snapshot(semantic.search(blocks, snapshot(embedder(q, "query_id", F.col("query"))), k)))
     lex, sem = channels(queries, candidate_k)
     first = snapshot(fusion.fuse(lex, sem, chunks))
     seeds = snapshot(rerank.rerank(first, queries, chunks, seed_k, weights))

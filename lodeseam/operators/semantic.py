@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from lodeseam.functions.text import searchable_text, tokenize
 from lodeseam.schema import not_negative
@@ -131,9 +133,31 @@ class _Best:
         self.least[q[full]] = score[full]
 
 
-def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = BLOCK, within: str | None = None, report=None) -> DataFrame:
+@dataclass(frozen=True)
+class Blocks:
+    """Vectors packed for search(): the stored blocks, whether every query visits all of them, and the chunk_id's type."""
+
+    known: DataFrame
+    few: bool
+    chunk_id: DataType
+    block: int
+    within: str | None
+
+
+def pack(vectors: DataFrame, block: int = BLOCK, within: str | None = None) -> Blocks:
+    """``vectors`` (chunk_id, vector) in stored blocks, for several searches; a stored table of vectors is read twice."""
+    parted = vectors.where("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), (F.lit(None) if within is None else F.col(within)).cast("string").alias("part"))
+    held = parted.count()
+    few = held <= FEW * block
+    lined = (parted if within is None else parted.sortWithinPartitions("part")).withColumn("near", F.lit(0)) if few else _by_center(parted, block, held)
+    return Blocks(snapshot(_packed(lined, "chunk_id", block).withColumn("bid", F.monotonically_increasing_id())), few, vectors.schema["chunk_id"].dataType, block, within)
+
+
+def search(vectors: DataFrame | Blocks, queries: DataFrame, top_k: int = 10, block: int = BLOCK, within: str | None = None, report=None) -> DataFrame:
     """(query_id, rank, chunk_id, score) for queries (query_id, vector) against vectors (chunk_id, vector): the cosine, exact.
 
+    ``vectors`` that are searched more than once are better packed once; ``block`` and ``within`` are then those of pack().
+
     Both are packed into rows of up to ``block``, vectors around sampled centers, and stored.  A block's middle and reach bound the
     cosine of a query with all its vectors.  1: each query visits the blocks of the highest bounds that hold ``top_k``
     vectors; its last score there is a threshold.  2: it visits all blocks whose bound reaches that.  So blocks that are too far off
@@ -144,18 +168,15 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int =
     A query without a vector finds nothing.  ``report`` is called with the block pairs visited and all there are, by query.
     """
     not_negative(top_k=top_k)
+    held = vectors if isinstance(vectors, Blocks) else pack(vectors, block, within)
+    known, few, block, within = held.known, held.few, held.block, held.within
     queries = queries.where("vector is not null")
     count = queries.count()
     plain = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("part"), F.lit(0).alias("near"))
     asked = _packed(plain.repartition(max(1, -(-count // block))), "query_id", block)
     asked = snapshot(asked.select("query_ids", "query_id_dimension", "query_id_block").withColumn("number", F.monotonically_increasing_id()))
-    parted = vectors.where("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), (F.lit(None) if within is None else F.col(within)).cast("string").alias("part"))
-    held = parted.count()
-    few = held <= FEW * block
-    lined = (parted if within is None else parted.sortWithinPartitions("part")).withColumn("near", F.lit(0)) if few else _by_center(parted, block, held)
-    known = snapshot(_packed(lined, "chunk_id", block).withColumn("bid", F.monotonically_increasing_id()))
-    q_kind, c_kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    q_arrow, c_arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["chunk_id"].dataType)
+    q_kind, c_kind = dict(queries.dtypes)["query_id"], held.chunk_id.simpleString()
+    q_arrow, c_arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(held.chunk_id)
     about = known.select("bid", F.size("chunk_ids").alias("size"), "chunk_id_dimension", "chunk_id_part", "chunk_id_middle", "chunk_id_reach")
 
     def same(wide: int, wide_c: int) -> None:

@@ -266,7 +266,7 @@ def multi_pass(spark, d):
     rows = snapshot(chunks(spark, d).withColumn("calls", F.array_compact(F.array(after))))
     nodes, edges = snapshot(graph.nodes(rows)), snapshot(graph.merge_edges({"CONTAINS": graph.contains(rows), "CALLS": graph.calls(rows)}))
     queries = asked(spark, d).select("query_id", "query")
-    found, report = multipass.search(lexical.build(rows), semantic.build(rows, digit_counts), nodes, edges, rows, queries, seed_k=3, max_graph_hops=2, embedder=digit_counts)
+    found, report = multipass.search(lexical.build(rows), snapshot(semantic.build(rows, digit_counts)), nodes, edges, rows, queries, seed_k=3, max_graph_hops=2, embedder=digit_counts)
     counts = ("pass1", "seeds", "expansions", "added", "pass5")
     return found.join(report, "query_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), *counts)
 
