@@ -13,6 +13,8 @@ from tests.test_growth import SAID, plan, rows_of
 from tests.test_maxscore import plain
 from tests.test_operators import chunk_rows
 
+PACKED = ["bm25_batch", "hybrid_fusion"]
+
 
 @pytest.fixture
 def small(spark, monkeypatch):
@@ -47,6 +49,13 @@ def test_no_row_for_each_query_and_chunk_is_shuffled(spark):
     assert found.count("hashpartitioning(") == found.count("hashpartitioning(query_id#") == 1  # of what tasks keep
 
 
+def test_queries_of_one_batch_are_packed(spark, monkeypatch):
+    """Before, postings were joined and each query's chunks grouped by a shuffle of them all."""
+    monkeypatch.setattr(lexical, "build", None)
+    for query in PACKED:
+        assert "CartesianProduct" in plan(getattr(registered, query)(spark, "/root/testdata/sf0.001"))
+
+
 def test_no_rows_without_queries_chunks_or_results(spark):
     none, asked = (spark.createDataFrame(x, "query_id int, query string") for x in ([], [(1, "x plain")]))
     packed = lexical.pack(rows_of(spark))
