@@ -13,7 +13,7 @@ from tests.test_growth import SAID, plan, rows_of
 from tests.test_maxscore import plain
 from tests.test_operators import chunk_rows
 
-PACKED = ["bm25_batch", "hybrid_fusion"]
+PACKED = ["bm25_batch", "hybrid_fusion", "hybrid_topk"]
 
 
 @pytest.fixture
