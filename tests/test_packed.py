@@ -14,6 +14,7 @@ from tests.test_maxscore import plain
 from tests.test_operators import chunk_rows
 
 PACKED = ["bm25_batch", "hybrid_fusion", "hybrid_topk"]
+STORED = ["evaluate_ndcg_mrr"]  # the search is a step of its own
 
 
 @pytest.fixture
@@ -54,6 +55,8 @@ def test_queries_of_one_batch_are_packed(spark, monkeypatch):
     monkeypatch.setattr(lexical, "build", None)
     for query in PACKED:
         assert "CartesianProduct" in plan(getattr(registered, query)(spark, "/root/testdata/sf0.001"))
+    for query in STORED:
+        assert getattr(registered, query)(spark, "/root/testdata/sf0.001").count() > 0
 
 
 def test_no_rows_without_queries_chunks_or_results(spark):
