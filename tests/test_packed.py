@@ -13,7 +13,7 @@ from tests.test_growth import SAID, plan, rows_of
 from tests.test_maxscore import plain
 from tests.test_operators import chunk_rows
 
-PACKED = ["bm25_batch", "hybrid_fusion", "hybrid_topk", "rerank_features"]
+PACKED = ["bm25_batch", "hybrid_fusion", "hybrid_topk", "rerank_features", "rerank_topk"]
 STORED = ["evaluate_ndcg_mrr"]  # the search is a step of its own
 
 
