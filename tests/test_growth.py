@@ -1,5 +1,6 @@
 """What a query moves, and where: plans whose largest task or shuffle must not grow faster than the input."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeseam.functions import text
@@ -78,6 +79,20 @@ def test_digits_are_found_once_a_text(spark):
         assert r.vector == [float(r.d.count(x)) for x in "0123456789abcdef"]
 
 
+def test_multi_pass_shuffles_no_words_and_sorts_no_texts(spark, monkeypatch):
+    given, windows = [], []
+    monkeypatch.setattr(queries.multipass, "search", lambda index, vectors, nodes, edges, rows, asked, **_: given.extend((index, rows)) or (asked.select("query_id", F.lit("c").alias("chunk_id"), F.lit(1).alias("rank"), F.lit(1.0).alias("score")), asked.select("query_id", *(F.lit(0).alias(c) for c in ("pass1", "seeds", "expansions", "added", "pass5")))))
+    monkeypatch.setattr(queries, "snapshot", lambda df: windows.append(df._jdf.queryExecution().optimizedPlan().toString()) or snapshot(df))
+    assert queries.multi_pass(spark, "/root/testdata/sf0.001").count() > 0
+    assert isinstance(given[0], lexical.Packed)
+    texts = [x for x in windows[0].split("\n") if "Relation" in x and "text#" in x]
+    below = windows[0][windows[0].index("Window") :]
+    assert len(texts) == 2 and "text#" not in below[: below.index("Relation")]  # what the window sorts is without them
+    after = F.lead("symbol_name").over(Window.partitionBy(F.substring_index("file_path", "/", 1)).orderBy(F.col("chunk_id").cast("long")))
+    want = queries.chunks(spark, "/root/testdata/sf0.001").select("chunk_id", F.array_compact(F.array(after)).alias("calls"), "code")
+    assert sorted(given[1].select("chunk_id", "calls", "code").collect()) == sorted(want.collect())
+
+
 def test_vectors_come_in_small_batches(spark):
     spark.conf.unset(_BATCH)
     rows = spark.range(20).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
